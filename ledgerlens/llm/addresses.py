@@ -16,7 +16,7 @@ from .places import with_place
 
 # Street types and directions with the forms people type.
 TYPES = {
-    "AVE": "AVENUE AVE AV AVEN AVENU", "ST": "STREET STR ST STRT", "RD": "ROAD RD", "BLVD": "BOULEVARD BLVD BOUL BLV", "DR": "DRIVE DRV DR DRIV", "LN": "LANE LN", "CT": "COURT CT CRT", "PL": "PLACE PL",
+    "AVE": "AVENUE AVE AV", "ST": "STREET STR ST", "RD": "ROAD RD", "BLVD": "BOULEVARD BLVD BOUL BLV", "DR": "DRIVE DRV DR", "LN": "LANE LN", "CT": "COURT CT CRT", "PL": "PLACE PL",
     "PKWY": "PARKWAY PKWY PKY PWY PKWAY", "CIR": "CIRCLE CIR CIRC", "TER": "TERRACE TER TERR", "WAY": "WAY WY", "SQ": "SQUARE SQ", "TRL": "TRAIL TRL TR", "PLZ": "PLZ", "LOOP": "LOOP", "ALY": "ALLEY ALY", "XING": "CROSSING XING", "PIKE": "PIKE", "EXPY": "EXPRESSWAY EXPY",
 }
 DIRECTIONS = {"N": "NORTH NO N NTH", "S": "SOUTH SO S STH", "E": "EAST E", "W": "WEST W", "NE": "NORTHEAST NE", "NW": "NORTHWEST NW", "SE": "SOUTHEAST SE", "SW": "SOUTHWEST SW"}
@@ -24,11 +24,13 @@ ORDINALS = "FIRST SECOND THIRD FOURTH FIFTH SIXTH SEVENTH EIGHTH NINTH TENTH ELE
 TYPE_OF = {w: k for k, ws in TYPES.items() for w in ws.split()}
 DIRECTION_OF = {w: k for k, ws in DIRECTIONS.items() for w in ws.split()}
 ORDINAL_OF = {w: str(i + 1) for i, w in enumerate(ORDINALS)} | {f"{t}{o}": str(20 + 10 * a + b + 1) for a, t in enumerate(("TWENTY", "THIRTY", "FORTY", "FIFTY", "SIXTY", "SEVENTY", "EIGHTY", "NINETY")) for b, o in enumerate(ORDINALS[:9])}
+#: Words of street names that look like a misspelt type.
+NO_TYPES = set("LAKE LAND LANES PARK PLAIN PLAINS COUNT ROAM TRAIN STEEP COURTS PLACER".split())
 WORDS = {"FT": "FORT", "MT": "MOUNT", "SAINT": "SAINT", "CNTY": "COUNTY"}
 
 CARE = re.compile(r"\b(?:C/O|CARE OF|ATTN:?|ATTENTION:?)[^,]*(?:,|$)")
 BOX = re.compile(r"\b(?:P\W{0,2}O\W{0,2}|POST\s+OFFICE\s+)?B(?:O?X)\W{0,2}(?:NO\.?|NUMBER|#)?\W{0,2}(\d+)|\bP\W?O\W?B\W{0,2}(\d+)")
-FLOOR = re.compile(r"\b\d+\s?(?:ST|ND|RD|TH)\s+FL(?:OOR|R)?\b|\b(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH|GROUND|TOP)\s+FL(?:OOR|R)?\b")
+FLOOR = re.compile(r"\b\d+\s?(?:ST|ND|RD|TH)\s+(?:FLOOR\b|FLR?\b(?!\s*\d))|\b(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH|GROUND|TOP)\s+FL(?:OOR|R)?\b")
 UNIT = re.compile(r"(?:\b(?:SUITE|STE|UNIT|APARTMENT|APT|ROOM|RM|OFFICE|OFC|DEPARTMENT|DEPT|BUILDING|BLDG|BLD|FLOOR|FLR|FL|LOT|SPACE|SPC|TOWER|TWR|PMB|WING|LEVEL|LVL)\b\.?\s*(?:NO\.?\s*|#\s*)?|#\s*)(?:[A-Z]?\d+(?:\s?-\s?[A-Z\d]+)*[A-Z]?|[A-Z](?:\s?-\s?\d+)?|ONE|TWO|THREE|FOUR|FIVE)\b")
 REAR = re.compile(r"\bREAR(?:\s+OF)?\b")
 NUMBER = re.compile(r"\b(?:NO|NUM|NUMBER|NR)\b\.?\s*(\d+)\b")
@@ -62,8 +64,11 @@ def street_type(w: str) -> str | None:
     """A street type, or a word one typing error away from a long one."""
     if w in TYPE_OF:
         return TYPE_OF[w]
-    if len(w) < 3:
+    if len(w) < 3 or w in NO_TYPES:
         return None
+    for i in range(len(w) - 1 if len(w) > 3 else 0):
+        if (v := w[:i] + w[i + 1] + w[i] + w[i + 2 :]) in TYPE_OF:
+            return TYPE_OF[v]
     near = _near_types()
     if w in near:
         return near[w]
@@ -147,17 +152,23 @@ def parse(address: str | None, city: str | None = None) -> tuple[str, str, str,
 
 # Agreement levels of the linkage model; each field has a level for a value missing on a side.
 STREET, ZIP, TOWN = ("same", "part missing", "misspelt", "other type", "different"), ("same", "misspelt", "missing", "different"), ("same", "missing", "different")
-#: Prior counts (as shares of PRIOR pairs) that keep a level from going to 0 and name the classes: m for matches.
-M0 = ((0.60, 0.24, 0.14, 0.01, 0.01), (0.93, 0.02, 0.04, 0.01), (0.96, 0.03, 0.01))
-U0 = ((0.01, 0.01, 0.01, 0.02, 0.95), (0.70, 0.02, 0.03, 0.25), (0.90, 0.05, 0.05))
-PRIOR = 2000.0
+# Start values by level; m for matches, u for the rest.
+M0 = ((0.60, 0.24, 0.158, 0.001, 0.001), (0.93, 0.02, 0.04, 0.01), (0.96, 0.03, 0.01))
+U0 = ((0.01, 0.005, 0.01, 0.10, 0.875), (0.70, 0.02, 0.03, 0.25), (0.90, 0.05, 0.05))
+#: m of these street levels is held: whatever the counts, another street is no spelling of the same place. The
+#: street's u is held too: the chance that two streets agree is set by how many street names there are; candidates
+#: of one block say nothing about it, as most of them are matches.
+HELD = (3, 4)
+#: Weight of the start values, in pairs, so that no level goes to 0.
+PRIOR = 200.0
 
 
-def estimate(cells: list[tuple[int, int, int, float]], rounds: int = 200) -> tuple[dict[tuple[int, int, int], float], list[np.ndarray], list[np.ndarray], float]:
+def estimate(cells: list[tuple[int, int, int, float]], rounds: int = 500) -> tuple[dict[tuple[int, int, int], float], list[np.ndarray], list[np.ndarray], float]:
     """Fellegi-Sunter by EM over counts of agreement patterns: posterior of each pattern, m, u, share of matches."""
     x = np.array([c[:3] for c in cells], int).reshape(-1, 3)
     n = np.array([c[3] for c in cells], float)
-    m, u, p = [np.array(v) for v in M0], [np.array(v) for v in U0], 0.3
+    m, u, p = [np.array(v) for v in M0], [np.array(v) for v in U0], 0.5
+    held = list(HELD)
     for _ in range(rounds):
         a = p * np.prod([m[f][x[:, f]] for f in range(3)], axis=0)
         b = (1 - p) * np.prod([u[f][x[:, f]] for f in range(3)], axis=0)
@@ -168,14 +179,20 @@ def estimate(cells: list[tuple[int, int, int, float]], rounds: int = 200) -> tup
         for f, (m0, u0) in enumerate(zip(M0, U0)):
             for v, w, prior in ((m, g, m0), (u, 1 - g, u0)):
                 c = np.bincount(x[:, f], w * n, len(prior)) + PRIOR * np.array(prior)
-                v[f] = c / c.sum()
+                if f or v is m:
+                    v[f] = c / c.sum()
+        free = [i for i in range(len(STREET)) if i not in held]
+        fixed = np.array(M0[0])
+        m[0][free] *= (1 - fixed[held].sum()) / m[0][free].sum()
+        m[0][held] = fixed[held]
         if done:
             break
-    all_ = [(s, z, t) for s in range(5) for z in range(4) for t in range(3)]
     post = {}
-    for s, z, t in all_:
-        a, b = p * m[0][s] * m[1][z] * m[2][t], (1 - p) * u[0][s] * u[1][z] * u[2][t]
-        post[s, z, t] = float(a / (a + b))
+    for s in range(len(STREET)):
+        for z in range(len(ZIP)):
+            for t in range(len(TOWN)):
+                a, b = p * m[0][s] * m[1][z] * m[2][t], (1 - p) * u[0][s] * u[1][z] * u[2][t]
+                post[s, z, t] = float(a / (a + b))
     return post, m, u, p
 
 
@@ -218,9 +235,11 @@ def same_places(loans: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFr
     pair = a.join(b, "block").where((F.col("spot_a") < F.col("spot_b")) & (F.col("num_a") == F.col("num_b")))
     differ = lambda c: (F.col(f"{c}_a") != F.col(f"{c}_b")) & (F.col(f"{c}_a") != "") & (F.col(f"{c}_b") != "")
     lacking = lambda c: (F.col(f"{c}_a") == "") != (F.col(f"{c}_b") == "")
-    far = F.levenshtein("street_a", "street_b", 2)
+    far = F.levenshtein("street_a", "street_b", 4)
+    shorter = F.least(F.length("street_a"), F.length("street_b"))
+    letters = F.levenshtein(F.array_join(F.array_sort(F.split("street_a", "")), ""), F.array_join(F.array_sort(F.split("street_b", "")), ""), 2)
     words = F.col("street_a").rlike("^[A-Z]") & F.col("street_b").rlike("^[A-Z]") & ~F.col("street_a").startswith("HWY ") & ~F.col("street_b").startswith("HWY ") & (F.col("street_a") != "PO BOX") & (F.col("street_b") != "PO BOX")
-    close = words & (far >= 0) & (far <= F.when(F.least(F.length("street_a"), F.length("street_b")) >= 6, 2).otherwise(1))
+    close = words & (far >= 0) & ((far <= F.when(shorter >= 10, 3).when(shorter >= 6, 2).otherwise(1)) | ((shorter >= 4) & (far <= F.when(shorter >= 7, 4).otherwise(2)) & (letters >= 0)))
     street = F.when(F.col("street_a") == F.col("street_b"), F.when(differ("kind") | differ("way"), 3).when(lacking("kind") | lacking("way"), 1).otherwise(0)).when(close & ~differ("kind") & ~differ("way"), 2).otherwise(4)
     z = F.levenshtein("zip5_a", "zip5_b", 2)
     swapped = F.array_sort(F.split("zip5_a", "")) == F.array_sort(F.split("zip5_b", ""))

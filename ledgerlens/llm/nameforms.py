@@ -24,6 +24,7 @@ LEGAL_OF = {w: g.split()[0] for g in LEGAL.split(",") for w in g.split()}
 FIRST_OF = {w: g.split()[0] for g in FIRST_NAMES.split(",") for w in g.split()}
 TRADE_OF = {w: w for w in TRADES} | {a: b for a, b in (x.split() for x in SHORT_TRADES.split(","))}
 ALIAS = re.compile(r"\b(?:D\s?/?\s?B\s?/?\s?A|T\s?/\s?A|DOING BUSINESS AS|TRADING AS|A\s?/\s?K\s?/\s?A|AKA)\b.*$")
+OF_TOWN = re.compile(r"(?<=\w) +OF +[A-Z][A-Z .]+$")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SINGLES = re.compile(r"\b(?:[A-Z] ){1,4}[A-Z]\b")
 WORD = re.compile(r"[^\W_]+")
@@ -116,7 +117,7 @@ def parse_name(name: str | None) -> Name | None:
     """The parts of a name, or None for blanks and placeholders. An alias after DBA or T/A is left out."""
     if not name:
         return None
-    s = ALIAS.sub(" ", CAMEL.sub(" ", name.replace("\xa0", " ")).upper()).replace(".", "").replace("'", "")
+    s = OF_TOWN.sub("", ALIAS.sub(" ", CAMEL.sub(" ", name.replace("\xa0", " ")).upper()).strip()).replace(".", "").replace("'", "")
     words = WORD.findall(s)
     if "".join(words) in PLACEHOLDERS:
         return None
@@ -169,4 +170,7 @@ def parse_name(name: str | None) -> Name | None:
             return None
     if len(trades) > 1:
         core += sorted(trades[:-1])
-    return Name("O", trades[-1] if trades else "", "".join(core), "".join(sorted(core)), " ".join(sorted(set(fillers))), legal, "")
+    whole, turned = "".join(core), "".join(sorted(core))
+    if len(core) == 1 and whole.startswith("THE") and len(whole) > 9:
+        turned = whole[3:]  # an article written together with the name
+    return Name("O", trades[-1] if trades else "", whole, turned, " ".join(sorted(set(fillers))), legal, "")

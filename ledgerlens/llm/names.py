@@ -103,8 +103,8 @@ def near_words(words: DataFrame, k: int = EDITS, task_words: int = TASK_WORDS, h
 def name_records(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> DataFrame:
     """(record, place, name parts): every usable name record in each town it may belong to.
 
-    Loans have their own town. A case has the towns its release names (with their states, if the text gives them),
-    or, without a release, the town of its loan number; if that leaves nothing, the place is null.
+    Loans have their own town. A case has the towns its release names (with their states, if the text gives them)
+    and the town of its loan number; if that leaves nothing, the place is null.
     """
     l = with_place(loans.select("loan_number", "borrower_name", "borrower_city", "borrower_state", "borrower_zip").where(F.col("loan_number").isNotNull() & F.col("borrower_name").isNotNull()).distinct())
     l = stored(l.select("loan_number", "borrower_name", "place"), "loan_names")
@@ -113,7 +113,8 @@ def name_records(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> Dat
     known = l.where("place is not null").select("place").distinct()
     told = release_places(releases.select("url", "body"), known, "url", "body")
     own = l.where("place is not null").select(F.col("loan_number"), F.col("place").alias("own"))
-    placed = c.join(told.withColumnRenamed("id", "source_url"), "source_url", "left").join(own, "loan_number", "left").select("case_id", "defendant_name", "business_name", F.coalesce("place", "own").alias("place"))
+    by_case = told.join(c.select("case_id", F.col("source_url").alias("id")).distinct(), "id").select("case_id", "place").unionByName(c.select("case_id", "loan_number").join(own, "loan_number").select("case_id", F.col("own").alias("place"))).distinct()
+    placed = c.select("case_id", "defendant_name", "business_name").distinct().join(by_case, "case_id", "left")
     crec = placed.select("place", F.explode(F.array(F.struct(F.concat(F.lit("B"), F.col("case_id").cast("string")).alias("record"), F.col("business_name").alias("name")), F.struct(F.concat(F.lit("D"), F.col("case_id").cast("string")).alias("record"), F.col("defendant_name").alias("name")))).alias("r")).select("r.record", "r.name", "place")
     return with_name_parts(lrec.unionByName(crec).distinct(), "name").drop("name").distinct()
 
@@ -150,12 +151,16 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = pairs.join(a, F.col("fa") == F.col("a.form")).join(b, F.col("fb") == F.col("b.form"))
     shortest = F.least(F.length("a.core"), F.length("b.core"))
     kinds = F.when(F.col("a.kind") == F.col("b.kind"), F.col("a.shard") == F.col("b.shard")).otherwise((F.col("a.kind") != "O") & (F.col("b.kind") != "O"))
-    fine = kinds & (F.col("distance") <= F.when(shortest >= 10, EDITS).otherwise(1)) & _agree("fillers") & _agree("legal") & _agree("initial")
+    fine = kinds & (F.col("distance") <= F.when(shortest >= 10, EDITS).otherwise(EDITS)) & _agree("fillers") & _agree("legal") & _agree("initial")
     links = both.where(fine).select(F.col("fa").alias("form_a"), F.col("fb").alias("form_b"))
-    # cases without any town: only an equal name that stands in one town alone
-    lost = rec.where("place is null and not record like 'L%'")
+    # cases not linked to any loan in their towns: an equal name that stands in one town alone
+    of_loans = rec.where("record like 'L%'").select("form").distinct()
+    hit = links.select(F.explode(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other")))).alias("x")).select("x.*").unionByName(forms.select("form", F.col("form").alias("other")))
+    reached = hit.join(of_loans.withColumnRenamed("form", "other"), "other", "left_semi").select("form").distinct()
+    done = rec.where("record not like 'L%'").join(reached, "form", "left_semi").select("record").distinct()
+    lost = rec.where("record not like 'L%'").join(done, "record", "left_anti")
     same = ["kind", "shard", "turned"]
-    alone = forms.groupBy(*same).agg(F.min("place").alias("p"), F.max("place").alias("q"), F.collect_set("form").alias("f")).where("p = q")
+    alone = forms.join(of_loans, "form", "left_semi").groupBy(*same).agg(F.min("place").alias("p"), F.max("place").alias("q"), F.collect_set("form").alias("f")).where("p = q")
     more = lost.select("form", *same).distinct().join(alone, same).select(F.col("form").alias("x"), F.explode("f").alias("y")).select(F.least("x", "y").alias("form_a"), F.greatest("x", "y").alias("form_b")).where("form_a <> form_b")
     return rec.select("record", "form", "place"), links.unionByName(more).distinct()
 

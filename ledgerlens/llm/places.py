@@ -29,7 +29,7 @@ def with_place(df: DataFrame, city: str = "borrower_city", state: str = "borrowe
     """Adds zip5 and place (town and state; null if unknown).
 
     A town is known if it is the most frequent one of some post code. Where the typed town isn't known in its state
-    (a typing error or a blank), the town of the post code takes its place. The table of post codes is small beside
+    (a typing error or a blank), the town of the post code takes its place; so does its state where that is blank. The table of post codes is small beside
     the rows; Spark decides from its size whether to broadcast it.
     """
     d = df.withColumn("zip5", zip5(zip_)).withColumn("_town", town(city)).withColumn("_state", F.upper(F.trim(F.coalesce(F.col(state), F.lit("")))))
@@ -37,5 +37,7 @@ def with_place(df: DataFrame, city: str = "borrower_city", state: str = "borrowe
     best = seen.groupBy("zip5").agg(F.max(F.struct("n", "_town", "_state")).alias("b")).where("b.n >= 2").select("zip5", F.col("b._town").alias("_ztown"), F.col("b._state").alias("_zstate"))
     known = best.select(F.col("_ztown").alias("_town"), F.col("_zstate").alias("_state")).distinct().withColumn("_known", F.lit(True))
     got = d.join(best, "zip5", "left").join(known, ["_town", "_state"], "left")
-    name = F.when(F.col("_known"), F.col("_town")).when(F.col("_ztown").isNotNull() & (F.col("_zstate") == F.col("_state")), F.col("_ztown")).otherwise(F.coalesce("_town", "_ztown"))
-    return got.withColumn("place", F.concat_ws("/", name, F.when(name.isNotNull(), F.col("_state")))).withColumn("place", F.when(F.col("place") != "", F.col("place"))).drop("_town", "_state", "_ztown", "_zstate", "_known")
+    blank = F.col("_state") == ""
+    name = F.when(F.col("_known"), F.col("_town")).when(F.col("_ztown").isNotNull() & (blank | (F.col("_zstate") == F.col("_state"))), F.col("_ztown")).otherwise(F.coalesce("_town", "_ztown"))
+    region = F.when(blank & F.col("_ztown").isNotNull(), F.col("_zstate")).otherwise(F.col("_state"))
+    return got.withColumn("place", F.concat_ws("/", name, F.when(name.isNotNull(), region))).withColumn("place", F.when(F.col("place") != "", F.col("place"))).drop("_town", "_state", "_ztown", "_zstate", "_known")
