@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import stored
-from .places import with_place
+from .places import towns_of, with_place
 
 # Street types and directions with the forms people type.
 TYPES = {
@@ -213,7 +213,7 @@ def same_places(loans: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFr
     Loans without a usable address, or without both town and post code, have no spot. Null loan numbers are dropped;
     repeated rows count once; a loan typed with two addresses has two spots.
     """
-    rows = with_place(loans.select("loan_number", "borrower_address", "borrower_city", "borrower_state", "borrower_zip").where(F.col("loan_number").isNotNull()).distinct())
+    rows = with_place(loans.select("loan_number", "borrower_address", "borrower_city", "borrower_state", "borrower_zip").where(F.col("loan_number").isNotNull()), towns_of(loans))
     rows = rows.select("loan_number", "borrower_address", "borrower_city", "zip5", "place")
     loan_kind = rows.schema["loan_number"].dataType.simpleString()
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import stored
 from .addresses import STATE_CODE
 from .places import TOWN_WORDS
 
@@ -55,7 +56,7 @@ def release_places(releases: DataFrame, places: DataFrame, id: str, text: str) -
             yield pd.DataFrame({"id": b["id"], "towns": [sorted(w for w in capitals(t) if len(w) > 3) for t in b["text"]], "states": [states_in(t) for t in b["text"]]})
 
     said = r.mapInPandas(read, f"id {kind}, towns array<string>, states array<string>")
-    known = places.select("place", F.substring_index("place", "/", 1).alias("town"), F.substring_index("place", "/", -1).alias("state"))
+    known = stored(places.coalesce(1), "places").select("place", F.substring_index("place", "/", 1).alias("town"), F.substring_index("place", "/", -1).alias("state"))
     hit = said.select("id", "states", F.explode("towns").alias("town")).join(known, "town")
     inside = F.array_contains("states", F.col("state"))
     per = hit.groupBy("id", "town").agg(F.collect_set(F.when(inside, F.col("place"))).alias("named"), F.collect_set("place").alias("all"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._runtime import stored
 from .mentions import release_places
 from .nameforms import parse_name
-from .places import with_place
+from .places import known_places, towns_of, with_place
 from .triejoin import trie_join
 
 #: Words of one trie task, about.
@@ -57,46 +57,58 @@ def _signatures(word: str, k: int, member: bool) -> list[str]:
 
 
 def near_words(words: DataFrame, k: int = EDITS, task_words: int = TASK_WORDS, hot_words: int = HOT_WORDS) -> DataFrame:
-    """(a, b, distance), a < b: pairs of rows of words(id, shard, word) of one shard within k edits, once each.
+    """(a, b, distance), a < b: pairs of rows of words(id, s, word) of one shard s within k edits, once each.
+
+    With a column role, only pairs of a query (role q) and a member (role m) are found, as (a: query, b: member).
 
     Whole shards are packed into tasks of about task_words words; a shard beyond hot_words distinct words is cut by
     PassJoin signatures first (words shorter than k + 1 stay together in it), so no task holds an unbounded shard
     unless its words differ by hardly anything. Rows of the same shard and word must be merged before.
     """
-    words = words.withColumn("s", F.xxhash64("shard"))
     size = words.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    total, most = size.agg(F.sum("n"), F.max("n")).first()
+    tasks = max(1, -(-(total or 0) // task_words))
     hot = size.where(F.col("n") > hot_words).select("s")
-    total = words.count()
-    tasks = max(1, -(-total // task_words))
     ids = words.schema["id"].dataType.simpleString()
 
+    sided = "role" in words.columns
+    if not sided:
+        words = words.withColumn("role", F.lit("b"))
+
     def walk(b: pd.DataFrame) -> pd.DataFrame:
         q, m = b[b["role"] != "m"], b[b["role"] != "q"]
         i, j, d = trie_join(q["s"].to_numpy(), q["word"].tolist(), m["s"].to_numpy(), m["word"].tolist(), k)
         got = pd.DataFrame({"a": q["id"].to_numpy()[i], "b": m["id"].to_numpy()[j], "distance": d.astype("int32")})
+        if sided:
+            return got
         return got[got["a"] < got["b"]] if len(m) == len(q) == len(b) else got[got["a"] != got["b"]]
 
     schema = f"a {ids}, b {ids}, distance int"
-    plain = words.join(hot, "s", "left_anti").select("id", "s", "word", F.lit("b").alias("role"))
-    if not hot.isEmpty():
+    plain = words.select("id", "s", "word", "role")
+    if (most or 0) > hot_words:
+        plain = plain.join(hot, "s", "left_anti")
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rows = []
-                for i, s, w in zip(b["id"], b["s"], b["word"]):
+                for i, s, w, r in zip(b["id"], b["s"], b["word"], b["role"]):
                     if len(w) <= 2 * k:
-                        rows += [(i, s, "", w, "b")]
+                        rows += [(i, s, "", w, r)]
                     else:
-                        rows += [(i, s, x, w, "m") for x in set(_signatures(w, k, True))]
-                        rows += [(i, s, x, w, "q") for x in set(_signatures(w, k, False))]
+                        if r != "q":
+                            rows += [(i, s, x, w, "m") for x in set(_signatures(w, k, True))]
+                        if r != "m":
+                            rows += [(i, s, x, w, "q") for x in set(_signatures(w, k, False))]
                         if len(w) <= 3 * k + 1:
-                            rows += [(i, s, "", w, "b")]  # may be near a short word
+                            rows += [(i, s, "", w, r)]  # may be near a short word
                 yield pd.DataFrame(rows, columns=["id", "s", "sig", "word", "role"])
 
-        sig = words.join(hot, "s", "left_semi").select("id", "s", "word").mapInPandas(cut, f"id {ids}, s long, sig string, word string, role string")
+        sig = words.join(hot, "s", "left_semi").select("id", "s", "word", "role").mapInPandas(cut, f"id {ids}, s long, sig string, word string, role string")
         plain = plain.unionByName(sig.select("id", F.xxhash64("s", "sig").alias("s"), "word", "role"))
     packed = plain.withColumn("task", F.pmod(F.xxhash64("s"), F.lit(tasks)))
     got = packed.groupBy("task").applyInPandas(walk, schema)
+    if sided:
+        return got.groupBy("a", "b").agg(F.min("distance").alias("distance"))
     return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
@@ -106,17 +118,16 @@ def name_records(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> Dat
     Loans have their own town. A case has the towns its release names (with their states, if the text gives them)
     and the town of its loan number; if that leaves nothing, the place is null.
     """
-    l = with_place(loans.select("loan_number", "borrower_name", "borrower_city", "borrower_state", "borrower_zip").where(F.col("loan_number").isNotNull() & F.col("borrower_name").isNotNull()).distinct())
-    l = stored(l.select("loan_number", "borrower_name", "place"), "loan_names")
+    towns = towns_of(loans)
+    l = with_place(loans.select("loan_number", "borrower_name", "borrower_city", "borrower_state", "borrower_zip").where(F.col("loan_number").isNotNull()), towns)
     lrec = l.select(F.concat(F.lit("L"), F.col("loan_number").cast("string")).alias("record"), F.col("borrower_name").alias("name"), "place")
     c = cases.where(F.col("case_id").isNotNull()).select("case_id", "loan_number", "defendant_name", "business_name", "source_url").distinct()
-    known = l.where("place is not null").select("place").distinct()
-    told = release_places(releases.select("url", "body"), known, "url", "body")
+    told = release_places(releases.select("url", "body"), known_places(towns), "url", "body")
     own = l.where("place is not null").select(F.col("loan_number"), F.col("place").alias("own"))
     by_case = told.join(c.select("case_id", F.col("source_url").alias("id")).distinct(), "id").select("case_id", "place").unionByName(c.select("case_id", "loan_number").join(own, "loan_number").select("case_id", F.col("own").alias("place"))).distinct()
     placed = c.select("case_id", "defendant_name", "business_name").distinct().join(by_case, "case_id", "left")
     crec = placed.select("place", F.explode(F.array(F.struct(F.concat(F.lit("B"), F.col("case_id").cast("string")).alias("record"), F.col("business_name").alias("name")), F.struct(F.concat(F.lit("D"), F.col("case_id").cast("string")).alias("record"), F.col("defendant_name").alias("name")))).alias("r")).select("r.record", "r.name", "place")
-    return with_name_parts(lrec.unionByName(crec).distinct(), "name").drop("name").distinct()
+    return with_name_parts(lrec.unionByName(crec), "name").drop("name")
 
 
 def _agree(c: str) -> Column:
@@ -128,39 +139,41 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A form is one set of name parts in one town. People match on first name (short forms count as the full name) or
     initial, firms on trade; the remaining words, in the order typed and in sorted order, go into tries sharded by
-    town and that part, and are found within EDITS edits (1 for up to 9 letters). Fillers, legal forms and middle
+    town and that part, and are found within EDITS edits (1 for up to 6 letters). Fillers, legal forms and middle
     initials may be missing on a side but not contradict.
     """
-    parts = ["place", "kind", "shard", "core", "turned", "fillers", "legal", "initial"]
-    form = F.xxhash64(*[F.coalesce(F.col(p), F.lit("\0")) for p in parts])
+    same = ["kind", "shard", "turned"]
+    attributes = [*same, "fillers", "legal", "initial"]
+    form = F.xxhash64(*[F.coalesce(F.col(p), F.lit("\0")) for p in ("place", "core", *attributes)])
     rec = stored(records.withColumn("form", form), "name_records")
-    placed = rec.where("place is not null")
-    forms = placed.select("form", *parts).dropDuplicates(["form"])
     first = F.col("kind") == "I"
-    shard = F.concat_ws("|", "place", F.when(first, "P").otherwise(F.col("kind")), "shard")
+    shard = F.xxhash64("place", F.when(first, "P").otherwise(F.col("kind")), "shard")
     # a person is also looked up by the initial of the first name
-    letter = F.when(F.col("kind") == "P", F.concat_ws("|", "place", F.lit("P"), F.substring("shard", 1, 1)))
-    keyed = forms.select("form", F.explode(F.array_compact(F.array(shard, letter))).alias("shard"), F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
-    words = stored(keyed.withColumn("id", F.xxhash64("shard", "word")), "name_words")
-    distinct = words.select("id", "shard", "word").dropDuplicates(["id"])
-    near = near_words(distinct)
-    near = near.unionByName(distinct.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
-    wa, wb = words.select(F.col("id").alias("a"), F.col("form").alias("form_a")), words.select(F.col("id").alias("b"), F.col("form").alias("form_b"))
-    pairs = near.join(wa, "a").join(wb, "b").where("form_a <> form_b").select(F.least("form_a", "form_b").alias("fa"), F.greatest("form_a", "form_b").alias("fb"), "distance").groupBy("fa", "fb").agg(F.min("distance").alias("distance"))
-    a, b = forms.alias("a"), forms.alias("b")
-    both = pairs.join(a, F.col("fa") == F.col("a.form")).join(b, F.col("fb") == F.col("b.form"))
-    shortest = F.least(F.length("a.core"), F.length("b.core"))
+    letter = F.when(F.col("kind") == "P", F.xxhash64("place", F.lit("P"), F.substring("shard", 1, 1)))
+    keyed = rec.where("place is not null").select("form", *attributes, "core", F.explode(F.array_compact(F.array(shard, letter))).alias("s"))
+    keyed = keyed.select("form", *attributes, F.length("core").alias("n"), "s", F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
+    words = keyed.withColumn("id", F.xxhash64("s", "word"))
+    distinct = stored(words.groupBy("id").agg(F.first("s").alias("s"), F.first("word").alias("word"), F.min("form").alias("f0"), F.max("form").alias("f1")), "name_words")
+    near = stored(near_words(distinct.select("id", "s", "word")), "near_words")
+    # words of several forms, and words near another: only their forms are needed from here on
+    several = distinct.where("f0 <> f1").select("id")
+    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(several).distinct()
+    some = stored(words.join(wanted, "id", "left_semi").dropDuplicates(["id", "form"]), "name_forms")
+    near = near.unionByName(several.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
+    a, b = some.alias("a"), some.alias("b")
+    both = near.join(a, F.col("a") == F.col("a.id")).join(b, F.col("b") == F.col("b.id")).where("a.form <> b.form")
     kinds = F.when(F.col("a.kind") == F.col("b.kind"), F.col("a.shard") == F.col("b.shard")).otherwise((F.col("a.kind") != "O") & (F.col("b.kind") != "O"))
-    fine = kinds & (F.col("distance") <= F.when(shortest >= 10, EDITS).otherwise(EDITS)) & _agree("fillers") & _agree("legal") & _agree("initial")
-    links = both.where(fine).select(F.col("fa").alias("form_a"), F.col("fb").alias("form_b"))
+    fine = kinds & (F.col("distance") <= F.when(F.least("a.n", "b.n") >= 7, EDITS).otherwise(1)) & _agree("fillers") & _agree("legal") & _agree("initial")
+    links = stored(both.where(fine).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b")).distinct(), "name_links")
     # cases not linked to any loan in their towns: an equal name that stands in one town alone
-    of_loans = rec.where("record like 'L%'").select("form").distinct()
-    hit = links.select(F.explode(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other")))).alias("x")).select("x.*").unionByName(forms.select("form", F.col("form").alias("other")))
-    reached = hit.join(of_loans.withColumnRenamed("form", "other"), "other", "left_semi").select("form").distinct()
-    done = rec.where("record not like 'L%'").join(reached, "form", "left_semi").select("record").distinct()
-    lost = rec.where("record not like 'L%'").join(done, "record", "left_anti")
-    same = ["kind", "shard", "turned"]
-    alone = forms.join(of_loans, "form", "left_semi").groupBy(*same).agg(F.min("place").alias("p"), F.max("place").alias("q"), F.collect_set("form").alias("f")).where("p = q")
+    loan = F.col("record").startswith("L")
+    of_loans = rec.where(loan).select(F.col("form").alias("other")).distinct()
+    cases = stored(rec.where(~loan).select("record", "form", *same), "case_names")
+    ends = links.select(F.explode(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other")))).alias("x")).select("x.*").unionByName(cases.select("form", F.col("form").alias("other")).distinct())
+    reached = ends.join(of_loans, "other", "left_semi").select("form").distinct()
+    lost = stored(cases.join(cases.join(reached, "form", "left_semi").select("record").distinct(), "record", "left_anti"), "case_names")
+    keys = lost.select(*same).distinct()
+    alone = rec.where(loan & F.col("place").isNotNull()).select(*same, "form", "place").join(keys, same, "left_semi").groupBy(*same).agg(F.min("place").alias("p"), F.max("place").alias("q"), F.collect_set("form").alias("f")).where("p = q")
     more = lost.select("form", *same).distinct().join(alone, same).select(F.col("form").alias("x"), F.explode("f").alias("y")).select(F.least("x", "y").alias("form_a"), F.greatest("x", "y").alias("form_b")).where("form_a <> form_b")
     return rec.select("record", "form", "place"), links.unionByName(more).distinct()
 
@@ -174,7 +187,10 @@ def same_name_pairs(loans: DataFrame, cases: DataFrame, releases: DataFrame) ->
     tables give an empty result.
     """
     members, links = name_links(name_records(loans, cases, releases))
-    own = members.where("place is not null").groupBy(F.col("form").alias("form_a")).agg(F.countDistinct("record").alias("n")).where("n > 1").select("form_a", F.col("form_a").alias("form_b"))
-    a, b = (members.select(F.col("form").alias(f"form_{s}"), F.col("record").alias(f"r_{s}")).distinct() for s in "ab")
-    got = links.select("form_a", "form_b").unionByName(own).join(a, "form_a").join(b, "form_b").where("r_a <> r_b")
+    several = members.where("place is not null").groupBy(F.col("form").alias("form_a")).agg(F.min("record").alias("p"), F.max("record").alias("q")).where("p <> q").select("form_a", F.col("form_a").alias("form_b"))
+    pairs = links.select("form_a", "form_b").unionByName(several)
+    ends = pairs.select(F.col("form_a").alias("form")).unionByName(pairs.select(F.col("form_b").alias("form"))).distinct()
+    some = stored(members.select("form", "record").join(ends, "form", "left_semi").distinct(), "name_members")
+    a, b = (some.select(F.col("form").alias(f"form_{s}"), F.col("record").alias(f"r_{s}")) for s in "ab")
+    got = pairs.join(a, "form_a").join(b, "form_b").where("r_a <> r_b")
     return got.select(F.least("r_a", "r_b").alias("name_a"), F.greatest("r_a", "r_b").alias("name_b")).distinct()

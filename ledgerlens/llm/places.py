@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import stored
+
 #: Abbreviations in town names.
 TOWN_WORDS = {"FT": "FORT", "MT": "MOUNT", "ST": "SAINT", "STE": "SAINT", "HTS": "HEIGHTS", "HGTS": "HEIGHTS", "HEIGTS": "HEIGHTS", "SPGS": "SPRINGS", "SPG": "SPRINGS", "JCT": "JUNCTION", "PT": "PORT", "LK": "LAKE", "N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST", "BCH": "BEACH", "PK": "PARK"}
 
@@ -25,19 +27,31 @@ def town(c: str) -> Column:
     return F.when(full.isin("", "NA", "TBD", "UNKNOWN", "NONE"), None).otherwise(full)
 
 
-def with_place(df: DataFrame, city: str = "borrower_city", state: str = "borrower_state", zip_: str = "borrower_zip") -> DataFrame:
+def towns_of(df: DataFrame, city: str = "borrower_city", state: str = "borrower_state", zip_: str = "borrower_zip") -> DataFrame:
+    """(zip5, ztown, zstate): the most frequent town of each post code, written once.
+
+    At most one row a post code, so it is small beside any table of addresses; being stored, its size is known, and
+    Spark broadcasts it only below its threshold.
+    """
+    d = df.select(zip5(zip_).alias("zip5"), town(city).alias("ztown"), F.upper(F.trim(F.coalesce(F.col(state), F.lit("")))).alias("zstate"))
+    seen = d.groupBy("zip5", "ztown", "zstate").agg(F.count(F.lit(1)).alias("n")).where(F.col("zip5").isNotNull() & F.col("ztown").isNotNull())
+    return stored(seen.groupBy("zip5").agg(F.max(F.struct("n", "ztown", "zstate")).alias("b")).where("b.n >= 2").select("zip5", "b.ztown", "b.zstate").coalesce(1), "towns")
+
+
+def known_places(towns: DataFrame) -> DataFrame:
+    return towns.select(F.concat_ws("/", "ztown", "zstate").alias("place")).distinct()
+
+
+def with_place(df: DataFrame, towns: DataFrame, city: str = "borrower_city", state: str = "borrower_state", zip_: str = "borrower_zip") -> DataFrame:
     """Adds zip5 and place (town and state; null if unknown).
 
     A town is known if it is the most frequent one of some post code. Where the typed town isn't known in its state
-    (a typing error or a blank), the town of the post code takes its place; so does its state where that is blank. The table of post codes is small beside
-    the rows; Spark decides from its size whether to broadcast it.
+    (a typing error or a blank), the town of the post code takes its place; so does its state where that is blank.
     """
     d = df.withColumn("zip5", zip5(zip_)).withColumn("_town", town(city)).withColumn("_state", F.upper(F.trim(F.coalesce(F.col(state), F.lit("")))))
-    seen = d.groupBy("zip5", "_town", "_state").agg(F.count(F.lit(1)).alias("n")).where(F.col("zip5").isNotNull() & F.col("_town").isNotNull())
-    best = seen.groupBy("zip5").agg(F.max(F.struct("n", "_town", "_state")).alias("b")).where("b.n >= 2").select("zip5", F.col("b._town").alias("_ztown"), F.col("b._state").alias("_zstate"))
-    known = best.select(F.col("_ztown").alias("_town"), F.col("_zstate").alias("_state")).distinct().withColumn("_known", F.lit(True))
-    got = d.join(best, "zip5", "left").join(known, ["_town", "_state"], "left")
+    known = stored(towns.select(F.col("ztown").alias("_town"), F.col("zstate").alias("_state")).distinct().withColumn("_known", F.lit(True)).coalesce(1), "known")
+    got = d.join(towns, "zip5", "left").join(known, ["_town", "_state"], "left")
     blank = F.col("_state") == ""
-    name = F.when(F.col("_known"), F.col("_town")).when(F.col("_ztown").isNotNull() & (blank | (F.col("_zstate") == F.col("_state"))), F.col("_ztown")).otherwise(F.coalesce("_town", "_ztown"))
-    region = F.when(blank & F.col("_ztown").isNotNull(), F.col("_zstate")).otherwise(F.col("_state"))
-    return got.withColumn("place", F.concat_ws("/", name, F.when(name.isNotNull(), region))).withColumn("place", F.when(F.col("place") != "", F.col("place"))).drop("_town", "_state", "_ztown", "_zstate", "_known")
+    name = F.when(F.col("_known"), F.col("_town")).when(F.col("ztown").isNotNull() & (blank | (F.col("zstate") == F.col("_state"))), F.col("ztown")).otherwise(F.coalesce("_town", "ztown"))
+    region = F.when(blank & F.col("ztown").isNotNull(), F.col("zstate")).otherwise(F.col("_state"))
+    return got.withColumn("place", F.concat_ws("/", name, F.when(name.isNotNull(), region))).withColumn("place", F.when(F.col("place") != "", F.col("place"))).drop("_town", "_state", "ztown", "zstate", "_known")

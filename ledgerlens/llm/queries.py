@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addresses, boilerplate, components, digests, leakage, names, ranking
+from . import addresses, boilerplate, components, digests, leakage, names, quality, ranking, releases
 from ._runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.net_flow_ranking(table(spark, d, "signals"))
 
 
+def p4_raw(spark: SparkSession, d: str) -> DataFrame:
+    return releases.release_matches(table(spark, d, "press_releases"), table(spark, d, "loans"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name_pairs(table(spark, d, "loans"), table(spark, d, "fraud_cases"), table(spark, d, "press_releases"))
 
@@ -46,6 +50,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).where("exact_windows > 0").select("doc_id", "item_id")
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(p10_statistics(spark, d)).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("p") and k[1].isdigit()}
 
