@@ -30,7 +30,11 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.net_flow_ranking(table(spark, d, "signals"))
 
 
-def p4_raw(spark: SparkSession, d: str) -> DataFrame:
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return releases.reported_loans(table(spark, d, "press_releases"), table(spark, d, "loans")).select("release_id", "loan_number").distinct()
+
+
+def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
     return releases.release_matches(table(spark, d, "press_releases"), table(spark, d, "loans"))
 
 
