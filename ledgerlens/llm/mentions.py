@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,33 +14,39 @@ from ._runtime import stored
 from .addresses import STATE_CODE
 from .places import TOWN_WORDS
 
-CAPITAL = re.compile(r"[^\W\d_][\w'’-]*")
-CODE = re.compile(r"\b[A-Z]{2}\b")
+WORDS = re.compile(r"[\w'’-]+")
+RUN = re.compile(r"\b[^\W\d_a-z][\w'’-]*(?:[^\w'’-]+[^\W\d_a-z][\w'’-]*)*")
+STATE_SHORT = re.compile(r"[(,]\s*([A-Z]{2})\b")
 STATE_NAME = re.compile(r"\b(?:" + "|".join(sorted(STATE_CODE, key=len, reverse=True)) + r")\b")
 
 
+CODES = set(STATE_CODE.values())
+
+
 def states_in(text: str) -> list[str]:
     """Codes of the states that a text names in full, or as two capitals in brackets or after a comma."""
     full = {STATE_CODE[m] for m in STATE_NAME.findall(text.upper())}
-    codes = set(STATE_CODE.values())
-    return sorted(full | {m for m in re.findall(r"[(,]\s*([A-Z]{2})\b", text) if m in codes})
+    return sorted(full | {m for m in STATE_SHORT.findall(text) if m in CODES})
+
+
+@lru_cache(100_000)
+def _letters(word: str) -> str:
+    w = "".join(c for c in word.upper() if "A" <= c <= "Z")
+    return TOWN_WORDS.get(w, w)
 
 
 def capitals(text: str) -> set[str]:
     """One to three capitalised words in a row, as town() writes them."""
     out = set()
-    words = [w for w in re.split(r"[^\w'’-]+", text) if w]
-    up = [w[0].isupper() for w in words]
-    full = [TOWN_WORDS.get(u, u) for u in (re.sub(r"[^A-Z]", "", w.upper()) for w in words)]
-    for i in range(len(words)):
-        if up[i]:
-            s = full[i]
+    for run in RUN.findall(text):
+        full = [_letters(w) for w in WORDS.findall(run)]
+        for i, s in enumerate(full):
             out.add(s)
-            for j in (i + 1, i + 2):
-                if j >= len(words) or not up[j]:
-                    break
-                s += full[j]
+            if i + 1 < len(full):
+                s += full[i + 1]
                 out.add(s)
+                if i + 2 < len(full):
+                    out.add(s + full[i + 2])
     return out
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +28,15 @@ def with_name_parts(df: DataFrame, name: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     parts = ("kind", "shard", "core", "turned", "fillers", "legal", "initial")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [parse_name(x) for x in b[name]]
-            use = np.array([g is not None for g in got], bool)
-            out = b[use].copy()
-            some = [g for g in got if g is not None]
-            for i, k in enumerate(parts):
-                out[k] = [g[i] for g in some]
-            yield out
+            got = [parse_name(x) for x in b.column(name).to_pylist()]
+            use = pa.array([g is not None for g in got])
+            columns = list(zip(*(g for g in got if g is not None))) or [[]] * len(parts)
+            left = b.filter(use)
+            yield pa.RecordBatch.from_arrays([*left.columns, *(pa.array(c, pa.string()) for c in columns)], names=[*b.schema.names, *parts])
 
-    return df.where(F.col(name).isNotNull()).mapInPandas(read, f"{fields}, {', '.join(f'{p} string' for p in parts)}")
+    return df.where(F.col(name).isNotNull()).mapInArrow(read, f"{fields}, {', '.join(f'{p} string' for p in parts)}")
 
 
 def _signatures(word: str, k: int, member: bool) -> list[str]:
@@ -77,11 +75,13 @@ def near_words(words: DataFrame, k: int = EDITS, task_words: int = TASK_WORDS, h
 
     def walk(b: pd.DataFrame) -> pd.DataFrame:
         q, m = b[b["role"] != "m"], b[b["role"] != "q"]
-        i, j, d = trie_join(q["s"].to_numpy(), q["word"].tolist(), m["s"].to_numpy(), m["word"].tolist(), k)
+        qs, qw = q["s"].to_numpy(), q["word"].tolist()
+        ms, mw = (qs, qw) if len(q) == len(m) == len(b) else (m["s"].to_numpy(), m["word"].tolist())
+        i, j, d = trie_join(qs, qw, ms, mw, k)
         got = pd.DataFrame({"a": q["id"].to_numpy()[i], "b": m["id"].to_numpy()[j], "distance": d.astype("int32")})
         if sided:
             return got
-        return got[got["a"] < got["b"]] if len(m) == len(q) == len(b) else got[got["a"] != got["b"]]
+        return got[got["a"] != got["b"]]
 
     schema = f"a {ids}, b {ids}, distance int"
     plain = words.select("id", "s", "word", "role")
@@ -112,8 +112,15 @@ def near_words(words: DataFrame, k: int = EDITS, task_words: int = TASK_WORDS, h
     return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
+ATTRIBUTES = ["kind", "shard", "turned", "fillers", "legal", "initial"]
+
+
+def _with_form(records: DataFrame) -> DataFrame:
+    return records.withColumn("form", F.xxhash64(*[F.coalesce(F.col(p), F.lit("\0")) for p in ("place", "core", *ATTRIBUTES)])).select("record", "place", "core", *ATTRIBUTES, "form")
+
+
 def name_records(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> DataFrame:
-    """(record, place, name parts): every usable name record in each town it may belong to.
+    """(record, place, name parts, form): every usable name record in each town it may belong to.
 
     Loans have their own town. A case has the towns its release names (with their states, if the text gives them)
     and the town of its loan number; if that leaves nothing, the place is null.
@@ -121,13 +128,15 @@ def name_records(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> Dat
     towns = towns_of(loans)
     l = with_place(loans.select("loan_number", "borrower_name", "borrower_city", "borrower_state", "borrower_zip").where(F.col("loan_number").isNotNull()), towns)
     lrec = l.select(F.concat(F.lit("L"), F.col("loan_number").cast("string")).alias("record"), F.col("borrower_name").alias("name"), "place")
+    lrec = stored(_with_form(with_name_parts(lrec, "name")), "loan_names")
     c = cases.where(F.col("case_id").isNotNull()).select("case_id", "loan_number", "defendant_name", "business_name", "source_url").distinct()
     told = release_places(releases.select("url", "body"), known_places(towns), "url", "body")
-    own = l.where("place is not null").select(F.col("loan_number"), F.col("place").alias("own"))
-    by_case = told.join(c.select("case_id", F.col("source_url").alias("id")).distinct(), "id").select("case_id", "place").unionByName(c.select("case_id", "loan_number").join(own, "loan_number").select("case_id", F.col("own").alias("place"))).distinct()
-    placed = c.select("case_id", "defendant_name", "business_name").distinct().join(by_case, "case_id", "left")
-    crec = placed.select("place", F.explode(F.array(F.struct(F.concat(F.lit("B"), F.col("case_id").cast("string")).alias("record"), F.col("business_name").alias("name")), F.struct(F.concat(F.lit("D"), F.col("case_id").cast("string")).alias("record"), F.col("defendant_name").alias("name")))).alias("r")).select("r.record", "r.name", "place")
-    return with_name_parts(lrec.unionByName(crec), "name").drop("name")
+    own = c.where(F.col("loan_number").isNotNull()).select("case_id", F.concat(F.lit("L"), F.col("loan_number").cast("string")).alias("record")).join(lrec.select("record", "place"), "record").select("case_id", "place")
+    by_case = told.join(c.select("case_id", F.col("source_url").alias("id")), "id").select("case_id", "place").unionByName(own).distinct()
+    names = c.select("case_id", F.explode(F.array(F.struct(F.lit("B").alias("t"), F.col("business_name").alias("name")), F.struct(F.lit("D").alias("t"), F.col("defendant_name").alias("name")))).alias("r"))
+    names = names.select("case_id", F.concat("r.t", F.col("case_id").cast("string")).alias("record"), "r.name").distinct()
+    crec = stored(_with_form(with_name_parts(names, "name").join(by_case, "case_id", "left")), "case_names")
+    return lrec.unionByName(crec)
 
 
 def _agree(c: str) -> Column:
@@ -135,7 +144,7 @@ def _agree(c: str) -> Column:
 
 
 def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members(record, form), links(form_a, form_b) between different forms of one name.
+    """(members, links) of name_records(): members(record, form, place), links(form_a, form_b) between different forms of one name.
 
     A form is one set of name parts in one town. People match on first name (short forms count as the full name) or
     initial, firms on trade; the remaining words, in the order typed and in sorted order, go into tries sharded by
@@ -143,15 +152,13 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     initials may be missing on a side but not contradict.
     """
     same = ["kind", "shard", "turned"]
-    attributes = [*same, "fillers", "legal", "initial"]
-    form = F.xxhash64(*[F.coalesce(F.col(p), F.lit("\0")) for p in ("place", "core", *attributes)])
-    rec = stored(records.withColumn("form", form), "name_records")
+    rec = records
     first = F.col("kind") == "I"
     shard = F.xxhash64("place", F.when(first, "P").otherwise(F.col("kind")), "shard")
     # a person is also looked up by the initial of the first name
     letter = F.when(F.col("kind") == "P", F.xxhash64("place", F.lit("P"), F.substring("shard", 1, 1)))
-    keyed = rec.where("place is not null").select("form", *attributes, "core", F.explode(F.array_compact(F.array(shard, letter))).alias("s"))
-    keyed = keyed.select("form", *attributes, F.length("core").alias("n"), "s", F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
+    keyed = rec.where("place is not null").select("form", *ATTRIBUTES, "core", F.explode(F.array_compact(F.array(shard, letter))).alias("s"))
+    keyed = keyed.select("form", *ATTRIBUTES, F.length("core").alias("n"), "s", F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
     words = keyed.withColumn("id", F.xxhash64("s", "word"))
     distinct = stored(words.groupBy("id").agg(F.first("s").alias("s"), F.first("word").alias("word"), F.min("form").alias("f0"), F.max("form").alias("f1")), "name_words")
     near = stored(near_words(distinct.select("id", "s", "word")), "near_words")

@@ -10,6 +10,8 @@ FAR = 9
 def trie_join(query_shard: np.ndarray, query: list[str], member_shard: np.ndarray, member: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, distance) of all words of equal shard within k edits; a swap of neighbours is one edit.
 
+    If members and queries are the same objects, each pair of different words comes once, in either order.
+
     The distinct (shard, member) words form tries; each level is an array of nodes. The automaton of a query is the
     band of 2k + 1 cells of its edit table; all pairs of query and node of a level advance together, and a pair whose
     band holds nothing up to k is dropped with the whole branch.
@@ -32,15 +34,20 @@ def trie_join(query_shard: np.ndarray, query: list[str], member_shard: np.ndarra
 
     # distinct queries and members; results are spread to the given rows at the end
     def distinct(shard: np.ndarray, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        order = sorted(range(len(words)), key=lambda i: (shard[i], words[i]))
-        new = np.array([True, *((shard[a], words[a]) != (shard[b], words[b]) for a, b in zip(order[1:], order))])
+        order = np.lexsort((np.array(words), shard))
+        sw, ss = [words[i] for i in order], shard[order]
+        new = np.r_[True, (ss[1:] != ss[:-1]) | np.fromiter((x != y for x, y in zip(sw[1:], sw)), bool, len(sw) - 1)]
         at = np.flatnonzero(new)
-        return shard[[order[i] for i in at]], [words[order[i]] for i in at], np.array(order), np.r_[at, len(order)]
+        return ss[at], [sw[i] for i in at], order, np.r_[at, len(order)]
 
+    own = member is query and member_shard is query_shard
     ms_u, mw, m_rows, m_at = distinct(ms, member)
-    qs_u, qw, q_rows, q_at = distinct(qs, query)
     m, mlen = matrix(mw)
-    q, qlen = matrix(qw)
+    if own:
+        qs_u, q, qlen, q_rows, q_at = ms_u, m, mlen, m_rows, m_at
+    else:
+        qs_u, qw, q_rows, q_at = distinct(qs, query)
+        q, qlen = matrix(qw)
     q = np.c_[q, np.zeros((len(q), 2 * k + 2), kind)]
     same = np.r_[False, ms_u[1:] == ms_u[:-1]]
     differ = np.ones((len(m), m.shape[1] + 1), bool)
@@ -50,6 +57,8 @@ def trie_join(query_shard: np.ndarray, query: list[str], member_shard: np.ndarra
     start = np.flatnonzero(~same)
     node = np.searchsorted(ms_u[start], qs_u)
     ok = (node < len(start)) & (ms_u[start[np.minimum(node, len(start) - 1)]] == qs_u)
+    if own:  # each pair once: a word alone in its shard has none
+        ok &= np.diff(np.r_[start, len(m)])[np.minimum(node, len(start) - 1)] > 1
     fq, fn = np.flatnonzero(ok), node[ok]
     band = np.full((len(fq), 2 * k + 1), FAR, np.int8)
     band[:, k:] = np.arange(k + 1)
@@ -64,6 +73,8 @@ def trie_join(query_shard: np.ndarray, query: list[str], member_shard: np.ndarra
         o = qlen[fq] - depth + k
         good = ends & (o >= 0) & (o <= 2 * k)
         good[good] = band[good, o[good]] <= k
+        if own:
+            good &= row > fq
         left.append(fq[good]), right.append(row[good]), dist.append(band[good, o[good]])
         depth += 1
         nxt = np.flatnonzero((lcp < depth) & (mlen >= depth))
@@ -95,6 +106,8 @@ def trie_join(query_shard: np.ndarray, query: list[str], member_shard: np.ndarra
                 v = np.where(swap, np.minimum(v, old2[:, off] + 1), v)
             new[:, off] = np.where(j > qlen[fq], FAR, np.minimum(v, FAR))
         live = (new.min(1, initial=FAR) <= k) | (old.min(1, initial=FAR) < k) if len(fq) else np.array([], bool)
+        if own and len(fq):  # branches that end before the query were walked from the other side
+            live &= np.r_[nxt[1:], len(m)][fn] > fq + 1
         fq, fn, band, before, last, start = fq[live], fn[live], new[live], old[live], c[live], nxt
     if not left:
         return none
