@@ -93,7 +93,7 @@ def amount_anomaly(loans: DataFrame, cap_band: float = 0.05) -> DataFrame:
     cap, per_job = cap_of(), F.when(F.col("jobs_reported") >= 1, F.col("current_approval_amount") / F.col("jobs_reported"))
     low = cap * (1 - cap_band)
     near = F.when((per_job >= low) & (per_job <= cap), (per_job - low) / (cap - low)).otherwise(0.0)
-    fired = F.concat_ws(",", F.when(near > 0, "cap_maximization"), F.when(rounded > 0, "round_amount"))
+    fired = F.concat_ws(",", F.when(near > 0, "cap_maximization"), F.when(share > 0, "round_amount"))
     return base.withColumn("_r", share).withColumn("_n", near).where("_r + _n > 0").select(
         "loan_number", rounded(F.col("_r") + F.col("_n"), 4).alias("score"), "naics_code", F.col("borrower_state").alias("state"), "borrower_name", F.col("current_approval_amount").alias("amount"), "jobs_reported", divisor.alias("round_divisor"), rounded("_r", 4).alias("round_score"),
         rounded(per_job, 2).alias("per_employee_amount"), cap.alias("per_employee_cap"), rounded("_n", 4).alias("cap_maximization_score"), fired.alias("signals_fired"),
