@@ -74,5 +74,24 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("p") and k[1].isdigit()}
 
 
+LINES = """l AS (SELECT DISTINCT id, source, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line_no FROM press_releases WHERE id IS NOT NULL AND body IS NOT NULL),
+  k AS (SELECT *, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') AS letters FROM l), n AS (SELECT source, count(DISTINCT id) AS n FROM press_releases GROUP BY 1),
+  f AS (SELECT source, letters, count(DISTINCT id) AS d FROM k WHERE letters <> '' GROUP BY 1, 2),
+  hit AS (SELECT DISTINCT k.id, k.line_no FROM k JOIN f ON k.letters = f.letters AND k.source IS NOT DISTINCT FROM f.source JOIN n ON n.source IS NOT DISTINCT FROM k.source WHERE d >= 3 AND d >= 0.05 * n.n)"""
+WORDS = "list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express on whole tables; the others are held against brute force in the tests."""
+    runs = lambda t, i: f"SELECT {i}, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - 11)) AS p FROM (SELECT {i}, {WORDS.format(c='text')} AS w FROM {t}) WHERE len(w) >= 13)"
+    return {
+        "p2_found": f"WITH {LINES} SELECT id AS release_id, line_no FROM hit",
+        "p3_ranking": """WITH o AS (SELECT loan_number, detector_id, max(score) AS score FROM signals WHERE loan_number IS NOT NULL AND detector_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),
+          c AS (SELECT detector_id, score, count(*) AS n FROM o GROUP BY 1, 2), t AS (SELECT *, (sum(n) OVER (PARTITION BY detector_id ORDER BY score) - n / 2) / sum(n) OVER (PARTITION BY detector_id) AS x, sum(n) OVER (PARTITION BY detector_id) AS total FROM c),
+          f AS (SELECT a.detector_id, a.score, sum(b.n * least(greatest((a.x - b.x - 0.05) / 0.45, 0), 1)) / greatest(any_value(a.total) - 1, 1) AS up, sum(b.n * least(greatest((b.x - a.x - 0.05) / 0.45, 0), 1)) / greatest(any_value(a.total) - 1, 1) AS down FROM t a JOIN t b USING (detector_id) GROUP BY 1, 2),
+          s AS (SELECT loan_number, count(*) AS n_scores, round(sum(up) / (SELECT count(DISTINCT detector_id) FROM c), 9) AS plus_flow, round(sum(down) / (SELECT count(DISTINCT detector_id) FROM c), 9) AS minus_flow, round((sum(up) - sum(down)) / (SELECT count(DISTINCT detector_id) FROM c), 9) AS net_flow FROM o JOIN f USING (detector_id, score) GROUP BY 1)
+          SELECT *, rank() OVER (ORDER BY net_flow DESC) AS rank FROM s""",
+        "p6_found": """WITH RECURSIVE e AS (SELECT DISTINCT loan_a AS a, loan_b AS b FROM loan_pairs WHERE loan_a IS NOT NULL AND loan_b IS NOT NULL AND loan_a <> loan_b), v AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+          c(n, m) AS (SELECT a, a FROM v UNION SELECT v.b, c.m FROM c JOIN v ON v.a = c.n WHERE c.m < v.b) SELECT n AS loan_number, min(m) AS group_id FROM c GROUP BY 1""",
+        "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({runs('documents', 'doc_id')}) d JOIN ({runs('eval_items', 'item_id')}) i USING (g)",
+    }
