@@ -44,3 +44,12 @@ def total_bytes(df: DataFrame, *columns: str) -> tuple[int, int]:
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
     rows, size = df.agg(F.count(F.lit(1)), F.sum(size)).first()
     return rows, size or 0
+
+
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """Keys (one number a row), marked to be sent to the executors if they are at most `most`; else joined by shuffle.
+
+    They are written and counted first, so the size of what is sent is known.
+    """
+    df = stored(df, "keys")
+    return F.broadcast(df) if df.count() <= most else df

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from ._runtime import stored
 from .addresses import STATE_CODE
 from .places import TOWN_WORDS
 
+#: Towns up to this number are sent to the executors as a set.
+MOST_TOWNS = 100_000
 WORDS = re.compile(r"[\w'’-]+")
 RUN = re.compile(r"\b[^\W\d_a-z][\w'’-]*(?:[^\w'’-]+[^\W\d_a-z][\w'’-]*)*")
 STATE_SHORT = re.compile(r"[(,]\s*([A-Z]{2})\b")
@@ -58,12 +60,21 @@ def release_places(releases: DataFrame, places: DataFrame, id: str, text: str) -
     r = releases.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull()).distinct()
     kind = r.schema["id"].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = stored(places.coalesce(1), "places").select("place", F.substring_index("place", "/", 1).alias("town"), F.substring_index("place", "/", -1).alias("state"))
+    # as a set on the executors if it is a small one, so that only known towns leave Python; the join below holds either way
+    few = [x[0] for x in known.select("town").distinct().limit(MOST_TOWNS + 1).collect()]
+    sent = releases.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= MOST_TOWNS else None)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        towns = sent.value
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "towns": [sorted(w for w in capitals(t) if len(w) > 3) for t in b["text"]], "states": [states_in(t) for t in b["text"]]})
+            texts = b.column("text").to_pylist()
+            said = [capitals(t) for t in texts]
+            said = [sorted(s & towns) if towns is not None else sorted(w for w in s if len(w) > 3) for s in said]
+            states = [states_in(t) if s else [] for s, t in zip(said, texts)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(said, pa.list_(pa.string())), pa.array(states, pa.list_(pa.string()))], names=["id", "towns", "states"])
 
-    said = r.mapInPandas(read, f"id {kind}, towns array<string>, states array<string>")
-    known = stored(places.coalesce(1), "places").select("place", F.substring_index("place", "/", 1).alias("town"), F.substring_index("place", "/", -1).alias("state"))
+    said = r.mapInArrow(read, f"id {kind}, towns array<string>, states array<string>")
     hit = said.select("id", "states", F.explode("towns").alias("town")).join(known, "town")
     inside = F.array_contains("states", F.col("state"))
     per = hit.groupBy("id", "town").agg(F.collect_set(F.when(inside, F.col("place"))).alias("named"), F.collect_set("place").alias("all"))

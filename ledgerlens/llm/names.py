@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import stored
+from ._runtime import few, stored
 from .mentions import release_places
 from .nameforms import parse_name
 from .places import known_places, towns_of, with_place
@@ -165,7 +165,7 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     # words of several forms, and words near another: only their forms are needed from here on
     several = distinct.where("f0 <> f1").select("id")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(several).distinct()
-    some = stored(words.join(wanted, "id", "left_semi").dropDuplicates(["id", "form"]), "name_forms")
+    some = stored(words.join(few(wanted), "id", "left_semi").dropDuplicates(["id", "form"]), "name_forms")
     near = near.unionByName(several.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
     a, b = some.alias("a"), some.alias("b")
     both = near.join(a, F.col("a") == F.col("a.id")).join(b, F.col("b") == F.col("b.id")).where("a.form <> b.form")
@@ -179,8 +179,8 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = links.select(F.explode(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other")))).alias("x")).select("x.*").unionByName(cases.select("form", F.col("form").alias("other")).distinct())
     reached = ends.join(of_loans, "other", "left_semi").select("form").distinct()
     lost = stored(cases.join(cases.join(reached, "form", "left_semi").select("record").distinct(), "record", "left_anti"), "case_names")
-    keys = lost.select(*same).distinct()
-    alone = rec.where(loan & F.col("place").isNotNull()).select(*same, "form", "place").join(keys, same, "left_semi").groupBy(*same).agg(F.min("place").alias("p"), F.max("place").alias("q"), F.collect_set("form").alias("f")).where("p = q")
+    key = F.xxhash64(*same).alias("key")
+    alone = rec.where(loan & F.col("place").isNotNull()).select(key, *same, "form", "place").join(few(lost.select(key).distinct()), "key", "left_semi").groupBy(*same).agg(F.min("place").alias("p"), F.max("place").alias("q"), F.collect_set("form").alias("f")).where("p = q")
     more = lost.select("form", *same).distinct().join(alone, same).select(F.col("form").alias("x"), F.explode("f").alias("y")).select(F.least("x", "y").alias("form_a"), F.greatest("x", "y").alias("form_b")).where("form_a <> form_b")
     return rec.select("record", "form", "place"), links.unionByName(more).distinct()
 
@@ -194,10 +194,11 @@ def same_name_pairs(loans: DataFrame, cases: DataFrame, releases: DataFrame) ->
     tables give an empty result.
     """
     members, links = name_links(name_records(loans, cases, releases))
-    several = members.where("place is not null").groupBy(F.col("form").alias("form_a")).agg(F.min("record").alias("p"), F.max("record").alias("q")).where("p <> q").select("form_a", F.col("form_a").alias("form_b"))
-    pairs = links.select("form_a", "form_b").unionByName(several)
+    one = F.xxhash64("record")
+    several = members.where("place is not null").groupBy(F.col("form").alias("form_a")).agg(F.min(one).alias("p"), F.max(one).alias("q")).where("p <> q").select("form_a", F.col("form_a").alias("form_b"))
+    pairs = stored(links.select("form_a", "form_b").unionByName(several), "name_pairs")
     ends = pairs.select(F.col("form_a").alias("form")).unionByName(pairs.select(F.col("form_b").alias("form"))).distinct()
-    some = stored(members.select("form", "record").join(ends, "form", "left_semi").distinct(), "name_members")
+    some = stored(members.select("form", "record").join(few(ends), "form", "left_semi").distinct(), "name_members")
     a, b = (some.select(F.col("form").alias(f"form_{s}"), F.col("record").alias(f"r_{s}")) for s in "ab")
     got = pairs.join(a, "form_a").join(b, "form_b").where("r_a <> r_b")
     return got.select(F.least("r_a", "r_b").alias("name_a"), F.greatest("r_a", "r_b").alias("name_b")).distinct()
