@@ -27,12 +27,15 @@ FUNCTION = set(" ".join(FUNCTION_WORDS.values()).split()) | {"of", "de"}
 COMMON = FUNCTION
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*(?=$|[\s.,;:!?)\]\"”’'…/-])|[$€£]?\(?\d[\d.,:/%$)-]*(?=$|\s|[.,;:!?|)\t])|[.?!]+(?=\s|$)|,(?=\s|$)|[^\s]+?(?=$|\s|[,;|>\t](?=\s|$))|[^\s]")
+WORD = re.compile(r"[^\W\d_]+")
+ENDS = re.compile(r"(?<=[.!?])\s+(?=\S)")
 MARK = re.compile(r"^\s*(?:[•*·▪◦‣#>+-]|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlcIVXLC]{1,5})[.)])\s*(?=\S)")
 MOJIBAKE = re.compile(r"[ÃÂâï][\x80-\xbf€™œ“”¿½©±¼¡\xa0]?|�|�")
+MARKS = ".,;:!?'\"’“”()"
 SEPARATOR = re.compile(r"\s\|\s|^\||\||;|\t|\s>\s|,(?=\S)| {2,}| \.{3,} |:\s")
 CLASSES = ("function", "weak", "word", "capital", "number", "garbled", "symbol", "stop", "comma", "repeat", "mark", "field")
 
-# Structural profiles: expected shares of the token classes above, estimated on lines of each kind.
+# Structural profiles: expected shares of the token classes above, set by hand from a look at lines of each kind.
 PROFILES = {
     "prose": (.300, .130, .330, .075, .030, .004, .003, .055, .020, .020, .002, .006),
     "prose/notes": (.240, .080, .400, .110, .040, .006, .010, .030, .050, .015, .002, .005),
@@ -93,49 +96,57 @@ def token_class(t: str) -> int:
     return 3 if w[0].isupper() else 2
 
 
-def line_counts(line: str, seen: list[str]) -> np.ndarray:
+@lru_cache(200_000)
+def chunk_tokens(chunk: str) -> tuple[tuple[str, int], ...]:
+    """Tokens with their classes of a stretch without blanks."""
+    return tuple((t, token_class(t)) for t in ([chunk] if chunk.isalpha() else TOKEN.findall(chunk)))
+
+
+def line_counts(line: str, shouted: bool, seen: list[str]) -> list[int]:
     """Tokens of a line by class. seen: the last words before it, for repeats; lines in capitals count as lower case."""
-    c = np.zeros(len(CLASSES))
-    upper = sum(x.isupper() for x in line)
-    if upper > 0.6 * max(1, sum(x.isalpha() for x in line)):
+    c = [0] * len(CLASSES)
+    if shouted:
         line = line.lower()
     if m := MARK.match(line):
-        c[10] += 1
+        c[10] = 1
         line = line[m.end() :]
     c[11] = len(SEPARATOR.findall(line.strip()))
-    for t in TOKEN.findall(line):
-        k = token_class(t)
-        if k in (2, 3):
-            if t in seen:
-                c[9] += 1
-            else:
-                c[k] += 1
-            seen.append(t)
-            if len(seen) > 12:
-                del seen[0]
-        else:
+    for chunk in line.split():
+        for t, k in chunk_tokens(chunk):
+            if k == 2 or k == 3:
+                if t in seen:
+                    k = 9
+                seen.append(t)
+                if len(seen) > 12:
+                    del seen[0]
             c[k] += 1
     return c
 
 
-def sign_counts(line: str) -> np.ndarray:
-    s = "".join(line.split())
-    low = sum(x.islower() for x in s)
-    up = sum(x.isupper() for x in s)
-    if up > 0.6 * max(1, up + low):
-        low, up = up + low, 0
-    digit = sum(x.isdigit() for x in s)
-    mark = sum(x in ".,;:!?'\"’“”()" for x in s)
-    return np.array([low, up, digit, mark, len(s) - low - up - digit - mark], float)
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Class of each code point: 0 blank, 1 lower case, 2 capital, 3 digit, 4 sentence mark, 5 other sign or letter."""
+    out = np.full(1 << 16, 5, np.int64)
+    for i in range(1 << 16):
+        x = chr(i)
+        out[i] = 0 if x.isspace() else 1 if x.islower() else 2 if x.isupper() else 3 if x.isdigit() else 4 if x in MARKS else 5
+    return out
+
+
+def sign_counts(parts: list[str]) -> np.ndarray:
+    """Lower-case letters, capitals, digits, sentence marks and other signs of each part."""
+    code = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    part = np.cumsum(code == 10)
+    return np.bincount(part * 6 + _kinds()[np.minimum(code, 0xFFFF)], minlength=6 * len(parts)).reshape(-1, 6)[: len(parts), 1:].astype(float)
+
+
+LOG_Q = {id(q): np.where(q > 0, q * np.log2(np.where(q > 0, q, 1)), 0).sum(1) for q in (TOKENS, CHARS)}
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row of p to each row of q."""
-    p, q = p[:, None, :], q[None, :, :]
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = np.where(p > 0, p * np.log2(p / m), 0), np.where(q > 0, q * np.log2(q / m), 0)
-    return (a.sum(2) + b.sum(2)) / 2
+    """Jensen-Shannon divergence in bits of each row of p (no zeros) to each row of the profiles q."""
+    m = (p[:, None, :] + q[None, :, :]) / 2
+    return (np.sum(p * np.log2(p), 1)[:, None] + LOG_Q[id(q)][None, :]) / 2 - np.sum(m * np.log2(m), 2)
 
 
 def nearest(tokens: np.ndarray, signs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -165,21 +176,25 @@ def statistics(text: str) -> tuple:
     if not lines:
         return 0, None, None, None, None, 0.0, 0.0, 0.0, 0.0, None
     # very long lines are cut at sentence ends, so that a page in one line isn't one vote
-    parts = [p for x in lines for p in (re.split(r"(?<=[.!?])\s+(?=\S)", x) if len(x) > 600 else [x]) if p.strip()]
+    parts = [p for x in lines for p in (ENDS.split(x) if len(x) > 600 else [x]) if p.strip()]
     seen: list[str] = []
-    tokens = np.array([line_counts(p, seen) for p in parts])
-    signs = np.array([sign_counts(p) for p in parts])
+    parts = [p.replace("\n", " ") for p in parts]
+    signs = sign_counts(parts)
+    shouted = signs[:, 1] > 0.6 * np.maximum(1, signs[:, 0] + signs[:, 1])
+    signs[shouted, 0] += signs[shouted, 1]
+    signs[shouted, 1] = 0
+    tokens = np.array([line_counts(p, u, seen) for p, u in zip(parts, shouted.tolist())], float)
     sizes = signs.sum(1)
     kind = nearest(tokens, signs, sizes)
     family = np.array([k.split("/")[0] for k in NAMES])[kind]
     share = {f: float(sizes[family == f].sum() / sizes.sum()) for f in ("prose", "list", "table", "junk")}
-    words = re.findall(r"[^\W\d_]+", text)
+    words = WORD.findall(text)
     total = tokens.sum(0)
     alpha = total[[0, 1, 2, 3, 5, 9]].sum()
     whole = (tokens.sum(0, keepdims=True) + 0.02) / (tokens.sum() + 0.02 * len(CLASSES))
     ended = sum(x.rstrip()[-1] in ".!?:;\"”’)" for x in lines) / len(lines)
     return (
-        len(words), float(np.mean([len(w) for w in words])) if words else None, float((sizes.sum() - signs[:, :3].sum()) / sizes.sum()), float(ended),
+        len(words), sum(map(len, words)) / len(words) if words else None, float((sizes.sum() - signs[:, :3].sum()) / sizes.sum()), float(ended),
         float(total[:2].sum() / alpha) if alpha else None, share["prose"], share["list"], share["table"], share["junk"], NAMES[int((divergence(whole, TOKENS)).argmin())],
     )
 
