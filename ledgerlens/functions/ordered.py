@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 SLICES = 64
 
 
@@ -26,7 +28,8 @@ def counted(df: DataFrame, keys: list[str], value: str, slices: int = SLICES) ->
     Null and NaN values are left out; null keys aren't.
     """
     v = F.col(value)
-    cells = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    # read three times below, so written once: else every caller's plan would be run for each
+    cells = stored(df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "cells")
     cells = _with_slices(cells, keys, value, slices)
     sums = cells.groupBy(*keys, "_slice").agg(F.sum("n").alias("_sum"))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # at most `slices` rows
@@ -62,6 +65,7 @@ def with_mean_rank(df: DataFrame, keys: list[str], value: str, name: str = "pct_
 
 def with_q_values(df: DataFrame, p: str = "p_value", name: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q-values over all rows: the least p * total / rank from each p upwards, at most 1."""
+    df = stored(df, "p_values")
     c = counted(df, [], p).withColumn("_raw", F.col(p) * F.col("total") / (F.col("before") + F.col("n")))
     later = c.groupBy("_slice").agg(F.min("_raw").alias("_min"))
     after = Window.partitionBy(F.lit(0)).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
@@ -80,8 +84,6 @@ def with_ranks(df: DataFrame, by: list[Column], name: str = "rank", head: int |
         top = df.orderBy(*by).limit(head)
         return top.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)))  # at most `head` rows
     ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
-    from .store import stored
-
     ordered = stored(ordered, "ordered")
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     first = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import group_quantiles
+from .store import stored
 
 MAD_TO_SIGMA = 0.6744897501960817
 
@@ -46,7 +47,7 @@ def with_robust_z(df: DataFrame, keys: list[str], value: str, least_mad: float =
     """
     med = group_quantiles(df, keys, value, {median: 0.5})
     one = df.join(med, keys) if keys else df.join(F.broadcast(med))  # without keys: one row
-    one = one.withColumn("_dev", F.abs(F.col(value) - F.col(median)))
+    one = stored(one.withColumn("_dev", F.abs(F.col(value) - F.col(median))), "deviations")
     mad = group_quantiles(one, keys, "_dev", {"_mad": 0.5})
     both = one.join(mad, keys) if keys else one.join(F.broadcast(mad))
     z = F.when(F.col("_mad") > 0, MAD_TO_SIGMA * (F.col(value) - F.col(median)) / F.greatest("_mad", F.lit(least_mad)))

@@ -70,6 +70,15 @@ def ngrams(tokens: Column, least: int = 2, most: int = 6) -> Column:
     return F.filter(F.array_distinct(runs), lambda g: ~g.isin(GENERIC_PHRASES))
 
 
+def run_hashes(words: Column, least: int = 2, most: int = 6) -> Column:
+    """Hashes of all different runs of least to most words of an array, for joins on runs."""
+
+    def of(t: Column, n: int) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(words), lambda t: F.array(*[of(t, n) for n in range(least, most + 1)])))))
+
+
 @F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Entities of markup; there is no built-in function for them."""

@@ -17,6 +17,7 @@ from ..functions import text
 from ..functions.embed import embed
 from ..functions.ordered import group_quantiles, with_q_values
 from ..functions.stats import rounded, upper_tail_p, with_robust_z
+from ..functions.store import stored
 from ..sources.readers import one_per_loan
 
 # Monthly pay caps by industry, sector titles, recency tells.
@@ -42,9 +43,10 @@ def cohort_outlier(loans: DataFrame, min_cohort_size: int = 30, fdr: float = 0.0
     per_job = F.col("current_approval_amount") / F.col("jobs_reported")
     base = base.select("loan_number", "borrower_name", "naics_code", F.col("borrower_state").alias("state"), F.col("current_approval_amount").alias("amount"), "jobs_reported", per_job.alias("amount_per_job"), F.log1p(per_job).alias("_x"), F.concat_ws(" | ", "naics_code", "borrower_state").alias("cohort"))
     size = base.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size")).where(F.col("cohort_size") >= min_cohort_size)
-    rows = with_robust_z(base.join(size, "cohort"), ["cohort"], "_x", min_mad, "_z").withColumn("_z", F.greatest(F.coalesce("_z", F.lit(0.0)), F.lit(0.0)))
+    base = stored(base.join(size, "cohort"), "cohorts")
+    rows = with_robust_z(base, ["cohort"], "_x", min_mad, "_z").withColumn("_z", F.greatest(F.coalesce("_z", F.lit(0.0)), F.lit(0.0)))
     rows = with_q_values(rows.withColumn("p_value", upper_tail_p(F.col("_z"))))
-    raw = group_quantiles(base.join(size, "cohort", "left_semi"), ["cohort"], "amount_per_job", {"cohort_median_amount_per_job": 0.5})
+    raw = group_quantiles(base, ["cohort"], "amount_per_job", {"cohort_median_amount_per_job": 0.5})
     hit = rows.where((F.col("q_value") <= fdr) & (F.col("_z") >= min_z)).join(raw, "cohort")
     return hit.select(
         "loan_number", rounded("_z", 4).alias("score"), "cohort", "cohort_size", "naics_code", "state", "borrower_name", "amount", "jobs_reported", rounded("amount_per_job", 2).alias("amount_per_job"), rounded("cohort_median_amount_per_job", 2).alias("cohort_median_amount_per_job"),
@@ -115,6 +117,7 @@ def lender_concentration(loans: DataFrame, min_loans: int = 100, min_z: float =
     """Lenders whose share of loans at or above the cap stands out among lenders with enough loans."""
     base = usable(one_per_loan(loans, "originating_lender", "naics_code", "current_approval_amount", "jobs_reported")).where(F.coalesce("originating_lender", F.lit("")) != "").select("loan_number", "originating_lender", (F.col("current_approval_amount") / F.col("jobs_reported") >= cap_of()).cast("int").alias("_bust"))
     books = base.groupBy("originating_lender").agg(F.count(F.lit(1)).alias("lender_loan_count"), F.sum("_bust").alias("lender_suspicious_count")).where(F.col("lender_loan_count") >= min_loans).withColumn("_rate", F.col("lender_suspicious_count") / F.col("lender_loan_count"))
+    books = stored(books, "lenders")
     z = with_robust_z(books, [], "_rate", min_mad, "_z").where(F.col("_z") >= min_z)
     return base.join(z, "originating_lender").select("loan_number", rounded("_z", 4).alias("score"), "originating_lender", "lender_loan_count", "lender_suspicious_count", rounded("_rate", 4).alias("lender_suspicious_rate"), rounded("_z", 4).alias("lender_robust_z"), F.lit(min_loans).alias("min_loans"), F.lit(min_z).alias("min_z"))
 

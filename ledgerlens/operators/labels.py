@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import rounded
+from ..functions.store import stored
 from ..sources.readers import one_per_loan
 
 # State codes with names.
@@ -50,11 +51,13 @@ def resolve_exact(releases: DataFrame, loans: DataFrame, threshold: float = 0.6,
     or 0.15 within a fifth of the alleged one, 0.10 for names of three words and more. An amount is required. Of
     several runs for a release and loan the most confident counts, then the longest, then the first by letter.
     """
-    r = _staged(releases).where(F.col("program").isin(*programs))
-    runs = r.select("url", F.explode(text.ngrams(text.name_tokens("_text"))).alias("name"))
+    r = _staged(releases).where(F.col("program").isin(*programs)).withColumn("rid", F.xxhash64("url")).withColumn("_words", F.array_join(text.name_tokens("_text"), " "))
+    r = stored(r.select("rid", "url", "_text", "_words", "alleged_amount", "published_date", "source"), "staged")
+    # runs travel as hashes; that a name really stands among the words is checked after the join
+    runs = r.select("rid", F.explode(text.run_hashes(F.split("_words", " "))).alias("h"))
     l = one_per_loan(loans, "borrower_name", "borrower_state", "current_approval_amount").where(F.col("borrower_name").isNotNull())
-    l = l.select("loan_number", F.col("borrower_state").alias("state"), F.col("current_approval_amount").alias("amount"), text.name_tokens("borrower_name").alias("_t")).where(F.size("_t") >= 2).withColumn("name", F.array_join("_t", " "))
-    hit = runs.join(l, "name").join(r.select("url", "_text", "alleged_amount", "published_date", "source"), "url")
+    l = l.select("loan_number", F.col("borrower_state").alias("state"), F.col("current_approval_amount").alias("amount"), text.name_tokens("borrower_name").alias("_t")).where(F.size("_t").between(2, 6)).withColumn("name", F.array_join("_t", " ")).where(~F.col("name").isin(text.GENERIC_PHRASES)).withColumn("h", F.xxhash64("name"))
+    hit = runs.join(l, "h").join(r, "rid").where(F.concat(F.lit(" "), "_words", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("name"), F.lit(" "))))
     upper = F.upper("_text")
     state = F.coalesce(F.col("state"), F.lit("")) != ""
     in_state = state & _state_in(F.col("state"), upper)

@@ -43,17 +43,30 @@ def ranking() -> str:
     return f"(SELECT loan_number, row_number() OVER (ORDER BY round_even(composite_score, 9) DESC, loan_number) AS rank FROM {composite()})"
 
 
-def cohort(where: str = "true") -> str:
+def cohort(size: int = 30, fdr: float = 0.01, least_z: float = 3) -> str:
     z = f"CASE WHEN mad > 0 THEN greatest(0.6744897501960817 * (x - med) / greatest(mad, 0.05), 0) ELSE 0.0 END"
     return f"""WITH b AS (SELECT *, current_approval_amount / jobs_reported AS d, ln(1 + current_approval_amount / jobs_reported) AS x, naics_code || ' | ' || borrower_state AS cohort FROM {distinct('borrower_name', 'naics_code', 'borrower_state', 'current_approval_amount', 'jobs_reported')} WHERE {USABLE} AND naics_code IS NOT NULL AND borrower_state IS NOT NULL),
-    c AS (SELECT cohort, count(*) AS cohort_size, median(x) AS med, median(d) AS raw FROM b GROUP BY 1 HAVING count(*) >= 30),
+    c AS (SELECT cohort, count(*) AS cohort_size, median(x) AS med, median(d) AS raw FROM b GROUP BY 1 HAVING count(*) >= {size}),
     m AS (SELECT cohort, median(abs(x - med)) AS mad FROM b JOIN c USING (cohort) GROUP BY 1),
     z AS (SELECT *, {z} AS z FROM b JOIN c USING (cohort) JOIN m USING (cohort)),
     p AS (SELECT *, {upper_tail_sql('z')} AS p FROM z),
     r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw_q FROM p),
     q AS (SELECT *, least(1.0, min(raw_q) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM r)
-    SELECT loan_number, round_even(z, 4) AS score, cohort, cohort_size, naics_code, borrower_state AS state, borrower_name, current_approval_amount AS amount, jobs_reported, round_even(d, 2) AS amount_per_job, round_even(raw, 2) AS cohort_median_amount_per_job, round_even(d / raw, 2) AS x_cohort_median, round_even(z, 4) AS robust_z, round_even(p, 6) AS p_value, round_even(q, 6) AS q_value, CAST(0.01 AS DOUBLE) AS fdr_target
-    FROM q WHERE q <= 0.01 AND z >= 3"""
+    SELECT loan_number, round_even(z, 4) AS score, cohort, cohort_size, naics_code, borrower_state AS state, borrower_name, current_approval_amount AS amount, jobs_reported, round_even(d, 2) AS amount_per_job, round_even(raw, 2) AS cohort_median_amount_per_job, round_even(d / raw, 2) AS x_cohort_median, round_even(z, 4) AS robust_z, round_even(p, 6) AS p_value, round_even(q, 6) AS q_value, CAST({fdr} AS DOUBLE) AS fdr_target
+    FROM q WHERE q <= {fdr} AND z >= {least_z}"""
+
+
+def overcount(ratio: float = 4.0) -> str:
+    return f"""WITH b AS (SELECT loan_number, substr(trim(borrower_zip), 1, 5) AS zip, substr(trim(naics_code), 1, 6) AS naics_cell FROM {distinct('borrower_zip', 'naics_code')}),
+          c AS (SELECT zip, naics_cell, count(*) AS n FROM b WHERE coalesce(zip, '') <> '' AND coalesce(naics_cell, '') <> '' GROUP BY 1, 2), e AS (SELECT substr(trim(zip), 1, 5) AS zip, substr(trim(naics), 1, 6) AS naics_cell, CAST(sum(establishments) AS BIGINT) AS est FROM establishments WHERE establishments IS NOT NULL GROUP BY 1, 2)
+          SELECT loan_number, round_even(ln(n / greatest(est, 1)), 4) AS score, zip, naics_cell, 6 AS naics_digits, n AS ppp_loan_count, est AS establishment_count, round_even(n / greatest(est, 1), 4) AS ratio, CAST({ratio} AS DOUBLE) AS min_ratio FROM b JOIN c USING (zip, naics_cell) JOIN e USING (zip, naics_cell) WHERE n / greatest(est, 1) >= {ratio}"""
+
+
+def lenders(least: int = 100, least_z: float = 3.0) -> str:
+    return f"""WITH b AS (SELECT loan_number, originating_lender, CASE WHEN current_approval_amount / jobs_reported >= CAST({CAP} AS DOUBLE) THEN 1 ELSE 0 END AS bust FROM {distinct('originating_lender', 'naics_code', 'current_approval_amount', 'jobs_reported')} WHERE {USABLE} AND coalesce(originating_lender, '') <> ''),
+          k AS (SELECT originating_lender, count(*) AS n, CAST(sum(bust) AS BIGINT) AS s, sum(bust) / count(*) AS rate FROM b GROUP BY 1 HAVING count(*) >= {least}), m AS (SELECT median(rate) AS med FROM k), d AS (SELECT median(abs(rate - med)) AS mad FROM k, m),
+          z AS (SELECT k.*, CASE WHEN mad > 0 THEN 0.6744897501960817 * (rate - med) / greatest(mad, 0.01) END AS z FROM k, m, d)
+          SELECT loan_number, round_even(z, 4) AS score, originating_lender, n AS lender_loan_count, s AS lender_suspicious_count, round_even(rate, 4) AS lender_suspicious_rate, round_even(z, 4) AS lender_robust_z, {least} AS min_loans, CAST({least_z} AS DOUBLE) AS min_z FROM b JOIN z USING (originating_lender) WHERE z >= {least_z}"""
 
 
 def edges(key: str) -> str:
@@ -165,13 +178,11 @@ def sql() -> dict[str, str]:
         "detect_amount_anomaly": f"""WITH b AS (SELECT *, CAST(round_even(current_approval_amount * 100, 0) AS BIGINT) AS cents, CAST({CAP} AS DOUBLE) AS cap, CASE WHEN jobs_reported >= 1 THEN current_approval_amount / jobs_reported END AS d FROM {ln('borrower_name', 'naics_code', 'borrower_state', 'current_approval_amount', 'jobs_reported')} WHERE current_approval_amount > 0),
           c AS (SELECT *, CASE WHEN cents % 1000000 = 0 THEN 10000 WHEN cents % 500000 = 0 THEN 5000 WHEN cents % 100000 = 0 THEN 1000 END AS v, CASE WHEN cents % 1000000 = 0 THEN 1.0 WHEN cents % 500000 = 0 THEN 0.66 WHEN cents % 100000 = 0 THEN 0.33 ELSE 0.0 END AS r, CASE WHEN d >= cap * (1 - CAST(0.05 AS DOUBLE)) AND d <= cap THEN (d - cap * (1 - CAST(0.05 AS DOUBLE))) / (cap - cap * (1 - CAST(0.05 AS DOUBLE))) ELSE 0.0 END AS n FROM b)
           SELECT loan_number, round_even(CAST(r AS DOUBLE) + n, 4) AS score, naics_code, borrower_state AS state, borrower_name, current_approval_amount AS amount, jobs_reported, v AS round_divisor, CAST(r AS DOUBLE) AS round_score, round_even(d, 2) AS per_employee_amount, cap AS per_employee_cap, round_even(n, 4) AS cap_maximization_score, concat_ws(',', CASE WHEN n > 0 THEN 'cap_maximization' END, CASE WHEN r > 0 THEN 'round_amount' END) AS signals_fired FROM c WHERE r + n > 0""",
-        "detect_establishment_overcount": f"""WITH b AS (SELECT loan_number, substr(trim(borrower_zip), 1, 5) AS zip, substr(trim(naics_code), 1, 6) AS naics_cell FROM {ln('borrower_zip', 'naics_code')}),
-          c AS (SELECT zip, naics_cell, count(*) AS n FROM b WHERE coalesce(zip, '') <> '' AND coalesce(naics_cell, '') <> '' GROUP BY 1, 2), e AS (SELECT substr(trim(zip), 1, 5) AS zip, substr(trim(naics), 1, 6) AS naics_cell, CAST(sum(establishments) AS BIGINT) AS est FROM establishments WHERE establishments IS NOT NULL GROUP BY 1, 2)
-          SELECT loan_number, round_even(ln(n / greatest(est, 1)), 4) AS score, zip, naics_cell, 6 AS naics_digits, n AS ppp_loan_count, est AS establishment_count, round_even(n / greatest(est, 1), 4) AS ratio, CAST(4 AS DOUBLE) AS min_ratio FROM b JOIN c USING (zip, naics_cell) JOIN e USING (zip, naics_cell) WHERE n / greatest(est, 1) >= 4""",
-        "detect_lender_concentration": f"""WITH b AS (SELECT loan_number, originating_lender, CASE WHEN current_approval_amount / jobs_reported >= CAST({CAP} AS DOUBLE) THEN 1 ELSE 0 END AS bust FROM {ln('originating_lender', 'naics_code', 'current_approval_amount', 'jobs_reported')} WHERE {USABLE} AND coalesce(originating_lender, '') <> ''),
-          k AS (SELECT originating_lender, count(*) AS n, CAST(sum(bust) AS BIGINT) AS s, sum(bust) / count(*) AS rate FROM b GROUP BY 1 HAVING count(*) >= 100), m AS (SELECT median(rate) AS med FROM k), d AS (SELECT median(abs(rate - med)) AS mad FROM k, m),
-          z AS (SELECT k.*, CASE WHEN mad > 0 THEN 0.6744897501960817 * (rate - med) / greatest(mad, 0.01) END AS z FROM k, m, d)
-          SELECT loan_number, round_even(z, 4) AS score, originating_lender, n AS lender_loan_count, s AS lender_suspicious_count, round_even(rate, 4) AS lender_suspicious_rate, round_even(z, 4) AS lender_robust_z, 100 AS min_loans, CAST(3 AS DOUBLE) AS min_z FROM b JOIN z USING (originating_lender) WHERE z >= 3""",
+        "detect_establishment_overcount": overcount(),
+        "detect_establishment_overcount_relaxed": overcount(0.3),
+        "detect_lender_concentration": lenders(),
+        "detect_lender_concentration_relaxed": lenders(20, 1.0),
+        "detect_naics_cohort_outlier_relaxed": cohort(10, 0.25, 1.5),
         "detect_business_recency": f"SELECT * FROM (SELECT loan_number, CASE lower(trim(business_age_description)) WHEN 'startup, loan funds will open business' THEN CAST(3 AS DOUBLE) WHEN 'new business or 2 years or less' THEN CAST(2 AS DOUBLE) WHEN 'change of ownership' THEN CAST(1 AS DOUBLE) END AS score, business_age_description, date_approved, lower(trim(business_age_description)) AS matched_tell FROM {ln('business_age_description', 'date_approved')}) WHERE score IS NOT NULL",
         "rank_composite": f"SELECT loan_number, borrower_name, naics_code, state, amount, jobs_reported, round_even(composite_score, 6) AS composite_score, n_signals, detectors FROM {composite()}",
         "rank_baseline_top100": f"SELECT loan_number, round_even(s, 4) AS score, CAST(row_number() OVER (ORDER BY s DESC, loan_number) AS INTEGER) AS rank FROM (SELECT loan_number, current_approval_amount / jobs_reported AS s FROM {ln('current_approval_amount', 'jobs_reported')} WHERE {USABLE}) QUALIFY rank <= 100",

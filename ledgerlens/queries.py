@@ -46,6 +46,22 @@ for _name in detectors.REGISTRY:
     _detector(_name)
 
 
+@query
+def detect_naics_cohort_outlier_relaxed(s, d):
+    return detectors.cohort_outlier(_loans(s, d), 10, 0.25, 1.5)
+
+
+@query
+def detect_establishment_overcount_relaxed(s, d):
+    wh = _wh(s, d)
+    return detectors.establishment_overcount(wh.read("loans"), wh.read("establishments"), 0.3)
+
+
+@query
+def detect_lender_concentration_relaxed(s, d):
+    return detectors.lender_concentration(_loans(s, d), 20, 1.0)
+
+
 @query
 def signals_by_detector(s, d):
     wh = _wh(s, d)
