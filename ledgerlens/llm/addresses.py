@@ -211,7 +211,8 @@ def same_places(loans: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFr
     counts gives the weights, and each candidate gets its posterior.
 
     Loans without a usable address, or without both town and post code, have no spot. Null loan numbers are dropped;
-    repeated rows count once; a loan typed with two addresses has two spots.
+    repeated rows count once; a loan typed with two addresses has two spots. A spelling without a street type or
+    direction agrees with every one at its number and street.
     """
     rows = with_place(loans.select("loan_number", "borrower_address", "borrower_city", "borrower_state", "borrower_zip").where(F.col("loan_number").isNotNull()), towns_of(loans))
     rows = rows.select("loan_number", "borrower_address", "borrower_city", "zip5", "place")
