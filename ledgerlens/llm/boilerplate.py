@@ -114,7 +114,8 @@ def repeated_lines(df: DataFrame, id: str = "id", source: str = "source", text:
         for b in batches:
             b = b[b["text"].notna()]
             # one very long text at a time, else a few thousand characters each
-            for part in np.array_split(b, max(1, int(b["text"].str.len().sum() // 2_000_000))):
+            parts = max(1, int(b["text"].str.len().sum() // 2_000_000))
+            for part in (b.iloc[i::parts] for i in range(parts)):
                 texts = part["text"].tolist()
                 c = chunks_of(texts, True)
                 if not len(c):
