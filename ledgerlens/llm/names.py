@@ -39,8 +39,26 @@ def with_name_parts(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col(name).isNotNull()).mapInArrow(read, f"{fields}, {', '.join(f'{p} string' for p in parts)}")
 
 
+def _swapped(word: str, k: int) -> list[str]:
+    """word, and word with the letters at up to k borders of its k + 1 even segments swapped."""
+    base, extra = divmod(len(word), k + 1)
+    ends = [base * (i + 1) + max(0, i + 1 - (k + 1 - extra)) for i in range(k)]
+    out = {((), word)}
+    for e in ends:
+        out |= {((*at, e), w[: e - 1] + w[e] + w[e - 1] + w[e + 1 :]) for at, w in out if not at or at[-1] < e - 1}
+    return [w for _, w in out]
+
+
 def _signatures(word: str, k: int, member: bool) -> list[str]:
-    """PassJoin: a member's k + 1 even segments; for a query every substring that such a segment can equal."""
+    """PassJoin: a member's k + 1 even segments; for a query every substring that such a segment can equal.
+
+    A swap of neighbours is one edit but spoils two segments if it lies across their border. So a member has the
+    segments of its _swapped() forms too: in one of them all such swaps are done, and each edit left spoils one segment.
+    """
+    return sorted({x for w in (_swapped(word, k) if member else [word]) for x in _segments(w, k, member)})
+
+
+def _segments(word: str, k: int, member: bool) -> list[str]:
     n = len(word)
     out = []
     for size in [n] if member else range(max(k + 1, n - k), n + k + 1):
