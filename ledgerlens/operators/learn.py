@@ -38,7 +38,7 @@ def _positive(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("loan_number", vector_to_array("probability")[1].alias("score"))
 
 
-def pu_bagging(features: DataFrame, train: DataFrame, bags: int = 10, depth: int = 8, least: int = 5, seed: int = 42) -> DataFrame:
+def pu_bagging(features: DataFrame, train: DataFrame, bags: int = 50, depth: int = 8, least: int = 5, seed: int = 42) -> DataFrame:
     """(loan_number, score): mean out-of-bag score of trees that each see all positives and as many unlabelled loans.
 
     The bag of an unlabelled loan comes from a hash, so bags are reproducible. A loan that was in every bag gets the

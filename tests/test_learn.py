@@ -1,3 +1,4 @@
+import inspect
 import random
 
 from pyspark.sql import functions as F
@@ -31,3 +32,7 @@ def test_models_find_what_positives_share(spark, loans):
     for score in (learn.pu_bagging(feats, train, bags=3), learn.boosted(feats, train, maxIter=5)):
         m = dict(score.groupBy(F.when(F.col("loan_number") < "L100", "rest").when(F.col("loan_number") >= "L110", "hidden").otherwise("train").alias("g")).agg(F.avg("score")).collect())
         assert m["hidden"] > m["rest"]
+
+
+def test_bagging_has_all_trees_of_the_reference():
+    assert inspect.signature(learn.pu_bagging).parameters["bags"].default == 50
