@@ -162,7 +162,7 @@ def _agree(c: str) -> Column:
 
 
 def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of name_records(): members(record, form, place), links(form_a, form_b) between different forms of one name.
+    """(members, links) of name_records(): members(record, form, place), links(form_a, form_b) between different forms of one name, and of forms without a town to themselves.
 
     A form is one set of name parts in one town. People match on first name (short forms count as the full name) or
     initial, firms on trade; the remaining words, in the order typed and in sorted order, go into tries sharded by
@@ -170,7 +170,8 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     initials may be missing on a side but not contradict.
     """
     same = ["kind", "shard", "turned"]
-    rec = records
+    loan = F.col("record").startswith("L")
+    rec = records.where(~loan | F.col("place").isNotNull())
     first = F.col("kind") == "I"
     shard = F.xxhash64("place", F.when(first, "P").otherwise(F.col("kind")), "shard")
     # a person is also looked up by the initial of the first name
@@ -191,15 +192,23 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = kinds & (F.col("distance") <= F.when(F.least("a.n", "b.n") >= 7, EDITS).otherwise(1)) & _agree("fillers") & _agree("legal") & _agree("initial")
     links = stored(both.where(fine).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b")).distinct(), "name_links")
     # cases not linked to any loan in their towns: an equal name that stands in one town alone
-    loan = F.col("record").startswith("L")
     of_loans = rec.where(loan).select(F.col("form").alias("other")).distinct()
-    cases = stored(rec.where(~loan).select("record", "form", *same), "case_names")
+    cases = stored(rec.where(~loan).select("record", "form", "place", *same), "case_names")
     ends = links.select(F.explode(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other")))).alias("x")).select("x.*").unionByName(cases.select("form", F.col("form").alias("other")).distinct())
     reached = ends.join(of_loans, "other", "left_semi").select("form").distinct()
     lost = stored(cases.join(cases.join(reached, "form", "left_semi").select("record").distinct(), "record", "left_anti"), "case_names")
     key = F.xxhash64(*same).alias("key")
-    alone = rec.where(loan & F.col("place").isNotNull()).select(key, *same, "form", "place").join(few(lost.select(key).distinct()), "key", "left_semi").groupBy(*same).agg(F.min("place").alias("p"), F.max("place").alias("q"), F.collect_set("form").alias("f")).where("p = q")
-    more = lost.select("form", *same).distinct().join(alone, same).select(F.col("form").alias("x"), F.explode("f").alias("y")).select(F.least("x", "y").alias("form_a"), F.greatest("x", "y").alias("form_b")).where("form_a <> form_b")
+    named = stored(rec.where(F.col("place").isNotNull()).select(key, *same, "form", "place", loan.alias("of_loan")).join(few(lost.select(key).distinct()), "key", "left_semi").drop("key").distinct(), "lost_names")
+    ends_of = lambda c, tag: (F.min(F.when(c, F.col("place"))).alias(f"{tag}0"), F.max(F.when(c, F.col("place"))).alias(f"{tag}1"))
+    per = named.groupBy(*same).agg(*ends_of(F.col("of_loan"), "l"), *ends_of(~F.col("of_loan"), "c"))
+    # the town of the loans of that name or, without loans, of its cases; names that stand in several are left out
+    town = lost.select(*same).distinct().join(per, same, "left").where("l0 = l1 or l0 is null and (c0 is null or c0 = c1)").select(*same, F.coalesce("l0", "c0").alias("town"))
+    free = lost.select("form", *same, "place").distinct().join(town, same).select(*same, F.col("form").alias("x"), F.col("place").alias("px"), "town")
+    to = named.select(*same, F.col("form").alias("y"), F.col("place").alias("py"), "of_loan")
+    there = free.join(to, same).where("py = town and (of_loan or px is null or px <> town)")
+    # records of no known town also go with each other, those of one form included
+    both = free.where("px is null").select(*same, "x").join(free.select(*same, F.col("x").alias("y")), same)
+    more = there.select("x", "y").where("x <> y").unionByName(both.select("x", "y")).select(F.least("x", "y").alias("form_a"), F.greatest("x", "y").alias("form_b"))
     return rec.select("record", "form", "place"), links.unionByName(more).distinct()
 
 
