@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,6 @@ from ..functions.stats import rounded
 from ..sources.readers import one_per_loan
 
 COLUMNS = ("borrower_name", "borrower_address", "borrower_city", "borrower_state", "borrower_zip", "current_approval_amount")
-#: Components up to this many loans get communities by greedy modularity, larger ones by label propagation.
-GREEDY_SIZE = 1000
 
 
 def _nodes(loans: DataFrame, min_amount: float) -> DataFrame:
@@ -92,49 +91,50 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _greedy(nodes: list[str], pairs: list[tuple[str, str]]) -> dict[str, int]:
-    """Size of each node's community: merges the two groups that gain most modularity while any gain is left."""
+    """Size of each node's community: merges the two groups that gain most modularity while any gain is left.
+
+    Gains wait in a heap; a merge adds the new gains of its group, and those that no longer hold are passed over.
+    """
     m = len(pairs)
-    group = {n: {n} for n in nodes}
-    links: dict[str, dict[str, float]] = {n: {} for n in nodes}
-    for a, b in pairs:
+    names = sorted(nodes)
+    at = {n: i for i, n in enumerate(names)}
+    group = {i: [i] for i in range(len(names))}
+    links: list[dict[int, int]] = [{} for _ in names]
+    for a, b in ((at[a], at[b]) for a, b in pairs):
         links[a][b] = links[a].get(b, 0) + 1
         links[b][a] = links[b].get(a, 0) + 1
-    share = {n: sum(x.values()) / (2 * m) for n, x in links.items()}
-    while True:
-        best = max(((w / m - 2 * share[a] * share[b], a, b) for a, x in links.items() for b, w in x.items() if a < b), default=(0.0, "", ""))
-        if best[0] <= 1e-12:
-            break
-        _, a, b = best
-        group[a] |= group.pop(b)
-        share[a] += share.pop(b)
-        for c, w in links.pop(b).items():
+    share = [sum(x.values()) / (2 * m) for x in links]
+    gain = lambda a, b: links[a][b] / m - 2 * share[a] * share[b]
+    heap = [(-gain(a, b), -a, -b) for a, x in enumerate(links) for b in x if a < b]
+    heapq.heapify(heap)
+    while heap and heap[0][0] < -1e-12:
+        g, a, b = heapq.heappop(heap)
+        a, b = -a, -b
+        if b not in links[a] or gain(a, b) != -g:
+            continue
+        group[a] += group.pop(b)
+        share[a] += share[b]
+        for c, w in links[b].items():
             links[c].pop(b)
             if c != a:
                 links[a][c] = links[a].get(c, 0) + w
                 links[c][a] = links[a][c]
-    return {n: len(g) for g in group.values() for n in g}
+        links[b] = {}
+        for c in links[a]:
+            lo, hi = min(a, c), max(a, c)
+            heapq.heappush(heap, (-gain(lo, hi), -lo, -hi))
+    return {names[n]: len(g) for g in group.values() for n in g}
 
 
-def _communities(edges: DataFrame, comp: DataFrame, sizes: DataFrame, least: int, rounds: int = 8) -> DataFrame:
-    """(loan_number, community_size) in components of `least` loans and more."""
-    inside = edges.join(comp.select(F.col("loan_number").alias("src"), "component"), "src").join(sizes.where(F.col("component_size") >= least), "component").select("component", "component_size", "src", "dst")
+def _communities(edges: DataFrame, comp: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """(loan_number, community_size) in components of `least` loans and more, each component in one task."""
+    inside = edges.join(comp.select(F.col("loan_number").alias("src"), "component"), "src").join(sizes.where(F.col("component_size") >= least), "component").select("component", "src", "dst")
 
     def greedy(b: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(b["src"], b["dst"]))
-        got = _greedy(sorted({*b["src"], *b["dst"]}), pairs)
+        got = _greedy(sorted({*b["src"], *b["dst"]}), list(zip(b["src"], b["dst"])))
         return pd.DataFrame({"loan_number": list(got), "community_size": np.array(list(got.values()), np.int64)})
 
-    small = inside.where(F.col("component_size") <= GREEDY_SIZE).groupBy("component").applyInPandas(greedy, "loan_number string, community_size long")
-    big = stored(inside.where(F.col("component_size") > GREEDY_SIZE).select("src", "dst"), "big")
-    if big.isEmpty():
-        return small
-    both = big.unionByName(big.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    label = both.select(F.col("src").alias("n"), F.col("src").alias("c")).distinct()
-    for _ in range(rounds):
-        votes = both.join(label.select(F.col("n").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.count(F.lit(1)).alias("w"))
-        label = stored(votes.groupBy(F.col("src").alias("n")).agg(F.max_by("c", F.struct("w", "c")).alias("c")), "labels")
-    size = label.groupBy("c").agg(F.count(F.lit(1)).alias("community_size"))
-    return small.unionByName(label.join(size, "c").select(F.col("n").alias("loan_number"), "community_size"))
+    return inside.groupBy("component").applyInPandas(greedy, "loan_number string, community_size long")
 
 
 def graph_features(loans: DataFrame, min_amount: float = 150_000.0, least: int = 5, **options) -> DataFrame:

@@ -132,3 +132,12 @@ def test_peers_name_their_reason(spark, loans):
     t = spark.createDataFrame([(x,) for x in ("N1", "A", "B", "C", "D")], "loan_number string")
     got = {r["loan_number"]: r["reason"] for r in profile.peers(loans(rows), t).collect()}
     assert got == {"N1": None, "A": "cohort_too_small", "B": "missing_cohort_key", "C": "missing_jobs_or_amount", "D": "loan_not_found"}
+
+
+def test_large_components_get_communities_by_the_same_method(spark):
+    n = [f"{i:04d}" for i in range(1200)]
+    edges = list(zip(n, n[1:]))
+    e = spark.createDataFrame(edges, "src string, dst string")
+    comp = spark.createDataFrame([(x, n[0]) for x in n], "loan_number string, component string")
+    sizes = spark.createDataFrame([(n[0], len(n))], "component string, component_size long")
+    assert dict(graph._communities(e, comp, sizes, 5).collect()) == graph._greedy(n, edges)
