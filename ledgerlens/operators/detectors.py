@@ -69,7 +69,6 @@ def multiple_funded(loans: DataFrame) -> DataFrame:
     """Loans of an entity (name at a building) with more than one loan in a draw, or more than two in all."""
     base = one_per_loan(loans, "borrower_name", *_ADDRESS, "processing_method", "current_approval_amount").select("loan_number", text.entity_key().alias("entity_key"), "processing_method", F.col("current_approval_amount").alias("amount")).where(F.col("entity_key").isNotNull())
     draws = base.groupBy("entity_key", F.coalesce("processing_method", F.lit("")).alias("draw")).agg(F.count(F.lit(1)).alias("c"), F.sum("amount").alias("s"))
-    # a group's loan numbers are kept to the smallest 25, draw by draw, so an entity with a third of all loans stays small
     per = draws.groupBy("entity_key").agg(F.sum("c").alias("n_loans"), F.sum(F.greatest(F.col("c") - 1, F.lit(0))).alias("_within"), F.sum("s").alias("total_amount"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("draw", "c")))).alias("per_draw_counts"))
     per = per.withColumn("excess_loans", F.greatest(F.col("_within"), F.col("n_loans") - 2)).where("excess_loans > 0")
     return base.join(per, "entity_key").select("loan_number", rounded(F.col("excess_loans").cast("double"), 4).alias("score"), "entity_key", "n_loans", "excess_loans", F.to_json("per_draw_counts").alias("per_draw_counts"), rounded("total_amount", 2).alias("total_amount"))
