@@ -10,29 +10,33 @@ from typing import NamedTuple
 TRADES = (
     "MINING AGGREGATES QUARRIES DRILLING ORCHARDS MECHANICAL PLUMBING DRYWALL NURSERY BREWING RANCH BAKERY FARMS TEXTILES MACHINING GROWERS FOODS ELECTRIC TOOLING FABRICATION MASONRY MANUFACTURING PAVING BUILDERS ROOFING CONTRACTING CONSTRUCTION IMPORTS WHOLESALE MARKET DISTRIBUTORS PHARMACY SUPPLY BOUTIQUE FLORIST OUTFITTERS MOTORS MEDIA FURNITURE LOGISTICS BOOKS FREIGHT SOFTWARE TRANSPORT TRUCKING PUBLISHING CAPITAL STUDIOS ADVISORS FINANCIAL INSURANCE RENTALS REALTY PROPERTIES LEASING JANITORIAL STAFFING SECURITY ARCHITECTS LANDSCAPING LAW DAYCARE LEARNING HOMECARE HOSPICE TUTORING ENGINEERING ACCOUNTING ACADEMY CONSULTING INSTITUTE PEDIATRICS THERAPY MEDICAL DENTAL CHIROPRACTIC GOLF THEATRE FITNESS ATHLETICS HOTEL CATERING INN RESORT LODGING GRILL RESTAURANT CAFE PIZZERIA SALON BARBERSHOP CLEANERS FELLOWSHIP MINISTRIES AUTOBODY CHARITIES INDUSTRIES TRADING ENTERPRISES VENTURES"
 ).split()
-SHORT_TRADES = "LANDSCAPE LANDSCAPING,ELEC ELECTRIC,INS INSURANCE,INST INSTITUTE,FIN FINANCIAL,FINL FINANCIAL,MED MEDICAL,MFG MANUFACTURING,MANUF MANUFACTURING,CONST CONSTRUCTION,CONSTR CONSTRUCTION,CONSTRUCT CONSTRUCTION,CONTR CONTRACTING,CONSLT CONSULTING,CONSULT CONSULTING,TRANSP TRANSPORT,TRNSPT TRANSPORT,DISTR DISTRIBUTORS,DISTRS DISTRIBUTORS,DIST DISTRIBUTORS,ACAD ACADEMY,PROPS PROPERTIES,LNDSCPG LANDSCAPING,ACCTG ACCOUNTING,ACCT ACCOUNTING,FAB FABRICATION,FABR FABRICATION,ENGR ENGINEERING,ENGRG ENGINEERING,ENTPRS ENTERPRISES,ENT ENTERPRISES,IND INDUSTRIES"
+SHORT_TRADES = "LANDSCAPE LANDSCAPING,ELEC ELECTRIC,INS INSURANCE,INST INSTITUTE,FIN FINANCIAL,FINL FINANCIAL,MED MEDICAL,MFG MANUFACTURING,MANUF MANUFACTURING,CONST CONSTRUCTION,CONSTR CONSTRUCTION,CONSTRUCT CONSTRUCTION,CONTR CONTRACTING,CONSLT CONSULTING,CONSULT CONSULTING,TRANSP TRANSPORT,TRNSPT TRANSPORT,DISTR DISTRIBUTORS,DISTRS DISTRIBUTORS,DIST DISTRIBUTORS,ACAD ACADEMY,PROP PROPERTIES,PROPS PROPERTIES,LNDSCPG LANDSCAPING,ACCTG ACCOUNTING,ACCT ACCOUNTING,FAB FABRICATION,FABR FABRICATION,ENGR ENGINEERING,ENGRG ENGINEERING,ENTPRS ENTERPRISES,ENT ENTERPRISES,IND INDUSTRIES"
 FILLERS = "ASSOCIATES ASSOC ASSOCS,MANAGEMENT MGT MGMT,SERVICES SVCS SVC SERV SERVICE SERVS,INTERNATIONAL INTL INT INTERN,SOLUTIONS SOLN SOLNS SOLUTION,PARTNERS PTNRS PRTNRS PARTNER PTNR,GROUP GRP GP,HOLDINGS HLDGS HOLDING HLDG"
 LEGAL = "LLC,INC INCORPORATED,CORP CORPORATION,CO COMPANY,LTD LIMITED,PLLC,LLP,LP,PC,PA"
-NOISE = set("THE AND OF A AN MR MRS MS DR MISS JR SR II III IV CPA ESQ MD INDIVIDUAL SOLE PROP PROPRIETOR PROPRIETORSHIP OWNER BY IN".split())
+NOISE = set("THE AND OF A AN MR MRS MS DR MISS JR SR II III IV CPA ESQ MD INDIVIDUAL SOLE PROPRIETOR PROPRIETORSHIP OWNER BY IN".split())
 FIRST_NAMES = (
-    "ABIGAIL ABBY,ALEXANDER ALEX SASHA,ANTHONY TONY,BENJAMIN BEN,CHARLES CHARLIE CHUCK,CHRISTOPHER CHRIS KIT,CURTIS CURT,DEBORAH DEB DEBBIE,DMITRI DIMA,EDWARD ED NED TED EDDIE,ELIZABETH LIZ BETH BETTY LIZZIE,FERRIS,FRANCISCO FRANK PACO,GERALD JERRY,GUADALUPE LUPE,HIROSHI HIRO,INGRID INGA,JAMES JIM JIMMY JAMIE,JENNIFER JEN JENNY,JOSEPH JOE JOEY,KATHERINE KATE KATHY KATIE KAT,LAWRENCE LARRY LAURIE,LETICIA LETTY,MARGARET MAGGIE PEGGY MEG,MARTA,MICHAEL MIKE MICK,NATHANIEL NATE NAT,NGUYET,ODESSA DESSA,OLUWASEUN SEUN,PATRICIA PAT TRISH PATTY,PRIYA,QUENTIN QUENT,REBECCA BECKY BECCA,RICHARD RICK DICK RICH,ROBERT BOB ROB BOBBY,ROSALIND ROZ,SAMUEL SAM SAMMY,SUSAN SUE SUSIE,THEODORE THEO TEDDY,THOMAS TOM TOMMY,TOBIAS TOBY,VICTORIA VICKY TORI,WANDA,WILLIAM BILL WILL BILLY LIAM,XIOMARA XIO,YOLANDA YOLI,ZACHARY ZACK ZACH"
+    "ABIGAIL ABBY,ALEXANDER ALEX SASHA,ANTHONY TONY,BENJAMIN BEN,CHARLES CHARLIE CHUCK,CHRISTOPHER CHRIS KIT,CURTIS CURT,DEBORAH DEB DEBBIE,DMITRI DIMA,EDWARD ED NED TED EDDIE,ELIZABETH LIZ BETH BETTY LIZZIE,FERRIS,FRANCISCO FRANK PACO,GERALD JERRY,GUADALUPE LUPE,HIROSHI HIRO,INGRID INGA,JAMES JIM JIMMY JAMIE,JENNIFER JEN JENNY,JOSEPH JOE JOEY,KATHERINE KATE KATHY KATIE KAT,LAWRENCE LARRY LAURIE,LETICIA LETTY,MARGARET MAGGIE PEGGY MEG,MARTA,MICHAEL MIKE MICK,NATHANIEL NATE NAT,NGUYET,ODESSA DESSA,OLUWASEUN SEUN,PATRICIA PAT TRISH PATTY,PRIYA,QUENTIN QUENT,REBECCA BECKY BECCA,RICHARD RICK DICK RICH,ROBERT BOB ROB BOBBY,ROSALIND ROZ,SAMUEL SAM SAMMY,SUSAN SUE SUSIE,THEODORE THEO TED TEDDY,THOMAS TOM TOMMY,TOBIAS TOBY,VICTORIA VICKY TORI,WANDA,WILLIAM BILL WILL BILLY LIAM,XIOMARA XIO,YOLANDA YOLI,ZACHARY ZACK ZACH"
 )
 PLACEHOLDERS = {"", "NA", "NONE", "TBD", "UNKNOWN", "SAMEASABOVE", "NULL", "NIL", "NOTAVAILABLE", "NOTAPPLICABLE", "XXX", "TEST", "SEEABOVE", "ASABOVE"}
 
 FILLER_OF = {w: g.split()[0] for g in FILLERS.split(",") for w in g.split()}
 LEGAL_OF = {w: g.split()[0] for g in LEGAL.split(",") for w in g.split()}
-FIRST_OF = {w: g.split()[0] for g in FIRST_NAMES.split(",") for w in g.split()}
+#: A short form of two first names stands for both, joined by "|".
+FIRST_OF = {w: "|".join(g.split()[0] for g in FIRST_NAMES.split(",") if w in g.split()) for g in FIRST_NAMES.split(",") for w in g.split()}
 TRADE_OF = {w: w for w in TRADES} | {a: b for a, b in (x.split() for x in SHORT_TRADES.split(","))}
 ALIAS = re.compile(r"\b(?:D\s?/?\s?B\s?/?\s?A|T\s?/\s?A|DOING BUSINESS AS|TRADING AS|A\s?/\s?K\s?/\s?A|AKA)\b.*$")
+SOLE_PROP = re.compile(r"\bSOLE PROP\b")
 OF_TOWN = re.compile(r"(?<=\w) +OF +[A-Z][A-Z .]+$")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SINGLES = re.compile(r"\b(?:[A-Z] ){1,4}[A-Z]\b")
 WORD = re.compile(r"[^\W_]+")
+#: Names of at least so many letters may have been cut by the width of a form.
+CUT_FROM = 28
 
 
 class Name(NamedTuple):
     """kind: P person, I person with an initial for a first name, O firm. shard: what must be equal (first name,
-    initial or trade). core: the rest in the order typed, without blanks; turned: the same with sorted words."""
+    initial or trade; several first names, joined by "|", where a short form leaves that open). core: the rest in the order typed, without blanks; turned: the same with sorted words."""
 
     kind: str
     shard: str
@@ -113,11 +117,19 @@ def _split(w: str) -> tuple[str, str]:
     return w, ""
 
 
+@lru_cache(50_000)
+def cut_word(w: str) -> tuple[str, str]:
+    """The filler or legal form that w begins; ("", "") where there is none or several."""
+    found = {("filler", FILLER_OF[x]) for x in FILLER_OF if len(x) > 4 and x.startswith(w)} | {("legal", LEGAL_OF[x]) for x in LEGAL_OF if x.startswith(w)}
+    return found.pop() if len(w) > 1 and len(found) == 1 else ("", "")
+
+
 def parse_name(name: str | None) -> Name | None:
     """The parts of a name, or None for blanks and placeholders. An alias after DBA or T/A is left out."""
     if not name:
         return None
     s = OF_TOWN.sub("", ALIAS.sub(" ", CAMEL.sub(" ", name.replace("\xa0", " ")).upper()).strip()).replace(".", "").replace("'", "")
+    s = SOLE_PROP.sub(" ", s)
     words = WORD.findall(s)
     if "".join(words) in PLACEHOLDERS:
         return None
@@ -130,8 +142,10 @@ def parse_name(name: str | None) -> Name | None:
     legal = ""
     firsts: list[str] = []
     letters: list[str] = []
-    for w in words:
+    for at, w in enumerate(words):
         k, v = word(w)
+        if k == "core" and at and at == len(words) - 1 and len(name.strip()) >= CUT_FROM and cut_word(w)[0]:
+            k, v = cut_word(w)
         if k == "trade":
             trades.append(v)
         elif k == "filler":

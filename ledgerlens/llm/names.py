@@ -161,22 +161,84 @@ def _agree(c: str) -> Column:
     return (F.col(f"a.{c}") == F.col(f"b.{c}")) | (F.col(f"a.{c}") == "") | (F.col(f"b.{c}") == "")
 
 
+def alternatives(shard: str = "shard") -> Column:
+    """The first names, or the one trade, that a shard stands for."""
+    return F.split(shard, r"\|")
+
+
+def same_shard() -> Column:
+    """Whether the shards of a and b agree: first names or trades in common, or an initial that begins a first name."""
+    a, b = alternatives("a.shard"), alternatives("b.shard")
+    begins = F.exists(a, lambda x: F.exists(b, lambda y: F.startswith(x, y) | F.startswith(y, x)))
+    both = F.col("a.kind") == F.col("b.kind")
+    return F.when(both, F.arrays_overlap(a, b)).otherwise((F.col("a.kind") != "O") & (F.col("b.kind") != "O") & begins)
+
+
+def shard_keys(*place: str) -> Column:
+    """The keys of tries that a form is in: town with trade, or with each first name; people also town with initial."""
+    names = F.transform(alternatives(), lambda x: F.xxhash64(*place, F.when(F.col("kind") == "I", "P").otherwise(F.col("kind")), x))
+    letters = F.transform(alternatives(), lambda x: F.xxhash64(*place, F.lit("P"), F.substring(x, 1, 1)))
+    return F.array_distinct(F.when(F.col("kind") == "P", F.concat(names, letters)).otherwise(names))
+
+
+def _whole_links(rec: DataFrame) -> DataFrame:
+    """(form_a, form_b) of firms of which one has no trade that a list knows: misspelt, cut or written together.
+
+    Those few names are compared whole, trade included, with all firms of their town.
+    """
+    firm = rec.where((F.col("kind") == "O") & F.col("place").isNotNull()).select("form", "place", "shard", "core", "turned", "fillers", "legal")
+    odd = stored(firm.where("shard = ''").distinct(), "odd_names")
+    towns = few(odd.select(F.xxhash64("place").alias("s")).distinct())
+    plain = firm.where("shard <> ''").withColumn("s", F.xxhash64("place")).join(towns, "s", "left_semi").distinct()
+    odd = odd.withColumn("s", F.xxhash64("place"))
+    word = lambda d, t: d.select("form", "s", "fillers", "legal", F.explode(F.array_distinct(F.array(F.concat("core", t), F.concat("turned", t)))).alias("word")).withColumn("id", F.xxhash64("s", "word"))
+    a, b = word(odd, F.lit("")), stored(word(plain, F.col("shard")), "whole_names")
+    sides = a.select("id", "s", "word", F.lit("q").alias("role")).distinct().unionByName(b.select("id", "s", "word", F.lit("m").alias("role")).distinct())
+    near = stored(near_words(sides), "near_whole")
+    b = b.join(few(near.select(F.col("b").alias("id")).distinct()), "id", "left_semi")
+    both = near.join(a.alias("a"), F.col("a") == F.col("a.id")).join(b.alias("b"), F.col("b") == F.col("b.id"))
+    return both.where(_agree("fillers") & _agree("legal")).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b")).distinct()
+
+
+def owner_links(people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of people(record, kind, shard, core, turned, initial) wherever they are.
+
+    A spelling is a form of its own here. Two spellings are linked within one edit, or within two if the commonest
+    spelling within one edit of either is the same. links(form_a, form_b) holds each spelling with itself too.
+    """
+    parts = ["kind", "shard", "core", "turned", "initial"]
+    people = people.select("record", *parts).distinct().withColumn("form", F.xxhash64(F.lit("owner"), *parts))
+    people = stored(people, "owners")
+    spelt = people.groupBy("form").agg(*[F.first(c).alias(c) for c in parts], F.count(F.lit(1)).alias("n"))
+    letters = F.when(F.col("kind") == "P", F.transform(alternatives(), lambda x: F.substring(x, 1, 1))).otherwise(F.array("shard"))
+    keyed = spelt.select("form", "kind", "shard", "turned", "initial", "n", F.explode(F.array_distinct(letters)).alias("l"), F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
+    keyed = stored(keyed.withColumn("s", F.xxhash64(F.lit("owner"), "l")).withColumn("id", F.xxhash64("s", "word")).drop("l"), "owner_words")
+    near = near_words(keyed.select("id", "s", "word").distinct())
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(keyed.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")).distinct())
+    both = near.join(keyed.alias("a"), F.col("a") == F.col("a.id")).join(keyed.alias("b"), F.col("b") == F.col("b.id")).where(same_shard() & _agree("initial"))
+    both = both.select(F.col("a.form").alias("form_a"), F.col("b.form").alias("form_b"), F.col("b.turned").alias("turned"), F.col("b.n").alias("n"), "distance")
+    both = stored(both.groupBy("form_a", "form_b").agg(F.min("distance").alias("distance"), F.first("turned").alias("turned"), F.first("n").alias("n")), "owner_pairs")
+    common = both.where("distance <= 1").groupBy("form_a", "turned").agg(F.sum("n").alias("n")).groupBy("form_a").agg(F.max(F.struct("n", "turned"))["turned"].alias("common"))
+    common = stored(common, "owner_spellings")
+    weak = both.where("distance > 1 and form_a < form_b").select("form_a", "form_b").join(common, "form_a")
+    weak = weak.join(common.select(F.col("form_a").alias("form_b"), F.col("common").alias("other")), "form_b").where("common = other").select("form_a", "form_b")
+    links = both.where("distance <= 1 and (form_a < form_b or form_a = form_b and n > 1)").select("form_a", "form_b").unionByName(weak)
+    return people.select("record", "form", F.lit(None).cast("string").alias("place")), links
+
+
 def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links) of name_records(): members(record, form, place), links(form_a, form_b) between different forms of one name, and of forms without a town to themselves.
 
     A form is one set of name parts in one town. People match on first name (short forms count as the full name) or
     initial, firms on trade; the remaining words, in the order typed and in sorted order, go into tries sharded by
     town and that part, and are found within EDITS edits (1 for up to 6 letters). Fillers, legal forms and middle
-    initials may be missing on a side but not contradict.
+    initials may be missing on a side but not contradict. Firms without a known trade: see _whole_links(). Defendants
+    who aren't the borrower of a loan in their town aren't sole proprietors, so they keep to no town: owner_links().
     """
     same = ["kind", "shard", "turned"]
     loan = F.col("record").startswith("L")
     rec = records.where(~loan | F.col("place").isNotNull())
-    first = F.col("kind") == "I"
-    shard = F.xxhash64("place", F.when(first, "P").otherwise(F.col("kind")), "shard")
-    # a person is also looked up by the initial of the first name
-    letter = F.when(F.col("kind") == "P", F.xxhash64("place", F.lit("P"), F.substring("shard", 1, 1)))
-    keyed = rec.where("place is not null").select("form", *ATTRIBUTES, "core", F.explode(F.array_compact(F.array(shard, letter))).alias("s"))
+    keyed = rec.where("place is not null").select("form", *ATTRIBUTES, "core", F.explode(shard_keys("place")).alias("s"))
     keyed = keyed.select("form", *ATTRIBUTES, F.length("core").alias("n"), "s", F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
     words = keyed.withColumn("id", F.xxhash64("s", "word"))
     distinct = stored(words.groupBy("id").agg(F.first("s").alias("s"), F.first("word").alias("word"), F.min("form").alias("f0"), F.max("form").alias("f1")), "name_words")
@@ -188,9 +250,9 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = near.unionByName(several.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
     a, b = some.alias("a"), some.alias("b")
     both = near.join(a, F.col("a") == F.col("a.id")).join(b, F.col("b") == F.col("b.id")).where("a.form <> b.form")
-    kinds = F.when(F.col("a.kind") == F.col("b.kind"), F.col("a.shard") == F.col("b.shard")).otherwise((F.col("a.kind") != "O") & (F.col("b.kind") != "O"))
-    fine = kinds & (F.col("distance") <= F.when(F.least("a.n", "b.n") >= 7, EDITS).otherwise(1)) & _agree("fillers") & _agree("legal") & _agree("initial")
-    links = stored(both.where(fine).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b")).distinct(), "name_links")
+    fine = same_shard() & (F.col("distance") <= F.when(F.least("a.n", "b.n") >= 7, EDITS).otherwise(1)) & _agree("fillers") & _agree("legal") & _agree("initial")
+    links = both.where(fine).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b"))
+    links = stored(links.unionByName(_whole_links(rec)).distinct(), "name_links")
     # cases not linked to any loan in their towns: an equal name that stands in one town alone
     of_loans = rec.where(loan).select(F.col("form").alias("other")).distinct()
     cases = stored(rec.where(~loan).select("record", "form", "place", *same), "case_names")
@@ -209,7 +271,10 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     # records of no known town also go with each other, those of one form included
     both = free.where("px is null").select(*same, "x").join(free.select(*same, F.col("x").alias("y")), same)
     more = there.select("x", "y").where("x <> y").unionByName(both.select("x", "y")).select(F.least("x", "y").alias("form_a"), F.greatest("x", "y").alias("form_b"))
-    return rec.select("record", "form", "place"), links.unionByName(more).distinct()
+    proprietors = cases.join(reached, "form", "left_semi").select("record").distinct()
+    people = rec.where(F.col("record").startswith("D") & (F.col("kind") != "O")).join(proprietors, "record", "left_anti")
+    owners, owned = owner_links(people)
+    return rec.select("record", "form", "place").unionByName(owners), links.unionByName(more).unionByName(owned).distinct()
 
 
 def same_name_pairs(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> DataFrame:
