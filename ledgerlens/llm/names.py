@@ -22,21 +22,26 @@ HOT_WORDS = 20_000
 EDITS = 2
 
 
-def with_name_parts(df: DataFrame, name: str) -> DataFrame:
-    """Adds kind, shard, core, turned, fillers, legal, initial; rows without a usable name are dropped."""
-    kept = df.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    parts = ("kind", "shard", "core", "turned", "fillers", "legal", "initial")
+NAME_PARTS = ("kind", "shard", "core", "turned", "fillers", "legal", "initial")
+
+
+def with_name_parts(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Adds the NAME_PARTS; rows without a usable name are dropped, or have nulls there if keep."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    none = (None,) * len(NAME_PARTS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [parse_name(x) for x in b.column(name).to_pylist()]
-            use = pa.array([g is not None for g in got])
-            columns = list(zip(*(g for g in got if g is not None))) or [[]] * len(parts)
-            left = b.filter(use)
-            yield pa.RecordBatch.from_arrays([*left.columns, *(pa.array(c, pa.string()) for c in columns)], names=[*b.schema.names, *parts])
+            if keep:
+                got = [g or none for g in got]
+            else:
+                b = b.filter(pa.array([g is not None for g in got]))
+            columns = list(zip(*(g for g in got if g is not None))) or [[]] * len(NAME_PARTS)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.string()) for c in columns)], names=[*b.schema.names, *NAME_PARTS])
 
-    return df.where(F.col(name).isNotNull()).mapInArrow(read, f"{fields}, {', '.join(f'{p} string' for p in parts)}")
+    rows = df if keep else df.where(F.col(name).isNotNull())
+    return rows.mapInArrow(read, f"{fields}, {', '.join(f'{p} string' for p in NAME_PARTS)}")
 
 
 def _swapped(word: str, k: int) -> list[str]:
@@ -149,7 +154,9 @@ def name_records(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> Dat
     lrec = stored(_with_form(with_name_parts(lrec, "name")), "loan_names")
     c = cases.where(F.col("case_id").isNotNull()).select("case_id", "loan_number", "defendant_name", "business_name", "source_url").distinct()
     told = release_places(releases.select("url", "body"), known_places(towns), "url", "body")
-    own = c.where(F.col("loan_number").isNotNull()).select("case_id", F.concat(F.lit("L"), F.col("loan_number").cast("string")).alias("record")).join(lrec.select("record", "place"), "record").select("case_id", "place")
+    own = c.where(F.col("loan_number").isNotNull()).select("case_id", F.concat(F.lit("L"), F.col("loan_number").cast("string")).alias("record"))
+    of_cases = lrec.select("record", "place", F.xxhash64("record").alias("key")).join(few(own.select(F.xxhash64("record").alias("key")).distinct()), "key", "left_semi")
+    own = own.join(of_cases.drop("key"), "record").select("case_id", "place")
     by_case = told.join(c.select("case_id", F.col("source_url").alias("id")), "id").select("case_id", "place").unionByName(own).distinct()
     names = c.select("case_id", F.explode(F.array(F.struct(F.lit("B").alias("t"), F.col("business_name").alias("name")), F.struct(F.lit("D").alias("t"), F.col("defendant_name").alias("name")))).alias("r"))
     names = names.select("case_id", F.concat("r.t", F.col("case_id").cast("string")).alias("record"), "r.name").distinct()
@@ -176,44 +183,74 @@ def same_shard() -> Column:
 
 def shard_keys(*place: str) -> Column:
     """The keys of tries that a form is in: town with trade, or with each first name; people also town with initial."""
-    names = F.transform(alternatives(), lambda x: F.xxhash64(*place, F.when(F.col("kind") == "I", "P").otherwise(F.col("kind")), x))
-    letters = F.transform(alternatives(), lambda x: F.xxhash64(*place, F.lit("P"), F.substring(x, 1, 1)))
-    return F.array_distinct(F.when(F.col("kind") == "P", F.concat(names, letters)).otherwise(names))
+    kind = F.when(F.col("kind") == "I", "P").otherwise(F.col("kind"))
+    either = [F.substring_index("shard", "|", n) for n in (1, -1)]  # a short form stands for two first names at most
+    names = [F.xxhash64(*place, kind, x) for x in either]
+    letters = [F.xxhash64(*place, F.lit("P"), F.substring(x, 1, 1)) for x in either]
+    one = F.when(F.col("kind") == "P", F.array(names[0], letters[0])).otherwise(F.array(names[0]))
+    return F.when(F.col("shard").contains("|"), F.array_distinct(F.array(*names, *letters))).otherwise(one)
+
+
+PIECES = 2 * EDITS + 1
+
+
+def _member_pieces() -> Column:
+    """Keys of the PIECES even pieces of word in town s, with the length of the word and the number of the piece.
+
+    EDITS edits spoil at most 2 * EDITS pieces, a swap across a border two, so one piece is left whole.
+    """
+    n = F.length("word")
+    base, extra = F.floor(n / PIECES).cast("int"), n % PIECES
+    start = lambda i: i * base + F.greatest(F.lit(i - PIECES) + extra, F.lit(0))
+    return F.array(*[F.xxhash64("s", n, F.lit(i), F.substring("word", start(i) + 1, start(i + 1) - start(i))) for i in range(PIECES)])
+
+
+def _query_pieces() -> Column:
+    """The keys of every piece that a word within EDITS edits of word can have left whole: lengths and shifts up to EDITS."""
+    n = F.length("word")
+
+    def of_size(size: Column) -> Column:
+        base, extra = F.floor(size / PIECES).cast("int"), size % PIECES
+        start = lambda i: i * base + F.greatest(i - (PIECES - extra), F.lit(0))
+        shifts = F.sequence(F.lit(-EDITS), F.lit(EDITS))
+        piece = lambda i: F.transform(F.filter(shifts, lambda d: start(i) + d >= 0), lambda d: F.xxhash64("s", size, i, F.substring("word", start(i) + d + 1, start(i + 1) - start(i))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(n - EDITS, n + EDITS), of_size)))
 
 
 def _whole_links(rec: DataFrame) -> DataFrame:
     """(form_a, form_b) of firms of which one has no trade that a list knows: misspelt, cut or written together.
 
-    Those few names are compared whole, trade included, with all firms of their town.
+    Those few names are compared whole, trade included, with all firms of their town that share a piece with them.
     """
-    firm = rec.where((F.col("kind") == "O") & F.col("place").isNotNull()).select("form", "place", "shard", "core", "turned", "fillers", "legal")
-    odd = stored(firm.where("shard = ''").distinct(), "odd_names")
-    towns = few(odd.select(F.xxhash64("place").alias("s")).distinct())
-    plain = firm.where("shard <> ''").withColumn("s", F.xxhash64("place")).join(towns, "s", "left_semi").distinct()
-    odd = odd.withColumn("s", F.xxhash64("place"))
-    word = lambda d, t: d.select("form", "s", "fillers", "legal", F.explode(F.array_distinct(F.array(F.concat("core", t), F.concat("turned", t)))).alias("word")).withColumn("id", F.xxhash64("s", "word"))
-    a, b = word(odd, F.lit("")), stored(word(plain, F.col("shard")), "whole_names")
-    sides = a.select("id", "s", "word", F.lit("q").alias("role")).distinct().unionByName(b.select("id", "s", "word", F.lit("m").alias("role")).distinct())
-    near = stored(near_words(sides), "near_whole")
-    b = b.join(few(near.select(F.col("b").alias("id")).distinct()), "id", "left_semi")
-    both = near.join(a.alias("a"), F.col("a") == F.col("a.id")).join(b.alias("b"), F.col("b") == F.col("b.id"))
-    return both.where(_agree("fillers") & _agree("legal")).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b")).distinct()
+    firm = rec.where((F.col("kind") == "O") & F.col("place").isNotNull()).select("form", F.xxhash64("place").alias("s"), "shard", "core", "turned", "fillers", "legal")
+    word = lambda d, t: d.select("form", "s", "fillers", "legal", F.explode(F.array_distinct(F.array(F.concat("core", t), F.concat("turned", t)))).alias("word"))
+    odd = stored(word(firm.where("shard = ''").distinct(), F.lit("")).withColumn("id", F.xxhash64("s", "word")), "odd_names")
+    asked = few(odd.select(F.explode(_query_pieces()).alias("key")).distinct())
+    plain = word(firm.where("shard <> ''"), F.col("shard")).withColumn("key", F.explode(_member_pieces())).join(asked, "key", "left_semi")
+    plain = stored(plain.drop("key").distinct().withColumn("id", F.xxhash64("s", "word")), "whole_names")
+    sides = odd.select("id", "s", "word", F.lit("q").alias("role")).distinct().unionByName(plain.select("id", "s", "word", F.lit("m").alias("role")).distinct())
+    near = near_words(sides)
+    both = near.join(odd.alias("a"), F.col("a") == F.col("a.id")).join(plain.alias("b"), F.col("b") == F.col("b.id"))
+    return both.where(_agree("fillers") & _agree("legal")).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b"))
+
+
+OWNER_PARTS = ("kind", "shard", "core", "turned", "initial")
 
 
 def owner_links(people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of people(record, kind, shard, core, turned, initial) wherever they are.
+    """(members, links) of people(record, OWNER_PARTS), a row for each record, wherever they are.
 
     A spelling is a form of its own here. Two spellings are linked within one edit, or within two if the commonest
     spelling within one edit of either is the same. links(form_a, form_b) holds each spelling with itself too.
     """
-    parts = ["kind", "shard", "core", "turned", "initial"]
-    people = people.select("record", *parts).distinct().withColumn("form", F.xxhash64(F.lit("owner"), *parts))
-    people = stored(people, "owners")
-    spelt = people.groupBy("form").agg(*[F.first(c).alias(c) for c in parts], F.count(F.lit(1)).alias("n"))
+    people = people.withColumn("form", F.xxhash64(*OWNER_PARTS))
+    spelt = people.groupBy("form").agg(*[F.first(c).alias(c) for c in OWNER_PARTS], F.count(F.lit(1)).alias("n"))
     letters = F.when(F.col("kind") == "P", F.transform(alternatives(), lambda x: F.substring(x, 1, 1))).otherwise(F.array("shard"))
     keyed = spelt.select("form", "kind", "shard", "turned", "initial", "n", F.explode(F.array_distinct(letters)).alias("l"), F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
     keyed = stored(keyed.withColumn("s", F.xxhash64(F.lit("owner"), "l")).withColumn("id", F.xxhash64("s", "word")).drop("l"), "owner_words")
-    near = near_words(keyed.select("id", "s", "word").distinct())
+    near = stored(near_words(keyed.select("id", "s", "word").distinct()), "owner_words")
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(keyed.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")).distinct())
     both = near.join(keyed.alias("a"), F.col("a") == F.col("a.id")).join(keyed.alias("b"), F.col("b") == F.col("b.id")).where(same_shard() & _agree("initial"))
     both = both.select(F.col("a.form").alias("form_a"), F.col("b.form").alias("form_b"), F.col("b.turned").alias("turned"), F.col("b.n").alias("n"), "distance")
@@ -223,11 +260,11 @@ def owner_links(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     weak = both.where("distance > 1 and form_a < form_b").select("form_a", "form_b").join(common, "form_a")
     weak = weak.join(common.select(F.col("form_a").alias("form_b"), F.col("common").alias("other")), "form_b").where("common = other").select("form_a", "form_b")
     links = both.where("distance <= 1 and (form_a < form_b or form_a = form_b and n > 1)").select("form_a", "form_b").unionByName(weak)
-    return people.select("record", "form", F.lit(None).cast("string").alias("place")), links
+    return people.select("record", "form"), links
 
 
-def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of name_records(): members(record, form, place), links(form_a, form_b) between different forms of one name, and of forms without a town to themselves.
+def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, owners) of name_records(): members(record, form, place), links(form_a, form_b) between different forms of one name, and of forms without a town to themselves, and the records that owner_links() is for.
 
     A form is one set of name parts in one town. People match on first name (short forms count as the full name) or
     initial, firms on trade; the remaining words, in the order typed and in sorted order, go into tries sharded by
@@ -272,9 +309,8 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = free.where("px is null").select(*same, "x").join(free.select(*same, F.col("x").alias("y")), same)
     more = there.select("x", "y").where("x <> y").unionByName(both.select("x", "y")).select(F.least("x", "y").alias("form_a"), F.greatest("x", "y").alias("form_b"))
     proprietors = cases.join(reached, "form", "left_semi").select("record").distinct()
-    people = rec.where(F.col("record").startswith("D") & (F.col("kind") != "O")).join(proprietors, "record", "left_anti")
-    owners, owned = owner_links(people)
-    return rec.select("record", "form", "place").unionByName(owners), links.unionByName(more).unionByName(owned).distinct()
+    owners = stored(rec.where(F.col("record").startswith("D") & (F.col("kind") != "O")).join(proprietors, "record", "left_anti").select("record", *OWNER_PARTS).distinct(), "owners")
+    return rec.select("record", "form", "place"), links.unionByName(more).distinct(), owners
 
 
 def same_name_pairs(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> DataFrame:
@@ -285,12 +321,26 @@ def same_name_pairs(loans: DataFrame, cases: DataFrame, releases: DataFrame) ->
     placeholder names, null ids and loans without a known town are in no pair; repeated rows count once; empty
     tables give an empty result.
     """
-    members, links = name_links(name_records(loans, cases, releases))
+    members, links, owners = name_links(name_records(loans, cases, releases))
     one = F.xxhash64("record")
     several = members.where("place is not null").groupBy(F.col("form").alias("form_a")).agg(F.min(one).alias("p"), F.max(one).alias("q")).where("p <> q").select("form_a", F.col("form_a").alias("form_b"))
     pairs = stored(links.select("form_a", "form_b").unionByName(several), "name_pairs")
     ends = pairs.select(F.col("form_a").alias("form")).unionByName(pairs.select(F.col("form_b").alias("form"))).distinct()
-    some = stored(members.select("form", "record").join(few(ends), "form", "left_semi").distinct(), "name_members")
-    a, b = (some.select(F.col("form").alias(f"form_{s}"), F.col("record").alias(f"r_{s}")) for s in "ab")
-    got = pairs.join(a, "form_a").join(b, "form_b").where("r_a <> r_b")
-    return got.select(F.least("r_a", "r_b").alias("name_a"), F.greatest("r_a", "r_b").alias("name_b")).distinct()
+    some = members.select("form", "record").join(few(ends), "form", "left_semi").distinct()
+    some = stored(some.join(owners.select("record", F.lit(True).alias("owner")), "record", "left"), "name_members")
+    local = _expanded(pairs, some, some, ~(F.coalesce("a.owner", F.lit(False)) & F.coalesce("b.owner", F.lit(False)))).distinct()
+    # pairs of owners come from here alone and once each: a record has one spelling, and a pair of spellings one link
+    people, known = owner_links(owners)
+    # spellings linked within a town, however they were, are linked here too
+    spelt = stored(some.where("owner").join(people.select("record", F.col("form").alias("spelling")), "record").select("form", "spelling").distinct(), "owner_forms")
+    a, b = (spelt.select(F.col("form").alias(f"form_{s}"), F.col("spelling").alias(s)) for s in "ab")
+    near_by = pairs.join(a, "form_a").join(b, "form_b").where("a <> b").select(F.least("a", "b").alias("form_a"), F.greatest("a", "b").alias("form_b"))
+    known = known.unionByName(near_by).distinct()
+    return local.unionByName(_expanded(known, people, people, F.lit(True)))
+
+
+def _expanded(links: DataFrame, left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
+    """Pairs of different records of the linked forms; of a form linked to itself, each pair once."""
+    a, b = left.withColumnRenamed("form", "form_a").alias("a"), right.withColumnRenamed("form", "form_b").alias("b")
+    got = links.join(a, "form_a").join(b, "form_b").where((F.col("a.record") != F.col("b.record")) & ((F.col("form_a") != F.col("form_b")) | (F.col("a.record") < F.col("b.record")))).where(where)
+    return got.select(F.least("a.record", "b.record").alias("name_a"), F.greatest("a.record", "b.record").alias("name_b"))

@@ -53,12 +53,13 @@ def _sent(df: DataFrame, name: str) -> DataFrame:
 
 def towns_of(df: DataFrame, city: str = "borrower_city", state: str = "borrower_state", zip_: str = "borrower_zip") -> Towns:
     """The towns of a table of addresses."""
-    cities = _sent(df.select(F.col(city).alias("_raw")).where(F.col("_raw").isNotNull()).distinct().select("_raw", town("_raw").alias("_town")).where(F.col("_town").isNotNull()).coalesce(4), "cities")
-    d = df.select(F.col(city).alias("_raw"), zip5(zip_).alias("zip5"), F.upper(F.trim(F.coalesce(F.col(state), F.lit("")))).alias("zstate"))
-    raw = d.where(F.col("zip5").isNotNull()).groupBy("zip5", "_raw", "zstate").agg(F.count(F.lit(1)).alias("n"))
-    seen = raw.join(cities, "_raw").groupBy("zip5", F.col("_town").alias("ztown"), "zstate").agg(F.sum("n").alias("n"))
-    zips = _sent(seen.groupBy("zip5").agg(F.max(F.struct("n", "ztown", "zstate")).alias("b")).where("b.n >= 2").select("zip5", "b.ztown", "b.zstate").coalesce(1), "towns")
-    known = _sent(zips.select(F.col("ztown").alias("_town"), F.col("zstate").alias("_state")).distinct().withColumn("_known", F.lit(True)).coalesce(1), "known")
+    # the combinations of the table in one pass; all else comes from them
+    raw = df.select(F.col(city).alias("_raw"), zip5(zip_).alias("zip5"), F.upper(F.trim(F.coalesce(F.col(state), F.lit("")))).alias("zstate"))
+    raw = stored(raw.where(F.col("_raw").isNotNull()).groupBy("zip5", "_raw", "zstate").agg(F.count(F.lit(1)).alias("n")), "typed_towns")
+    cities = _sent(raw.select("_raw").distinct().select("_raw", town("_raw").alias("_town")).where(F.col("_town").isNotNull()), "cities")
+    seen = raw.where(F.col("zip5").isNotNull()).join(cities, "_raw").groupBy("zip5", F.col("_town").alias("ztown"), "zstate").agg(F.sum("n").alias("n"))
+    zips = _sent(seen.groupBy("zip5").agg(F.max(F.struct("n", "ztown", "zstate")).alias("b")).where("b.n >= 2").select("zip5", "b.ztown", "b.zstate"), "towns")
+    known = _sent(zips.select(F.col("ztown").alias("_town"), F.col("zstate").alias("_state")).distinct().withColumn("_known", F.lit(True)), "known")
     return Towns(zips, known, cities)
 
 
