@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,30 +53,45 @@ def capitals(text: str) -> set[str]:
     return out
 
 
-def release_places(releases: DataFrame, places: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, place): known places(place) that a text mentions by town; those of states it names, if it names any.
+def known_towns(places: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(place, town, state) of known places(place), and their towns as a set on the executors.
 
-    Null ids and texts give nothing; repeated rows count once.
+    The set is there so that only known towns leave Python. Beyond MOST_TOWNS towns it is None and all words leave;
+    the join with the places gives the same rows either way.
     """
-    r = releases.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull()).distinct()
-    kind = r.schema["id"].dataType.simpleString()
-
-    known = stored(places.coalesce(1), "places").select("place", F.substring_index("place", "/", 1).alias("town"), F.substring_index("place", "/", -1).alias("state"))
-    # as a set on the executors if it is a small one, so that only known towns leave Python; the join below holds either way
+    known = stored(places, "places").select("place", F.substring_index("place", "/", 1).alias("town"), F.substring_index("place", "/", -1).alias("state"))
     few = [x[0] for x in known.select("town").distinct().limit(MOST_TOWNS + 1).collect()]
-    sent = releases.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= MOST_TOWNS else None)
+    return known, places.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= MOST_TOWNS else None)
+
+
+def towns_in(text: str, towns: frozenset[str] | None) -> tuple[list[str], list[str]]:
+    """(towns, states) that a text mentions; all runs of capitalised words where towns is None."""
+    said = capitals(text)
+    said = sorted(said & towns if towns is not None else said - {""})
+    return said, states_in(text) if said else []
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        towns = sent.value
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            said = [capitals(t) for t in texts]
-            said = [sorted(s & towns) if towns is not None else sorted(w for w in s if len(w) > 3) for s in said]
-            states = [states_in(t) if s else [] for s, t in zip(said, texts)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(said, pa.list_(pa.string())), pa.array(states, pa.list_(pa.string()))], names=["id", "towns", "states"])
 
-    said = r.mapInArrow(read, f"id {kind}, towns array<string>, states array<string>")
+def places_of(said: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, place) of said(id, towns, states): places of each town, those of states that are named if any is."""
     hit = said.select("id", "states", F.explode("towns").alias("town")).join(known, "town")
     inside = F.array_contains("states", F.col("state"))
     per = hit.groupBy("id", "town").agg(F.collect_set(F.when(inside, F.col("place"))).alias("named"), F.collect_set("place").alias("all"))
     return per.select("id", F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(F.col("all"))).alias("place")).distinct()
+
+
+def release_places(releases: DataFrame, places: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, place): known places(place) that a text mentions by town; those of states it names, if it names any.
+
+    Null ids and texts give nothing; repeated rows count once.
+    """
+    r = releases.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())  # repeated rows give the same places again
+    known, sent = known_towns(places)
+    strings = pa.list_(pa.string())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            towns, states = zip(*(towns_in(t, sent.value) for t in b.column("text").to_pylist())) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(towns, strings), pa.array(states, strings)], names=["id", "towns", "states"])
+
+    said = r.mapInArrow(read, f"id {r.schema['id'].dataType.simpleString()}, towns array<string>, states array<string>")
+    return places_of(said, known)
