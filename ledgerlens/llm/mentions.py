@@ -39,9 +39,14 @@ def _letters(word: str) -> str:
 
 
 def capitals(text: str) -> set[str]:
-    """One to three capitalised words in a row, as town() writes them."""
+    """One to three capitalised words in a row of a line, as town() writes them; lines that come back are read once."""
+    return set().union(*map(_capitals, text.split("\n")))
+
+
+@lru_cache(50_000)
+def _capitals(line: str) -> frozenset[str]:
     out = set()
-    for run in RUN.findall(text):
+    for run in RUN.findall(line):
         full = [_letters(w) for w in WORDS.findall(run)]
         for i, s in enumerate(full):
             out.add(s)
@@ -50,7 +55,7 @@ def capitals(text: str) -> set[str]:
                 out.add(s)
                 if i + 2 < len(full):
                     out.add(s + full[i + 2])
-    return out
+    return frozenset(out)
 
 
 def known_towns(places: DataFrame) -> tuple[DataFrame, Broadcast]:
