@@ -2,48 +2,57 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
 DIMENSIONS, GRAMS = 256, (3, 4, 5)
 
 
 @lru_cache(500_000)
-def _slot(gram: str) -> tuple[int, float]:
-    d = hashlib.md5(gram.encode()).digest()
-    return int.from_bytes(d[:4], "big") % DIMENSIONS, 1.0 if d[4] & 1 else -1.0
+def cell(gram: str) -> int:
+    """Three hex digits of the gram's MD5: two say which dimension, an odd third one that it counts down.
+
+    SQL can do the same, so that results can be held against another engine.
+    """
+    return int(md5(gram.encode()).hexdigest()[:3], 16)
 
 
 def embed_text(text: str | None) -> np.ndarray:
-    """float32 unit vector: signed counts of hashed 3- to 5-grams of the padded lower-case text; 0 for blanks."""
-    v = np.zeros(DIMENSIONS, np.float32)
-    s = (text or "").lower().strip()
-    if s:
-        s = f" {s} "
-        for n in GRAMS:
-            for i in range(len(s) - n + 1):
-                k, sign = _slot(s[i : i + n])
-                v[k] += sign
-        size = float(np.linalg.norm(v))
-        if size:
-            v /= size
-    return v
+    """Unit vector of the padded lower-case text's grams, counted up or down by cell(); 0 for blanks."""
+    padded = f" {text.strip().lower()} " if text and text.strip() else ""
+    return _unit([padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)])
+
+
+def embed_words(text: str | None) -> np.ndarray:
+    """The same of the words between blanks: texts are alike if they have whole words in common."""
+    return _unit([w for w in (text or "").strip().lower().split(" ") if w])
+
+
+def _unit(grams: list[str]) -> np.ndarray:
+    cells = np.array([cell(g) for g in grams], np.int64)
+    v = np.bincount(cells >> 4, weights=np.where(cells & 1, -1.0, 1.0), minlength=DIMENSIONS)
+    return v / max(float(np.sqrt(v @ v)), 1e-300)
 
 
 def embed(texts: list[str | None]) -> np.ndarray:
-    return np.stack([embed_text(t) for t in texts]) if len(texts) else np.zeros((0, DIMENSIONS), np.float32)
+    return np.stack([embed_text(t) for t in texts]) if len(texts) else np.zeros((0, DIMENSIONS))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
+@F.pandas_udf(ArrayType(DoubleType()))
 def embedding(s: pd.Series) -> pd.Series:
     return s.map(embed_text)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def word_embedding(s: pd.Series) -> pd.Series:
+    return s.map(embed_words)
+
+
 def dot(a, b):
     """Dot product of two array columns, JVM-side."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

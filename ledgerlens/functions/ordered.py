@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .store import stored
 
 SLICES = 64
+#: A value that holds more than one row in so many is joined by broadcast: there are fewer than HOT of them.
+HOT = 1000
 
 
 def _with_slices(cells: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
@@ -51,16 +53,30 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, named: dict[str,
     return got.select(*keys, *[(F.col(f"_l_{k}") + (F.col(f"_h_{k}") - F.col(f"_l_{k}")) * F.col(f"_f_{k}")).alias(k) for k in named])
 
 
+def _joined(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of cells(keys, n, ...) by keys that are never null in either; n is left out.
+
+    Values that very many rows share would meet in one task, so these few go to all executors.
+    """
+    cells = stored(cells, "cells")
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    often, rest = cells.where(hot).drop("n"), cells.where(~hot).drop("n")
+    marked = df.join(F.broadcast(often.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    own = marked.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(often), keys)
+    return own.unionByName(marked.where(F.col("_hot").isNull()).drop("_hot").join(rest, keys))
+
+
 def with_cume_dist(df: DataFrame, keys: list[str], value: str, name: str = "cume_dist") -> DataFrame:
     """Share of the group's rows at or below each value, as the window function of that name. Rows without a value drop."""
     c = counted(df, keys, value)
-    return df.join(c.select(*keys, value, ((F.col("before") + F.col("n")) / F.col("total")).alias(name)), [*keys, value])
+    return _joined(df, c.select(*keys, value, "n", ((F.col("before") + F.col("n")) / F.col("total")).alias(name)), [*keys, value])
 
 
 def with_mean_rank(df: DataFrame, keys: list[str], value: str, name: str = "pct_rank", size: str = "cohort_size") -> DataFrame:
     """Mean rank of ties as a share of the group, and the size of the group."""
     c = counted(df, keys, value)
-    return df.join(c.select(*keys, value, ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(name), F.col("total").alias(size)), [*keys, value])
+    return _joined(df, c.select(*keys, value, "n", ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(name), F.col("total").alias(size)), [*keys, value])
 
 
 def with_q_values(df: DataFrame, p: str = "p_value", name: str = "q_value") -> DataFrame:
@@ -71,8 +87,8 @@ def with_q_values(df: DataFrame, p: str = "p_value", name: str = "q_value") -> D
     after = Window.partitionBy(F.lit(0)).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
     later = later.select("_slice", F.min("_min").over(after).alias("_later"))
     inside = Window.partitionBy("_slice").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = c.join(later, "_slice").select(p, F.least(F.min("_raw").over(inside), F.col("_later"), F.lit(1.0)).alias(name))
-    return df.join(q, p)
+    q = c.join(F.broadcast(later), "_slice").select(p, "n", F.least(F.min("_raw").over(inside), F.col("_later"), F.lit(1.0)).alias(name))
+    return _joined(df, q, [p])
 
 
 def with_ranks(df: DataFrame, by: list[Column], name: str = "rank", head: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807
 def rounded(c: str | Column, places: int) -> Column:
     """Half to even at a number of decimal places, on the binary value (Spark's bround rounds its shortest decimal form)."""
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.rint(x * 10.0**places) / 10.0**places
+    return F.rint(x * 10.0**places) / 10.0**places + 0.0  # no negative zero
 
 
 def upper_tail_p(z: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,17 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a local folder only where it is unset and the master is local, as in tests.
+
+    RuntimeError where it is unset on a cluster: a folder of one machine would lose the other machines' parts.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        local = tempfile.mkdtemp(prefix="ledgerlens-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         sc.setCheckpointDir(folder)
     return folder
 
 
+def _tables(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written there and read again: a cut lineage that outlives executors, and real sizes for the planner."""
-    path = os.path.join(shared_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
+    """df written there and read again: a cut lineage that outlives executors, and real sizes for the planner.
+
+    The tables of a session stay until forget(): results that are still to be read may need them.
+    """
+    path = os.path.join(_tables(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this session has stored; for the end of a query whose result has been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

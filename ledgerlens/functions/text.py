@@ -11,13 +11,27 @@ from pyspark.sql.types import StringType
 
 # Fixed values that decide results.
 STREET_SUFFIXES = {"STREET": "ST", "AVENUE": "AVE", "ROAD": "RD", "BOULEVARD": "BLVD", "DRIVE": "DR", "LANE": "LN", "COURT": "CT", "PLACE": "PL"}
-NAME_STOP_WORDS = "INC INCORPORATED LLC LLP LP LTD CO COMPANY CORP CORPORATION PLLC PLC PC PA DBA THE AND OF".split()
+NAME_STOP_WORDS = (
+    "INC", "INCORPORATED", "LLC", "LLP", "LP", "LTD", "CO", "COMPANY", "CORP", "CORPORATION", "PLLC", "PLC", "PC", "PA", "DBA", "THE", "AND", "OF",
+)
 GENERIC_PHRASES = (
-    "UNITED STATES,UNITED STATES DISTRICT,UNITED STATES ATTORNEY,DISTRICT COURT,ATTORNEYS OFFICE,JUSTICE DEPARTMENT,DEPARTMENT JUSTICE,SMALL BUSINESS,SMALL BUSINESS ADMINISTRATION,BUSINESS ADMINISTRATION,PAYCHECK PROTECTION,PAYCHECK PROTECTION PROGRAM,PROTECTION PROGRAM,ECONOMIC INJURY,ECONOMIC INJURY DISASTER,DISASTER LOAN,GRAND JURY,INTERNAL REVENUE,INTERNAL REVENUE SERVICE,SOCIAL SECURITY,FEDERAL BUREAU,PUBLIC RELATIONS,INSPECTOR GENERAL"
-).split(",")
+    "UNITED STATES", "UNITED STATES DISTRICT", "UNITED STATES ATTORNEY", "DISTRICT COURT", "ATTORNEYS OFFICE", "JUSTICE DEPARTMENT", "DEPARTMENT JUSTICE",
+    "SMALL BUSINESS", "SMALL BUSINESS ADMINISTRATION", "BUSINESS ADMINISTRATION", "PAYCHECK PROTECTION", "PAYCHECK PROTECTION PROGRAM",
+    "PROTECTION PROGRAM", "ECONOMIC INJURY", "ECONOMIC INJURY DISASTER", "DISASTER LOAN", "GRAND JURY", "INTERNAL REVENUE", "INTERNAL REVENUE SERVICE",
+    "SOCIAL SECURITY", "FEDERAL BUREAU", "PUBLIC RELATIONS", "INSPECTOR GENERAL",
+)
 PPP_WORDS = ("paycheck protection", "ppp loan", " ppp ", "(ppp)")
 EIDL_WORDS = ("economic injury disaster", " eidl", "eidl ", "(eidl)")
 LOAN_WORDS = ("sba loan", "covid-19 relief loan", "covid relief loan", "pandemic relief loan", "small business administration")
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware",
+    "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky",
+    "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi",
+    "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico",
+    "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania",
+    "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont",
+    "VA": "Virginia", "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "DC": "District of Columbia",
+}
 UNIT_WORDS = "SUITE|STE|UNIT|APT|APARTMENT"
 
 
@@ -46,7 +60,7 @@ def building_key(address: str = "borrower_address", city: str = "borrower_city",
 def name_tokens(name: str | Column) -> Column:
     """Upper-case words of a name without legal forms and joining words; [] for null."""
     c = F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
-    return F.filter(F.split(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]+", " "), r"\s+"), lambda w: (w != "") & ~w.isin(NAME_STOP_WORDS))
+    return F.filter(F.split(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]+", " "), r"\s+"), lambda w: (w != "") & ~w.isin(*NAME_STOP_WORDS))
 
 
 def norm_name(name: str | Column) -> Column:
@@ -67,7 +81,7 @@ def ngrams(tokens: Column, least: int = 2, most: int = 6) -> Column:
 
     # bound to a variable, so that the words are found once and not again for every run
     runs = F.flatten(F.flatten(F.transform(F.array(tokens), lambda t: F.array(*[of(t, n) for n in range(least, most + 1)]))))
-    return F.filter(F.array_distinct(runs), lambda g: ~g.isin(GENERIC_PHRASES))
+    return F.filter(F.array_distinct(runs), lambda g: ~g.isin(*GENERIC_PHRASES))
 
 
 def run_hashes(words: Column, least: int = 2, most: int = 6) -> Column:

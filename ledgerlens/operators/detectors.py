@@ -10,21 +10,50 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.embed import embed
-from ..functions.ordered import group_quantiles, with_q_values
+from ..functions.ordered import group_quantiles, with_q_values, with_ranks
 from ..functions.stats import rounded, upper_tail_p, with_robust_z
 from ..functions.store import stored
 from ..sources.readers import one_per_loan
 
 # Monthly pay caps by industry, sector titles, recency tells.
 CAPS = {"72": 29166.67, "": 20833.33}
-SECTORS = "11 Agriculture, Forestry, Fishing and Hunting|21 Mining, Quarrying, and Oil and Gas Extraction|22 Utilities|23 Construction|31 Manufacturing|32 Manufacturing|33 Manufacturing|42 Wholesale Trade|44 Retail Trade|45 Retail Trade|48 Transportation and Warehousing|49 Transportation and Warehousing|51 Information|52 Finance and Insurance|53 Real Estate and Rental and Leasing|54 Professional, Scientific, and Technical Services|55 Management of Companies and Enterprises|56 Administrative and Support and Waste Management and Remediation Services|61 Educational Services|62 Health Care and Social Assistance|71 Arts, Entertainment, and Recreation|72 Accommodation and Food Services|81 Other Services (except Public Administration)|92 Public Administration"
+SECTORS = {
+    "11": "Agriculture, Forestry, Fishing and Hunting",
+    "21": "Mining, Quarrying, and Oil and Gas Extraction",
+    "22": "Utilities",
+    "23": "Construction",
+    "31": "Manufacturing",
+    "32": "Manufacturing",
+    "33": "Manufacturing",
+    "42": "Wholesale Trade",
+    "44": "Retail Trade",
+    "45": "Retail Trade",
+    "48": "Transportation and Warehousing",
+    "49": "Transportation and Warehousing",
+    "51": "Information",
+    "52": "Finance and Insurance",
+    "53": "Real Estate and Rental and Leasing",
+    "54": "Professional, Scientific, and Technical Services",
+    "55": "Management of Companies and Enterprises",
+    "56": "Administrative and Support and Waste Management and Remediation Services",
+    "61": "Educational Services",
+    "62": "Health Care and Social Assistance",
+    "71": "Arts, Entertainment, and Recreation",
+    "72": "Accommodation and Food Services",
+    "81": "Other Services (except Public Administration)",
+    "92": "Public Administration",
+}
 RECENCY = {"startup, loan funds will open business": 3.0, "new business or 2 years or less": 2.0, "change of ownership": 1.0}
-MOST_TITLES = 20_000
+#: Titles that go to the executors at a time.
+TITLE_BLOCK = 4096
+#: Loan numbers of an entity, and names of a building, that the evidence lists.
+LISTED, SAMPLED = 25, 10
 
 
 def cap_of(naics: str | Column = "naics_code") -> Column:
@@ -62,6 +91,15 @@ def cap_exceedance(loans: DataFrame, min_ratio: float = 1.5) -> DataFrame:
     return base.where(ratio >= min_ratio).select("loan_number", rounded(ratio, 4).alias("score"), "naics_code", F.col("borrower_state").alias("state"), "borrower_name", F.col("current_approval_amount").alias("amount"), "jobs_reported", rounded(per_job, 2).alias("amount_per_job"), cap_of().alias("per_employee_cap"), rounded(ratio, 2).alias("x_cap"))
 
 
+def smallest(df: DataFrame, key: str, value: str, k: int, name: str) -> DataFrame:
+    """(key, name): the k smallest different values of each key, as an array.
+
+    Limits on row numbers are applied before the shuffle too, so no task holds the values of a large group.
+    """
+    first = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    return df.select(key, value).distinct().withColumn("_n", first).where(F.col("_n") <= k).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 _ADDRESS = ("borrower_address", "borrower_city", "borrower_state", "borrower_zip")
 
 
@@ -70,8 +108,10 @@ def multiple_funded(loans: DataFrame) -> DataFrame:
     base = one_per_loan(loans, "borrower_name", *_ADDRESS, "processing_method", "current_approval_amount").select("loan_number", text.entity_key().alias("entity_key"), "processing_method", F.col("current_approval_amount").alias("amount")).where(F.col("entity_key").isNotNull())
     draws = base.groupBy("entity_key", F.coalesce("processing_method", F.lit("")).alias("draw")).agg(F.count(F.lit(1)).alias("c"), F.sum("amount").alias("s"))
     per = draws.groupBy("entity_key").agg(F.sum("c").alias("n_loans"), F.sum(F.greatest(F.col("c") - 1, F.lit(0))).alias("_within"), F.sum("s").alias("total_amount"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("draw", "c")))).alias("per_draw_counts"))
-    per = per.withColumn("excess_loans", F.greatest(F.col("_within"), F.col("n_loans") - 2)).where("excess_loans > 0")
-    return base.join(per, "entity_key").select("loan_number", rounded(F.col("excess_loans").cast("double"), 4).alias("score"), "entity_key", "n_loans", "excess_loans", F.to_json("per_draw_counts").alias("per_draw_counts"), rounded("total_amount", 2).alias("total_amount"))
+    per = stored(per.withColumn("excess_loans", F.greatest(F.col("_within"), F.col("n_loans") - 2)).where("excess_loans > 0"), "multiple")
+    hit = base.join(per.select("entity_key"), "entity_key", "left_semi")
+    numbers = smallest(hit, "entity_key", "loan_number", LISTED, "_numbers")
+    return base.join(per, "entity_key").join(numbers, "entity_key").select("loan_number", rounded(F.col("excess_loans").cast("double"), 4).alias("score"), "entity_key", "n_loans", "excess_loans", F.to_json("per_draw_counts").alias("per_draw_counts"), rounded("total_amount", 2).alias("total_amount"), F.col("_numbers").alias("loan_numbers"))
 
 
 def address_ring(loans: DataFrame, min_ring_size: int = 3) -> DataFrame:
@@ -80,9 +120,10 @@ def address_ring(loans: DataFrame, min_ring_size: int = 3) -> DataFrame:
     # distinct names are counted in two steps, so a building with a third of all loans is spread over tasks
     names = base.groupBy("normalized_address", "borrower_name").agg(F.count(F.lit(1)).alias("c"), F.sum("amount").alias("s"))
     per = names.groupBy("normalized_address").agg(F.count(F.when(F.trim("borrower_name") != "", 1)).alias("ring_size"), F.sum("c").alias("n_loans"), F.sum("s").alias("_sum"))
-    per = per.where(F.col("ring_size") >= min_ring_size).withColumn("total_ring_amount", rounded(F.coalesce("_sum", F.lit(0.0)), 2))
+    per = stored(per.where(F.col("ring_size") >= min_ring_size).withColumn("total_ring_amount", rounded(F.coalesce("_sum", F.lit(0.0)), 2)), "rings")
+    some = smallest(names.where(F.trim("borrower_name") != "").join(per.select("normalized_address"), "normalized_address", "left_semi"), "normalized_address", "borrower_name", SAMPLED, "_names")
     score = F.log1p("ring_size") + F.log1p("total_ring_amount")
-    return base.join(per, "normalized_address").select("loan_number", rounded(score, 4).alias("score"), "normalized_address", "ring_size", "n_loans", "total_ring_amount")
+    return base.join(per, "normalized_address").join(some, "normalized_address").select("loan_number", rounded(score, 4).alias("score"), "normalized_address", "ring_size", "n_loans", "total_ring_amount", F.col("_names").alias("borrower_names_sample"))
 
 
 def amount_anomaly(loans: DataFrame, cap_band: float = 0.05) -> DataFrame:
@@ -128,36 +169,51 @@ def business_recency(loans: DataFrame) -> DataFrame:
     return one_per_loan(loans, "business_age_description", "date_approved").withColumn("score", table[tell]).where(F.col("score").isNotNull()).select("loan_number", "score", "business_age_description", "date_approved", tell.alias("matched_tell"))
 
 
-def name_mismatch(loans: DataFrame, titles: DataFrame | None = None, min_mismatch: float = 0.6, embedder: Callable[[list[str]], np.ndarray] = embed) -> DataFrame:
+def name_mismatch(loans: DataFrame, titles: DataFrame | None = None, min_mismatch: float = 0.6, embedder: Callable[[list[str]], np.ndarray] = embed, block: int = TITLE_BLOCK) -> DataFrame:
     """Names that fit another industry's title better than their own.
 
-    Each distinct name is compared with every title once, in Arrow batches; the title matrix is sent to the executors
-    and its size is checked (MOST_TITLES rows).
+    Each distinct name is compared with every title once, in Arrow batches; titles go to the executors in blocks. Of
+    equally similar titles the first by letter counts. Codes without a title of their own take that of their sector.
     """
     base = one_per_loan(loans, "borrower_name", "naics_code").where((F.coalesce(F.trim("borrower_name"), F.lit("")) != "") & (F.coalesce("naics_code", F.lit("")) != ""))
-    own = None if titles is None else titles.where(F.col("naics_code").isNotNull() & F.col("title").isNotNull()).select(F.trim("naics_code").alias("c"), F.trim("title").alias("t")).distinct()
-    rows = [] if own is None else [(r.c, r.t) for r in own.orderBy("c", "t").limit(MOST_TITLES + 1).collect()]
-    if len(rows) > MOST_TITLES:
-        raise ValueError(f"more than {MOST_TITLES} titles")
-    table = dict(rows) or {s[:2]: s[3:] for s in SECTORS.split("|")}
-    unique = sorted(set(table.values()))
-    at = {t: i for i, t in enumerate(unique)}
-    matrix = base.sparkSession.sparkContext.broadcast(embedder(unique))
-    code = F.create_map(*[F.lit(x) for c, t in table.items() for x in (c, at[t])])
-    base = base.withColumn("_title", F.coalesce(code[F.col("naics_code")], code[F.substring("naics_code", 1, 2)])).where(F.col("_title").isNotNull())
+    spark = base.sparkSession
+    own = None if titles is None else titles.where(F.col("naics_code").isNotNull() & F.col("title").isNotNull()).groupBy(F.trim("naics_code").alias("_code")).agg(F.max(F.trim("title")).alias("_title"))
+    own = spark.createDataFrame(list(SECTORS.items()), "_code string, _title string") if own is None or own.isEmpty() else own
+    own = stored(own, "titles")
+    sector = own.select(F.col("_code").alias("_sector"), F.col("_title").alias("_broad"))
+    base = base.join(own, F.col("naics_code") == F.col("_code"), "left").join(sector, F.substring("naics_code", 1, 2) == F.col("_sector"), "left")
+    base = stored(base.select("loan_number", "borrower_name", F.coalesce("_title", "_broad").alias("_title")).where(F.col("_title").isNotNull()), "titled")
     pairs = base.select("borrower_name", "_title").distinct()
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sims = embedder(b["borrower_name"].tolist()).astype(np.float64) @ matrix.value.T.astype(np.float64)
-            own_sim = sims[np.arange(len(b)), b["_title"].to_numpy()] if len(b) else np.array([])
-            best, worst = sims.max(1, initial=-1), sims.min(1, initial=1)
-            spread = best - worst
-            gap = np.where(spread > 1e-9, (best - own_sim) / np.where(spread > 1e-9, spread, 1), 0.0)
-            yield b.assign(mismatch_gap=np.round(gap, 4), declared_similarity=np.round(own_sim, 4), best_similarity=np.round(best, 4), best_match_title=[unique[i] for i in sims.argmax(1)] if len(b) else [], declared_title=[unique[i] for i in b["_title"]])
-
-    found = pairs.mapInPandas(compare, "borrower_name string, _title int, mismatch_gap double, declared_similarity double, best_similarity double, best_match_title string, declared_title string").where(F.col("mismatch_gap") >= min_mismatch)
-    return base.join(found, ["borrower_name", "_title"]).select("loan_number", F.col("mismatch_gap").alias("score"), "declared_title", "declared_similarity", "best_match_title", "best_similarity", "mismatch_gap", F.lit(len(unique)).alias("n_titles"))
+    unique = with_ranks(own.select("_title").distinct(), [F.col("_title")], "_i")
+    n = own.select("_title").distinct().count()
+
+    def compare(sent: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, matrix = sent.value
+            at = {t: i for i, t in enumerate(names)}
+            for b in batches:
+                sims = np.round(embedder(b["borrower_name"].tolist()).astype(np.float64) @ matrix.T, 12) + 0.0
+                mine = np.array([at.get(t, -1) for t in b["_title"]], np.int64)
+                own_sim = np.where(mine >= 0, sims[np.arange(len(b)), mine], np.nan) if len(b) else np.array([])
+                best = sims.argmax(1) if len(b) else []
+                yield b.assign(own=pd.Series(own_sim, b.index).astype(object).where(mine >= 0, None), best=sims.max(1, initial=-1), least=sims.min(1, initial=1), title=[names[i] for i in best])
+
+        return run
+
+    found = None
+    for first in range(0, n, block):
+        names = [r[0] for r in unique.where((F.col("_i") > first) & (F.col("_i") <= first + block)).orderBy("_i").select("_title").collect()]
+        part = pairs.mapInPandas(compare(spark.sparkContext.broadcast((names, embedder(names).astype(np.float64)))), "borrower_name string, _title string, own double, best double, least double, title string")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "borrower_name string, _title string, own double, best double, least double, title string")
+    per = found.groupBy("borrower_name", "_title").agg(F.max("own").alias("own"), F.max("best").alias("best"), F.min("least").alias("least"), F.min(F.struct((-F.col("best")).alias("b"), "title"))["title"].alias("title"))
+    gap = rounded(F.when(F.col("best") - F.col("least") > 1e-9, (F.col("best") - F.col("own")) / (F.col("best") - F.col("least"))).otherwise(0.0), 4)
+    hit = per.withColumn("gap", gap).where(F.col("gap") >= min_mismatch)
+    return base.join(hit, ["borrower_name", "_title"]).select(
+        "loan_number", F.col("gap").alias("score"), F.col("_title").alias("declared_title"), rounded("own", 4).alias("declared_similarity"), F.col("title").alias("best_match_title"), rounded("best", 4).alias("best_similarity"),
+        F.col("gap").alias("mismatch_gap"), F.lit(n).alias("n_titles"),
+    )
 
 
 def as_signals(df: DataFrame, detector_id: str) -> DataFrame:

@@ -13,8 +13,7 @@ from ..functions.stats import rounded
 from ..functions.store import stored
 from ..sources.readers import one_per_loan
 
-# State codes with names.
-STATES = "AL Alabama,AK Alaska,AZ Arizona,AR Arkansas,CA California,CO Colorado,CT Connecticut,DE Delaware,FL Florida,GA Georgia,HI Hawaii,ID Idaho,IL Illinois,IN Indiana,IA Iowa,KS Kansas,KY Kentucky,LA Louisiana,ME Maine,MD Maryland,MA Massachusetts,MI Michigan,MN Minnesota,MS Mississippi,MO Missouri,MT Montana,NE Nebraska,NV Nevada,NH New Hampshire,NJ New Jersey,NM New Mexico,NY New York,NC North Carolina,ND North Dakota,OH Ohio,OK Oklahoma,OR Oregon,PA Pennsylvania,RI Rhode Island,SC South Carolina,SD South Dakota,TN Tennessee,TX Texas,UT Utah,VT Vermont,VA Virginia,WA Washington,WV West Virginia,WI Wisconsin,WY Wyoming,DC District of Columbia"
+# Fixed values.
 PROGRAMS = ("ppp", "eidl", "both")
 
 
@@ -38,7 +37,7 @@ def _staged(releases: DataFrame) -> DataFrame:
 
 
 def _state_in(code: Column, upper: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for s in STATES.split(",") for x in (s[:2], s[3:].upper())])
+    names = F.create_map(*[F.lit(x) for code, name in text.STATES.items() for x in (code, name.upper())])
     word = F.array_contains(F.split(F.regexp_replace(upper, "[^A-Z0-9_]+", " "), " "), code)
     return F.coalesce(word | upper.contains(names[code]), F.lit(False))
 
@@ -56,7 +55,7 @@ def resolve_exact(releases: DataFrame, loans: DataFrame, threshold: float = 0.6,
     # runs travel as hashes; that a name really stands among the words is checked after the join
     runs = r.select("rid", F.explode(text.run_hashes(F.split("_words", " "))).alias("h"))
     l = one_per_loan(loans, "borrower_name", "borrower_state", "current_approval_amount").where(F.col("borrower_name").isNotNull())
-    l = l.select("loan_number", F.col("borrower_state").alias("state"), F.col("current_approval_amount").alias("amount"), text.name_tokens("borrower_name").alias("_t")).where(F.size("_t").between(2, 6)).withColumn("name", F.array_join("_t", " ")).where(~F.col("name").isin(text.GENERIC_PHRASES)).withColumn("h", F.xxhash64("name"))
+    l = l.select("loan_number", F.col("borrower_state").alias("state"), F.col("current_approval_amount").alias("amount"), text.name_tokens("borrower_name").alias("_t")).where(F.size("_t").between(2, 6)).withColumn("name", F.array_join("_t", " ")).where(~F.col("name").isin(*text.GENERIC_PHRASES)).withColumn("h", F.xxhash64("name"))
     hit = runs.join(l, "h").join(r, "rid").where(F.concat(F.lit(" "), "_words", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("name"), F.lit(" "))))
     upper = F.upper("_text")
     state = F.coalesce(F.col("state"), F.lit("")) != ""

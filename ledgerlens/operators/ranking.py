@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ from ..functions.ordered import group_quantiles, with_cume_dist, with_ranks
 from ..functions.stats import rounded
 from ..sources.readers import one_per_loan
 
+#: Borders between 0, 1, 2, ... of a Poisson(1) draw among the numbers below PRIME.
+PRIME = 2147483647
+POISSON = tuple(int(PRIME * np.exp(-1.0) * sum(1 / math.factorial(j) for j in range(i + 1))) for i in range(12))
 KS = (100, 250, 500, 1000, 2000, 5000)
 
 
@@ -120,12 +124,19 @@ def fuse(rankings: list[DataFrame], weights: list[float] | None = None, k: int =
     return with_ranks(fused, [F.col("fused_score").desc(), F.col("loan_number")], head=head)
 
 
-def bootstrap_intervals(ranking: DataFrame, known: DataFrame, population: int, ks: tuple[int, ...] = KS, n_boot: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def drawn(replicate: int, places: np.ndarray) -> np.ndarray:
+    """How often each place is drawn in a replicate: Poisson(1) numbers by whole-number arithmetic, as SQL can do it."""
+    u = ((replicate * 48271 + places * 69621 + 12345) % PRIME * 16807 + places * 40692 + replicate) % PRIME
+    v = (u * 39373 + replicate * 16807) % PRIME
+    return np.searchsorted(np.array(POISSON), v, "right")
+
+
+def bootstrap_intervals(ranking: DataFrame, known: DataFrame, population: int, ks: tuple[int, ...] = KS, n_boot: int = 2000, alpha: float = 0.05) -> DataFrame:
     """(k, hits_low, hits_high, lift_low, lift_high): percentile intervals of a Poisson bootstrap of the ranking.
 
     Every ranked loan is drawn Poisson(1) times in a replicate. Only places up to about max(ks) matter, so what the
     executors get is the ranks of the positives among the first 5 * max(ks) places: bounded by ks, not by the data.
-    Replicates run in parallel, each with its own seed, so results don't depend on the partitioning.
+    Replicates run in parallel and draw by their number, so results don't depend on the partitioning.
     """
     spark = ranking.sparkSession
     head = 5 * max(ks)
@@ -139,7 +150,7 @@ def bootstrap_intervals(ranking: DataFrame, known: DataFrame, population: int, k
         for b in batches:
             rows = []
             for i in b["id"]:
-                m = np.random.default_rng([seed, int(i)]).poisson(1.0, n)
+                m = drawn(int(i), np.arange(1, n + 1, dtype=np.int64))
                 cum, taken = np.cumsum(m), np.cumsum(y * m)
                 for k in ks:
                     j = int(np.searchsorted(cum, k)) if n else 0

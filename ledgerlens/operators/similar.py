@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.embed import dot, embedding
+from ..functions.embed import dot, embedding, word_embedding
+from ..functions.ordered import with_ranks
 from ..functions.stats import rounded
+from ..functions.store import stored
 from ..sources.readers import one_per_loan
 
 COLUMNS = ("borrower_name", "borrower_city", "borrower_state", "borrower_zip", "naics_code", "current_approval_amount", "jobs_reported")
+#: Query vectors that go to the executors at a time.
+BLOCK = 4096
 WEIGHTS = {"semantic": 1.0, "lexical": 0.6, "structured": 0.8}
 
 
@@ -36,23 +45,28 @@ def candidate_pool(loans: DataFrame, targets: DataFrame, min_amount: float = 150
     return got.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= max_pool).drop("_n")
 
 
-def similar_loans(loans: DataFrame, targets: DataFrame, labelled: DataFrame | None = None, k: int = 20, **options) -> DataFrame:
+def similar_loans(loans: DataFrame, targets: DataFrame, labelled: DataFrame | None = None, k: int = 20, semantic: Callable[[str], Column] = word_embedding, **options) -> DataFrame:
     """The k most similar loans of every target, best first.
 
-    Rankings by name embedding, by character n-grams and by structure (same industry, amount gap, same post code) are
-    fused by reciprocal ranks. Each distinct name is embedded once. Without a semantic model the hashing embedder
-    serves both name rankings. Targets that aren't found, or without a name or amount, have no rows (see reasons()).
+    Rankings by meaning of the names, by their character n-grams and by structure (same industry, amount gap, same
+    post code) are fused by reciprocal ranks. semantic makes an array column of unit vectors from a column of names;
+    no model of meaning is at hand, so by default whole words in common stand for it. Each distinct name is embedded
+    once. Targets that aren't found, or without a name or amount, have no rows (see reasons()).
     """
     pool = candidate_pool(loans, targets, **options)
-    names = pool.select(F.col("borrower_name").alias("name")).unionByName(pool.select(F.col("t_name").alias("name"))).distinct().withColumn("v", embedding("name"))
-    p = pool.join(names.select(F.col("name").alias("borrower_name"), "v"), "borrower_name").join(names.select(F.col("name").alias("t_name"), F.col("v").alias("t_v")), "t_name")
-    sim = rounded(dot(F.col("v"), F.col("t_v")), 6)
+    names = pool.select(F.col("borrower_name").alias("name")).unionByName(pool.select(F.col("t_name").alias("name"))).distinct()
+    names = names.withColumn("v", embedding("name")).withColumn("m", semantic("name"))
+    p = pool.join(names.select(F.col("name").alias("borrower_name"), "v", "m"), "borrower_name").join(names.select(F.col("name").alias("t_name"), F.col("v").alias("t_v"), F.col("m").alias("t_m")), "t_name")
     gap = F.abs(F.col("current_approval_amount") - F.col("t_amount")) / F.col("t_amount")
-    z = _zip5()
-    p = p.withColumn("lexical_sim", sim).withColumn("semantic_sim", sim).withColumn("amount_delta_pct", gap).withColumn("same_naics", F.coalesce(F.col("naics_code") == F.col("t_naics"), F.lit(False))).withColumn("same_zip5", F.coalesce(z == F.col("t_zip"), F.lit(False))).withColumn("same_state", F.coalesce(F.col("borrower_state") == F.col("t_state"), F.lit(False))).drop("v", "t_v")
+    same = lambda a, b: F.coalesce(a == F.col(b), F.lit(False))
+    p = p.withColumns({
+        "lexical_sim": rounded(dot(F.col("v"), F.col("t_v")), 6), "semantic_sim": rounded(dot(F.col("m"), F.col("t_m")), 6), "amount_delta_pct": gap,
+        "same_naics": same(F.col("naics_code"), "t_naics"), "same_zip5": same(_zip5(), "t_zip"), "same_state": same(F.col("borrower_state"), "t_state"),
+    }).drop("v", "t_v", "m", "t_m")
     w = Window.partitionBy("target")
-    p = p.withColumn("_s", F.row_number().over(w.orderBy(F.col("semantic_sim").desc(), "loan_number"))).withColumn("_l", F.row_number().over(w.orderBy(F.col("lexical_sim").desc(), "loan_number")))
-    p = p.withColumn("_t", F.row_number().over(w.orderBy((~F.col("same_naics")).cast("int"), "amount_delta_pct", (~F.col("same_zip5")).cast("int"), "loan_number")))
+    place = lambda *by: F.row_number().over(w.orderBy(*by, "loan_number"))
+    p = p.withColumn("_l", place(F.col("lexical_sim").desc())).withColumn("_t", place((~F.col("same_naics")).cast("int"), "amount_delta_pct", (~F.col("same_zip5")).cast("int")))
+    p = p.withColumn("_s", place(F.col("semantic_sim").desc()))
     score = WEIGHTS["semantic"] / (60 + F.col("_s")) + WEIGHTS["lexical"] / (60 + F.col("_l")) + WEIGHTS["structured"] / (60 + F.col("_t"))
     top = p.withColumn("_f", score).withColumn("rank", F.row_number().over(w.orderBy(F.col("_f").desc(), "loan_number"))).where(F.col("rank") <= k)
     if labelled is None:
@@ -77,42 +91,40 @@ def homophily(loans: DataFrame, labelled: DataFrame, k: int = 10, **options) ->
     return near.join(F.broadcast(base)).select("n_targets", rounded("neighbour_rate", 6).alias("neighbour_rate"), rounded("base_rate", 6).alias("base_rate"), rounded(F.when(F.col("base_rate") > 0, F.col("neighbour_rate") / F.col("base_rate")), 4).alias("lift"))  # one row each
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query, id, cosine, rank): the k nearest vectors of each query by cosine, exact.
 
-    The queries are the stated set: they go to the executors in blocks of checked size (BLOCK vectors), every vector
-    is read once a block, each batch keeps its own k best of a query, and only those are shuffled.
+    The queries are the stated set: they go to the executors in blocks of `block` vectors at most, every vector is
+    read once a block, each batch keeps its own k best of a query, and only those are shuffled.
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = [(r[0], r[1]) for r in queries.select(id, vector).where(F.col(vector).isNotNull()).limit(BLOCK + 1).collect()]
-    if len(rows) > BLOCK:
-        raise ValueError(f"ask for at most {BLOCK} vectors at once")
     kind = vectors.schema[id].dataType.simpleString()
-    ids = [r[0] for r in rows]
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-    def scan(batches):
-        ids, q = sent.value
-        for b in batches:
-            b = b[b[vector].notna()]
-            if not len(b) or not len(ids):
-                continue
-            v = np.stack(b[vector].to_numpy()).astype(np.float64)
-            sims = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            n = min(k + 1, len(b))
-            at = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-            # all that tie with the last one kept go along, so that ties are broken by id later
-            edge = np.take_along_axis(sims, at, 1).min(1)
-            i, j = np.nonzero(sims >= edge[:, None])
-            yield pd.DataFrame({"query": [ids[x] for x in i], id: b[id].to_numpy()[j], "cosine": sims[i, j]})
-
-    part = vectors.select(id, vector).mapInPandas(scan, f"query {kind}, {id} {kind}, cosine double").where(F.col("query") != F.col(id)).withColumn("cosine", rounded("cosine", 6))
+    asked = stored(with_ranks(queries.select(id, vector).where(F.col(vector).isNotNull() & F.col(id).isNotNull()), [F.col(id)], "_n"), "queries")
+
+    def scan(sent: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            for b in batches:
+                b = b[b[vector].notna()]
+                if not len(b):
+                    continue
+                v = np.stack(b[vector].to_numpy()).astype(np.float64)
+                sims = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
+                n = min(k + 1, len(b))
+                at = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                # all that tie with the last one kept go along, so that ties are broken by id later
+                edge = np.take_along_axis(sims, at, 1).min(1)
+                i, j = np.nonzero(sims >= edge[:, None])
+                yield pd.DataFrame({"query": [ids[x] for x in i], id: b[id].to_numpy()[j], "cosine": sims[i, j]})
+
+        return run
+
+    schema = f"query {kind}, {id} {kind}, cosine double"
+    part = vectors.sparkSession.createDataFrame([], schema)
+    for first in range(0, asked.count(), block):
+        rows = asked.where((F.col("_n") > first) & (F.col("_n") <= first + block)).select(id, vector).collect()
+        q = np.array([r[1] for r in rows], np.float64)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        part = part.unionByName(vectors.select(id, vector).mapInPandas(scan(vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], q))), schema))
+    part = part.where(F.col("query") != F.col(id)).withColumn("cosine", rounded("cosine", 6))
     w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), id)
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-BLOCK = 4096

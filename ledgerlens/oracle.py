@@ -32,10 +32,10 @@ USABLE = "jobs_reported >= 1 AND current_approval_amount > 0"
 KS = "(VALUES (100), (250), (500), (1000), (2000), (5000)) ks(k)"
 
 
-def composite() -> str:
+def composite(signals: str = SIGNALS) -> str:
     return f"""(SELECT p.*, borrower_name, naics_code, borrower_state AS state, current_approval_amount AS amount, jobs_reported FROM
       (SELECT loan_number, max(pct) + 0.5 * (count(*) - 1) AS composite_score, count(*) AS n_signals, array_to_string(list_sort(list(DISTINCT detector_id)), ',') AS detectors
-       FROM (SELECT *, cume_dist() OVER (PARTITION BY detector_id ORDER BY score) AS pct FROM {SIGNALS}) GROUP BY 1) p
+       FROM (SELECT *, cume_dist() OVER (PARTITION BY detector_id ORDER BY score) AS pct FROM {signals}) GROUP BY 1) p
       LEFT JOIN {distinct('borrower_name', 'naics_code', 'borrower_state', 'current_approval_amount', 'jobs_reported')} l USING (loan_number))"""
 
 
@@ -79,15 +79,19 @@ def share(c: str) -> str:
     return f"coalesce(least(greatest(coalesce({c}, 0.0) / CASE WHEN current_approval_amount > 0 THEN current_approval_amount END, 0.0), 2.0), 0.0)"
 
 
-def thin() -> str:
-    from .operators.features import DETECTORS
-
+def structured() -> dict[str, str]:
     a = "coalesce(current_approval_amount, 0.0)"
     cols = {
         "log_amount": f"ln(1 + greatest({a}, 0.0))", "log_jobs": "ln(1 + greatest(coalesce(jobs_reported, 0.0), 0.0))", "log_amount_per_job": "ln(1 + greatest(coalesce(current_approval_amount / CASE WHEN jobs_reported < 1 THEN 1.0 ELSE jobs_reported END, 0.0), 0.0))",
         "term": "coalesce(CAST(term AS DOUBLE), 0.0)", "sba_guaranty_pct": "coalesce(sba_guaranty_pct, 0.0)", "jobs_is_one": "CASE WHEN jobs_reported = 1 THEN 1.0 ELSE 0.0 END", "round_amount": "CASE WHEN current_approval_amount > 0 AND current_approval_amount % 10000 = 0 THEN 1.0 ELSE 0.0 END", "is_naics_72": "CASE WHEN naics_code LIKE '72%' THEN 1.0 ELSE 0.0 END",
-        "payroll_share": share("payroll_proceed"), "forgiveness_ratio": share("forgiveness_amount"),
     }
+    return cols
+
+
+def thin() -> str:
+    from .operators.features import DETECTORS
+
+    cols = structured() | {"payroll_share": share("payroll_proceed"), "forgiveness_ratio": share("forgiveness_amount")}
     det = ", ".join(f"max(CASE WHEN detector_id = '{d}' THEN score END) AS det_{d}" for d in DETECTORS)
     return f"""SELECT l.loan_number, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {n}' for n, c in cols.items())}, {', '.join(f'round(coalesce(det_{d}, 0.0), 6) AS det_{d}' for d in DETECTORS)}
     FROM {distinct('current_approval_amount', 'jobs_reported', 'payroll_proceed', 'forgiveness_amount', 'term', 'sba_guaranty_pct', 'naics_code')} l LEFT JOIN (SELECT loan_number, {det} FROM {SIGNALS} GROUP BY 1) s USING (loan_number) WHERE {SLICE}"""
@@ -127,10 +131,9 @@ def staged() -> str:
 
 
 def exact() -> str:
-    from .functions.text import GENERIC_PHRASES
-    from .operators.labels import STATES
+    from .functions.text import GENERIC_PHRASES, STATES
 
-    states = ", ".join(f"('{s[:2]}', '{s[3:].upper()}')" for s in STATES.split(","))
+    states = ", ".join(f"('{code}', '{name.upper()}')" for code, name in STATES.items())
     generic = ", ".join(f"'{g}'" for g in GENERIC_PHRASES)
     return f"""WITH r AS (SELECT *, {TOKENS.format(c='txt')} AS t FROM {staged()}),
     g AS (SELECT DISTINCT url, array_to_string(t[i:i + n - 1], ' ') AS name FROM r, (SELECT unnest(range(2, 7)) AS n) ns, LATERAL (SELECT unnest(range(1, greatest(len(t) - n + 2, 1))) AS i) p WHERE len(t) >= n),
@@ -163,7 +166,111 @@ def metrics(rank: str, known: str, population: str) -> str:
       (SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM {rank} r JOIN {known} y USING (loan_number) WHERE r.rank <= k) AS h, (SELECT count(*) FROM {known}) AS n, (SELECT count(*) FROM {population}) AS pop FROM {KS})"""
 
 
+def default_signals() -> str:
+    """(loan_number, detector_id, score) of the detectors that run by default."""
+    found = sql_of_detectors()
+    return "(" + " UNION ALL ".join(f"SELECT loan_number, '{d}' AS detector_id, score FROM ({found[f'detect_{d}']})" for d in ("naics_cohort_outlier", "payroll_cap_exceedance", "multiple_funded_loans")) + ")"
+
+
+def score_top(k: int = 25) -> str:
+    return f"""SELECT *, CAST(row_number() OVER (ORDER BY raw DESC, loan_number) AS INTEGER) AS rank FROM (SELECT loan_number, borrower_name, naics_code, state, amount, jobs_reported, composite_score AS raw, round_even(composite_score, 6) AS composite_score, n_signals, detectors FROM {composite(f"(SELECT DISTINCT * FROM {default_signals()})")}) QUALIFY rank <= {k}"""
+
+
+def benchmark() -> str:
+    """Every ranking of the slice, held against its known positives."""
+    universe = f"(SELECT loan_number FROM {distinct('current_approval_amount')} WHERE {SLICE})"
+    known = f"(SELECT loan_number FROM {POSITIVES} WHERE loan_number IN (SELECT loan_number FROM u))"
+    score = f"SELECT 'composite' AS ranking, loan_number, composite_score AS s FROM {composite()} UNION ALL SELECT detector_id, loan_number, max(score) FROM {SIGNALS} GROUP BY 1, 2 UNION ALL SELECT 'amount_per_job', loan_number, current_approval_amount / jobs_reported FROM {distinct('current_approval_amount', 'jobs_reported')} WHERE {USABLE} UNION ALL SELECT 'raw_amount', loan_number, current_approval_amount FROM {distinct('current_approval_amount', 'jobs_reported')} WHERE {USABLE}"
+    return f"""WITH u AS {universe}, r AS (SELECT ranking, loan_number, row_number() OVER (PARTITION BY ranking ORDER BY s DESC, loan_number) AS rank FROM ({score}) WHERE loan_number IN (SELECT loan_number FROM u)),
+    names AS (SELECT DISTINCT detector_id AS ranking FROM {SIGNALS} UNION ALL SELECT unnest(['composite', 'amount_per_job', 'raw_amount'])),
+    h AS (SELECT names.ranking, CAST(k AS INTEGER) AS k, count(y.loan_number) AS h FROM names CROSS JOIN {KS} LEFT JOIN r ON r.ranking = names.ranking AND r.rank <= ks.k LEFT JOIN {known} y ON y.loan_number = r.loan_number GROUP BY 1, 2),
+    n AS (SELECT (SELECT count(*) FROM {known}) AS n, (SELECT count(*) FROM u) AS pop)
+    SELECT ranking, k, h AS hits, round_even(h / k, 5) AS precision, round_even(CASE WHEN n > 0 THEN (h / k) / (n / CAST(pop AS DOUBLE)) END, 2) AS lift, round_even(CASE WHEN n > 0 THEN h / n END, 4) AS recall FROM h, n"""
+
+
+def embedded(names: str, words: bool = False) -> str:
+    """(name, slot, w) of names(name): the unit vectors of the hashing embedder, of grams or words, without their zeros."""
+    padded = f"(SELECT name, ' ' || lower(trim(name)) || ' ' AS p FROM {names} WHERE trim(name) <> '')"
+    grams = f"(SELECT name, unnest(list_filter(string_split(p, ' '), lambda w: w <> '')) AS g FROM {padded})" if words else f"(SELECT name, substr(p, i, k) AS g FROM (SELECT name, p, k, unnest(range(1, length(p) - k + 2)) AS i FROM {padded}, (VALUES (3), (4), (5)) g(k) WHERE length(p) >= k))"
+    return f"""(SELECT name, slot, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM
+      (SELECT name, h // 16 AS slot, CAST(sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS w FROM (SELECT name, ('0x' || substr(md5(g), 1, 3))::INT AS h FROM {grams}) GROUP BY 1, 2) WHERE w <> 0)"""
+
+
+def mismatch() -> str:
+    return f"""WITH t AS (SELECT trim(naics_code) AS code, max(trim(title)) AS title FROM naics_titles WHERE naics_code IS NOT NULL AND title IS NOT NULL GROUP BY 1), u AS (SELECT DISTINCT title FROM t),
+    b AS (SELECT loan_number, borrower_name, coalesce(a.title, s.title) AS title FROM {distinct('borrower_name', 'naics_code')} l LEFT JOIN t a ON l.naics_code = a.code LEFT JOIN t s ON substr(l.naics_code, 1, 2) = s.code WHERE trim(coalesce(borrower_name, '')) <> '' AND coalesce(naics_code, '') <> '' AND coalesce(a.title, s.title) IS NOT NULL),
+    n AS (SELECT DISTINCT borrower_name AS name FROM b), v AS MATERIALIZED {embedded('n')}, x AS MATERIALIZED {embedded('(SELECT title AS name FROM u)')},
+    d AS (SELECT v.name, x.name AS title, sum(v.w * x.w) AS sim FROM v JOIN x USING (slot) GROUP BY 1, 2),
+    f AS MATERIALIZED (SELECT n.name, u.title, round_even(coalesce(sim, 0.0), 12) + 0.0 AS sim FROM n CROSS JOIN u LEFT JOIN d ON d.name = n.name AND d.title = u.title),
+    best AS (SELECT name, max(sim) AS hi, min(sim) AS lo, min(title) FILTER (WHERE sim = m) AS best_title FROM (SELECT *, max(sim) OVER (PARTITION BY name) AS m FROM f) GROUP BY 1),
+    g AS (SELECT b.*, f.sim AS own, hi, best_title, round_even(CASE WHEN hi - lo > 1e-9 THEN (hi - f.sim) / (hi - lo) ELSE 0.0 END, 4) AS gap FROM b JOIN f ON f.name = b.borrower_name AND f.title = b.title JOIN best ON best.name = b.borrower_name)
+    SELECT loan_number, gap AS score, title AS declared_title, round_even(own, 4) + 0.0 AS declared_similarity, best_title AS best_match_title, round_even(hi, 4) + 0.0 AS best_similarity, gap AS mismatch_gap, (SELECT CAST(count(*) AS INTEGER) FROM u) AS n_titles FROM g WHERE gap >= 0.6"""
+
+
+def similar(k: int = 20) -> str:
+    """The fused neighbours of every labelled loan, as a sub-query."""
+    return f"""(WITH pool AS MATERIALIZED ({pool()}), l AS {distinct('borrower_name', 'borrower_city', 'borrower_state', 'borrower_zip', 'naics_code', 'current_approval_amount', 'jobs_reported')},
+    p AS MATERIALIZED (SELECT pool.target, pool.loan_number, a.borrower_name, t.borrower_name AS t_name, abs(a.current_approval_amount - t.current_approval_amount) / t.current_approval_amount AS gap, coalesce(a.naics_code = t.naics_code, false) AS same_naics, coalesce(a.borrower_state = t.borrower_state, false) AS same_state, coalesce(nullif(substr(trim(coalesce(a.borrower_zip, '')), 1, 5), '') = nullif(substr(trim(coalesce(t.borrower_zip, '')), 1, 5), ''), false) AS same_zip5 FROM pool JOIN l a ON a.loan_number = pool.loan_number JOIN l t ON t.loan_number = pool.target),
+    v AS MATERIALIZED {embedded('(SELECT borrower_name AS name FROM p UNION SELECT t_name FROM p)')}, x AS MATERIALIZED {embedded('(SELECT borrower_name AS name FROM p UNION SELECT t_name FROM p)', True)}, pairs AS (SELECT DISTINCT borrower_name, t_name FROM p),
+    d AS (SELECT borrower_name, t_name, sum(a.w * b.w) AS sim FROM pairs JOIN v a ON a.name = borrower_name JOIN v b ON b.name = t_name AND a.slot = b.slot GROUP BY 1, 2),
+    e AS (SELECT borrower_name, t_name, sum(a.w * b.w) AS sim FROM pairs JOIN x a ON a.name = borrower_name JOIN x b ON b.name = t_name AND a.slot = b.slot GROUP BY 1, 2),
+    s AS (SELECT p.*, round_even(coalesce(d.sim, 0.0), 6) + 0.0 AS lexical, round_even(coalesce(e.sim, 0.0), 6) + 0.0 AS semantic FROM p LEFT JOIN d ON d.borrower_name = p.borrower_name AND d.t_name = p.t_name LEFT JOIN e ON e.borrower_name = p.borrower_name AND e.t_name = p.t_name),
+    r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY lexical DESC, loan_number) AS rl, row_number() OVER (PARTITION BY target ORDER BY semantic DESC, loan_number) AS rm, row_number() OVER (PARTITION BY target ORDER BY same_naics DESC, gap, same_zip5 DESC, loan_number) AS rs FROM s),
+    f AS (SELECT *, CAST(1.0 AS DOUBLE) / (60 + rm) + CAST(0.6 AS DOUBLE) / (60 + rl) + CAST(0.8 AS DOUBLE) / (60 + rs) AS fused FROM r),
+    top AS (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY fused DESC, loan_number) AS INTEGER) AS rank FROM f QUALIFY rank <= {k})
+    SELECT target, rank, loan_number, borrower_name, round_even(semantic, 4) + 0.0 AS semantic_sim, round_even(lexical, 4) + 0.0 AS lexical_sim, round_even(gap, 4) AS amount_delta_pct, same_naics, same_state, same_zip5, loan_number IN (SELECT loan_number FROM {POSITIVES}) AS is_fraud, round_even(fused, 6) AS fused_score FROM top)"""
+
+
+def homophily() -> str:
+    base = f"(SELECT avg(CASE WHEN loan_number IN (SELECT loan_number FROM {POSITIVES}) THEN 1.0 ELSE 0.0 END) FROM {distinct('current_approval_amount')} WHERE {SLICE})"
+    return f"""SELECT n_targets, round_even(near, 6) AS neighbour_rate, round_even(base, 6) AS base_rate, round_even(CASE WHEN base > 0 THEN near / base END, 4) AS lift FROM (SELECT count(DISTINCT target) AS n_targets, CAST(avg(CASE WHEN is_fraud THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS near, CAST({base} AS DOUBLE) AS base FROM {similar(10)})"""
+
+
+def whole_loans() -> str:
+    return "SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY loan_number ORDER BY coalesce(CAST(loan_status_date AS VARCHAR), ''), coalesce(loan_status, '')) AS _n FROM loans WHERE loan_number IS NOT NULL) WHERE _n = 1"
+
+
+def rich() -> str:
+    """The structured part of the rich features joined with the parts that have SQL of their own; no graph."""
+    from .operators.features import DETECTORS, SHARES
+
+    cols = structured() | {n: share(c) for n, c in SHARES.items()}
+    cols["amount_delta_share"] = "coalesce(least(greatest((current_approval_amount - initial_approval_amount) / CASE WHEN current_approval_amount > 0 THEN current_approval_amount END, -2.0), 2.0), 0.0)"
+    det = ", ".join(f"max(CASE WHEN detector_id = '{d}' THEN score END) AS det_{d}" for d in DETECTORS)
+    parts = sql_of_parts()
+    from .operators.features import EVIDENCE
+
+    numbers = [c for keys_ in EVIDENCE.values() for c in keys_.values()]
+    return f"""SELECT l.loan_number, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {n}' for n, c in cols.items())}, {', '.join(f'round(coalesce(det_{d}, 0.0), 6) AS det_{d}' for d in DETECTORS)}, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in numbers)}, round(coalesce(pay_ratio_pctile, 0.0), 6) AS pay_ratio_pctile, coalesce(pay_ratio_cohort_size, 0.0) AS pay_ratio_cohort_size, c.* EXCLUDE (loan_number)
+    FROM {distinct('current_approval_amount', 'initial_approval_amount', 'jobs_reported', 'term', 'sba_guaranty_pct', 'naics_code', *SHARES.values())} l LEFT JOIN (SELECT loan_number, {det} FROM {SIGNALS} GROUP BY 1) s USING (loan_number) LEFT JOIN ({evidence()}) e USING (loan_number) LEFT JOIN ({parts['features_pay_ratio']}) p USING (loan_number) JOIN ({categories()}) c USING (loan_number) WHERE {SLICE}"""
+
+
+def bootstrap(n_boot: int = 2000) -> str:
+    """Poisson draws of every place of the ranking in every replicate, by the arithmetic of ranking.drawn()."""
+    from .operators.ranking import POISSON
+
+    u = "((((id * 48271 + place * 69621 + 12345) % 2147483647) * 16807 + place * 40692 + id) % 2147483647)"
+    v = f"(({u} * 39373 + id * 16807) % 2147483647)"
+    drawn = " + ".join(f"CASE WHEN v >= {t} THEN 1 ELSE 0 END" for t in POISSON)
+    return f"""WITH r AS (SELECT loan_number, row_number() OVER (ORDER BY composite_score DESC, loan_number) AS place FROM {composite()} QUALIFY place <= 25000), y AS (SELECT place, CASE WHEN loan_number IN (SELECT loan_number FROM {POSITIVES}) THEN 1 ELSE 0 END AS y FROM r),
+    d AS (SELECT id, place, y, {drawn} AS m FROM (SELECT id, place, y, {v} AS v FROM y, range({n_boot}) b(id))),
+    c AS (SELECT id, y, m, sum(m) OVER (PARTITION BY id ORDER BY place) AS upto FROM d), h AS (SELECT id, CAST(k AS INTEGER) AS k, CAST(sum(y * greatest(least(m, k - (upto - m)), 0)) AS DOUBLE) AS hits FROM c, {KS} GROUP BY 1, 2),
+    q AS (SELECT k, quantile_cont(hits, 0.025) AS lo, quantile_cont(hits, 0.975) AS hi FROM h GROUP BY 1), b AS (SELECT (SELECT count(*) FROM {POSITIVES}) / (SELECT CAST(count(*) AS DOUBLE) FROM {distinct('current_approval_amount')}) AS base)
+    SELECT k, round_even(lo, 1) AS hits_low, round_even(hi, 1) AS hits_high, round_even(lo / k / base, 2) AS lift_low, round_even(hi / k / base, 2) AS lift_high FROM q, b"""
+
+
 def sql() -> dict[str, str]:
+    return sql_of_detectors() | sql_of_parts() | {
+        "signals_by_detector": f"SELECT detector_id, count(*) AS n, round_even(max(score), 4) AS top FROM {default_signals()} GROUP BY 1", "score_top25": score_top().replace("SELECT *,", "SELECT * EXCLUDE (raw),", 1), "benchmark_slice": benchmark(), "detect_naics_name_mismatch": mismatch(),
+        "similar_top": f"SELECT * FROM {similar()}", "similar_homophily": homophily(), "warehouse_loans": whole_loans(), "features_rich_plain": rich(), "rank_bootstrap": bootstrap(),
+    }
+
+
+def sql_of_detectors() -> dict[str, str]:
+    return {k: v for k, v in sql_of_parts().items() if k.startswith("detect_")}
+
+
+def sql_of_parts() -> dict[str, str]:
     ln = lambda *c: distinct(*c)
     amt = ln("current_approval_amount")
     return {
@@ -171,10 +278,10 @@ def sql() -> dict[str, str]:
         "detect_payroll_cap_exceedance": f"SELECT loan_number, round_even(d / cap, 4) AS score, naics_code, state, borrower_name, amount, jobs_reported, round_even(d, 2) AS amount_per_job, cap AS per_employee_cap, round_even(d / cap, 2) AS x_cap FROM (SELECT loan_number, naics_code, borrower_state AS state, borrower_name, current_approval_amount AS amount, jobs_reported, current_approval_amount / jobs_reported AS d, CAST({CAP} AS DOUBLE) AS cap FROM {ln('borrower_name', 'naics_code', 'borrower_state', 'current_approval_amount', 'jobs_reported')} WHERE {USABLE}) WHERE d / cap >= 1.5",
         "detect_multiple_funded_loans": f"""WITH b AS (SELECT loan_number, entity_key, coalesce(processing_method, '') AS draw, current_approval_amount AS a FROM {keys()} WHERE entity_key IS NOT NULL),
           d AS (SELECT entity_key, draw, count(*) AS c, sum(a) AS s FROM b GROUP BY 1, 2), e AS (SELECT entity_key, CAST(sum(c) AS BIGINT) AS n_loans, CAST(sum(greatest(c - 1, 0)) AS BIGINT) AS w, sum(s) AS t, '{{' || string_agg('"' || draw || '":' || c, ',' ORDER BY draw) || '}}' AS per_draw_counts FROM d GROUP BY 1)
-          SELECT loan_number, CAST(greatest(w, n_loans - 2) AS DOUBLE) AS score, entity_key, n_loans, greatest(w, n_loans - 2) AS excess_loans, per_draw_counts, round_even(t, 2) AS total_amount FROM b JOIN e USING (entity_key) WHERE greatest(w, n_loans - 2) > 0""",
+          SELECT loan_number, CAST(greatest(w, n_loans - 2) AS DOUBLE) AS score, entity_key, n_loans, greatest(w, n_loans - 2) AS excess_loans, per_draw_counts, round_even(t, 2) AS total_amount, loan_numbers FROM b JOIN e USING (entity_key) JOIN (SELECT entity_key, array_to_string(list_sort(list(DISTINCT loan_number))[1:25], ';') AS loan_numbers FROM b GROUP BY 1) USING (entity_key) WHERE greatest(w, n_loans - 2) > 0""",
         "detect_duplicate_address_ring": f"""WITH b AS (SELECT loan_number, borrower_name, building_key AS normalized_address, current_approval_amount AS a FROM {keys()} WHERE building_key IS NOT NULL),
-          e AS (SELECT normalized_address, count(DISTINCT CASE WHEN trim(borrower_name) <> '' THEN borrower_name END) AS ring_size, count(*) AS n_loans, round_even(coalesce(sum(a), 0.0), 2) AS total_ring_amount FROM b GROUP BY 1)
-          SELECT loan_number, round_even(ln(1 + ring_size) + ln(1 + total_ring_amount), 4) AS score, normalized_address, ring_size, n_loans, total_ring_amount FROM b JOIN e USING (normalized_address) WHERE ring_size >= 3""",
+          e AS (SELECT normalized_address, count(DISTINCT CASE WHEN trim(borrower_name) <> '' THEN borrower_name END) AS ring_size, count(*) AS n_loans, round_even(coalesce(sum(a), 0.0), 2) AS total_ring_amount, array_to_string(list_sort(list(DISTINCT borrower_name) FILTER (WHERE trim(borrower_name) <> ''))[1:10], ';') AS borrower_names_sample FROM b GROUP BY 1)
+          SELECT loan_number, round_even(ln(1 + ring_size) + ln(1 + total_ring_amount), 4) AS score, normalized_address, ring_size, n_loans, total_ring_amount, borrower_names_sample FROM b JOIN e USING (normalized_address) WHERE ring_size >= 3""",
         "detect_amount_anomaly": f"""WITH b AS (SELECT *, CAST(round_even(current_approval_amount * 100, 0) AS BIGINT) AS cents, CAST({CAP} AS DOUBLE) AS cap, CASE WHEN jobs_reported >= 1 THEN current_approval_amount / jobs_reported END AS d FROM {ln('borrower_name', 'naics_code', 'borrower_state', 'current_approval_amount', 'jobs_reported')} WHERE current_approval_amount > 0),
           c AS (SELECT *, CASE WHEN cents % 1000000 = 0 THEN 10000 WHEN cents % 500000 = 0 THEN 5000 WHEN cents % 100000 = 0 THEN 1000 END AS v, CASE WHEN cents % 1000000 = 0 THEN 1.0 WHEN cents % 500000 = 0 THEN 0.66 WHEN cents % 100000 = 0 THEN 0.33 ELSE 0.0 END AS r, CASE WHEN d >= cap * (1 - CAST(0.05 AS DOUBLE)) AND d <= cap THEN (d - cap * (1 - CAST(0.05 AS DOUBLE))) / (cap - cap * (1 - CAST(0.05 AS DOUBLE))) ELSE 0.0 END AS n FROM b)
           SELECT loan_number, round_even(CAST(r AS DOUBLE) + n, 4) AS score, naics_code, borrower_state AS state, borrower_name, current_approval_amount AS amount, jobs_reported, v AS round_divisor, CAST(r AS DOUBLE) AS round_score, round_even(d, 2) AS per_employee_amount, cap AS per_employee_cap, round_even(n, 4) AS cap_maximization_score, concat_ws(',', CASE WHEN n > 0 THEN 'cap_maximization' END, CASE WHEN r > 0 THEN 'round_amount' END) AS signals_fired FROM c WHERE r + n > 0""",

@@ -37,7 +37,8 @@ def _detector(name: str) -> None:
 
     def run(s: SparkSession, d: str) -> DataFrame:
         wh = _wh(s, d)
-        return f(wh.read("loans"), *[wh.read(t) for t in tables])
+        got = f(wh.read("loans"), *[wh.read(t) for t in tables])
+        return got.withColumns({c: F.array_join(c, ";") for c, kind in got.dtypes if kind == "array<string>"})
 
     QUERIES[f"detect_{name}"] = run
 
@@ -236,7 +237,15 @@ def features_categories(s, d):
 @query
 def features_rich(s, d):
     wh = _wh(s, d)
-    return features.rich_features(wh.read("loans"), wh.read("signals"))
+    return features.rich_features(wh.read("loans"), wh.read("signals"), graph.graph_features(wh.read("loans")))
+
+
+@query
+def features_rich_plain(s, d):
+    """The same without the graph, which SQL can't express."""
+    wh = _wh(s, d)
+    f = features.rich_features(wh.read("loans"), wh.read("signals"))
+    return f.select("loan_number", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes if c != "loan_number" and not c.startswith("g_")])
 
 
 @query
