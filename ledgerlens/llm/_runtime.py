@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables up to this many bytes may be sent to every executor.
-SMALL_BYTES = 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = sc.getCheckpointDir()
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-            sc.setCheckpointDir(folder)
-    return folder
+from ..functions.store import shared_dir, stored
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again.
-
-    Cuts the lineage, survives the loss of executors, is compressed and lets later plans see real sizes.
-    """
-    path = os.path.join(shared_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["few", "shared_dir", "stored", "table", "total_bytes"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
