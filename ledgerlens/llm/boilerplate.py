@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import stored
+from ._runtime import few, stored
 
 WINDOW, AVERAGE = 5, 16
 
@@ -94,13 +94,14 @@ def _often(keyed: DataFrame, what: str, least: DataFrame) -> DataFrame:
     return per.join(least, "src").where("docs >= least").select("src", what, "docs")
 
 
-def repeated_lines(df: DataFrame, id: str = "id", source: str = "source", text: str = "body", min_docs: int = 3, min_share: float = 0.05) -> DataFrame:
+def repeated_lines(df: DataFrame, id: str = "id", source: str = "source", text: str = "body", min_docs: int = 3, min_share: float = 0.05, letters: bool = True) -> DataFrame:
     """(id, line_no, line_letters, docs): lines of a text that come back in the documents of its source.
 
     Only letters count, without case. Texts are cut into chunks by a rolling hash (with line ends as further cuts,
-    see chunks_of); the distinct documents of each chunk are counted per source. A line all of whose chunks are
-    frequent is a candidate: every line that is itself frequent is one, as each of its chunks is in at least as many
-    documents. The candidates' whole lines are then counted exactly, by string equality.
+    see chunks_of); chunks are counted per source. A line all of whose chunks are frequent is a candidate: every line
+    that is itself frequent is one, as each of its chunks is in at least as many documents. The distinct documents of
+    the candidates' whole lines are then counted, by 128 bits of hashes of their letters. Without `letters` the column
+    line_letters is left out, and no text is sent anywhere.
 
     docs is the number of distinct ids of the source that have the line: at least min_docs and min_share of all
     distinct ids of the source. Rows with a null id or text are skipped (a null text still counts as a document of
@@ -128,19 +129,29 @@ def repeated_lines(df: DataFrame, id: str = "id", source: str = "source", text:
                 said = ["".join(filter(str.isalpha, texts[doc[i]][start[i] : stop[j - 1]])).lower() for i, j in zip(new, end)]
                 yield pd.DataFrame({"id": ids[doc[new]], "src": srcs[doc[new]], "line_no": line[new], "letters": said, "chunks": [np.unique(value[i:j]) for i, j in zip(new, end)]})
 
-    lines = stored(base.distinct().mapInPandas(cut, f"id {kind}, src string, line_no long, letters string, chunks array<long>"), "lines")
+    # lines travel by the hashes of their letters, 128 bits in all; the letters themselves stay in the table
+    hashed = base.distinct().mapInPandas(cut, f"id {kind}, src string, line_no long, letters string, chunks array<long>")
+    lines = stored(hashed.withColumns({"h1": F.xxhash64("letters"), "h2": F.xxhash64(F.reverse("letters"), F.length("letters"))}), "lines")
     least = stored(_thresholds(base.select("src", "id").distinct(), min_docs, min_share), "sources")
-    frequent = _often(lines.select("src", "id", F.explode("chunks").alias("chunk")), "chunk", least).select("src", "chunk")
-    key = ["id", "src", "line_no", "letters"]
-    whole = lines.select(*key, F.size("chunks").alias("k"), F.explode("chunks").alias("chunk")).join(frequent, ["src", "chunk"])
-    candidates = stored(whole.groupBy(*key, "k").agg(F.count(F.lit(1)).alias("hits")).where("hits >= k").select(*key), "candidates")
-    exact = _often(candidates, "letters", least)
-    return candidates.join(exact, ["src", "letters"]).select("id", "line_no", F.col("letters").alias("line_letters"), "docs").distinct()
+    # lines are counted here, not documents: no less, so no chunk that is frequent is missed, and combined before the shuffle
+    frequent = lines.select("src", F.explode("chunks").alias("chunk")).groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n")).join(least, "src").where("n >= least")
+    frequent = few(frequent.select(F.xxhash64("src", "chunk").alias("key")).distinct())
+    place = lines.select("id", "src", "line_no", "h1", "h2", F.size("chunks").alias("k"), F.explode("chunks").alias("chunk"))
+    whole = place.withColumn("key", F.xxhash64("src", "chunk")).join(frequent, "key", "left_semi")
+    # a line's chunks stand in one part, so nearly all is combined before the shuffle
+    candidates = stored(whole.groupBy("id", "src", "line_no", "h1", "h2", "k").agg(F.count(F.lit(1)).alias("hits")).where("hits >= k").drop("k", "hits"), "candidates")
+    per = candidates.select("src", "h1", "h2", "id").distinct().groupBy("src", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
+    exact = per.join(least, "src").where("docs >= least").select("src", "h1", "h2", "docs")
+    found = candidates.join(exact, ["src", "h1", "h2"])
+    if not letters:
+        return found.select("id", "line_no", "docs").distinct()
+    said = lines.select("src", "h1", "h2", "letters").join(exact.select("src", "h1", "h2"), ["src", "h1", "h2"], "left_semi").groupBy("src", "h1", "h2").agg(F.min("letters").alias("line_letters"))
+    return found.join(said, ["src", "h1", "h2"]).select("id", "line_no", "line_letters", "docs").distinct()
 
 
 def without_repeated_lines(df: DataFrame, id: str = "id", source: str = "source", text: str = "body", min_docs: int = 3, min_share: float = 0.05) -> DataFrame:
     """The distinct (id, source, text) of df with the found lines taken out, and lines_cut, their number."""
-    found = repeated_lines(df, id, source, text, min_docs, min_share).groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_cut"))
+    found = repeated_lines(df, id, source, text, min_docs, min_share, letters=False).groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_cut"))
     rows = df.select(id, source, text).distinct()
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), (i + 1).cast("long").alias("i"))), lambda x: ~F.array_contains("_cut", x["i"]))

@@ -19,13 +19,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.repeated_lines(table(spark, d, "press_releases")).select(F.col("id").alias("release_id"), "line_no").distinct()
+    return boilerplate.repeated_lines(table(spark, d, "press_releases"), letters=False).select(F.col("id").alias("release_id"), "line_no").distinct()
 
 
 def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "press_releases"))
 
 
+def p2_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated passages cut by content alone, wherever lines end."""
+    return boilerplate.without_repeated_chunks(table(spark, d, "press_releases"))
+
+
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.net_flow_ranking(table(spark, d, "signals"))
 
@@ -86,6 +91,8 @@ def oracle_sql() -> dict[str, str]:
     runs = lambda t, i: f"SELECT {i}, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - 11)) AS p FROM (SELECT {i}, {WORDS.format(c='text')} AS w FROM {t}) WHERE len(w) >= 13)"
     return {
         "p2_found": f"WITH {LINES} SELECT id AS release_id, line_no FROM hit",
+        "p2_cleaned": f"""WITH {LINES}, r AS (SELECT DISTINCT id, source, body FROM press_releases), c AS (SELECT id, list(DISTINCT line_no) AS cut FROM hit GROUP BY 1)
+          SELECT r.id, r.source, CASE WHEN cut IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda x, i: NOT list_contains(cut, i)), chr(10)) END AS body, CAST(coalesce(len(cut), 0) AS INTEGER) AS lines_cut FROM r LEFT JOIN c ON c.id = r.id""",
         "p3_ranking": """WITH o AS (SELECT loan_number, detector_id, max(score) AS score FROM signals WHERE loan_number IS NOT NULL AND detector_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),
           c AS (SELECT detector_id, score, count(*) AS n FROM o GROUP BY 1, 2), t AS (SELECT *, (sum(n) OVER (PARTITION BY detector_id ORDER BY score) - n / 2) / sum(n) OVER (PARTITION BY detector_id) AS x, sum(n) OVER (PARTITION BY detector_id) AS total FROM c),
           f AS (SELECT a.detector_id, a.score, sum(b.n * least(greatest((a.x - b.x - 0.05) / 0.45, 0), 1)) / greatest(any_value(a.total) - 1, 1) AS up, sum(b.n * least(greatest((b.x - a.x - 0.05) / 0.45, 0), 1)) / greatest(any_value(a.total) - 1, 1) AS down FROM t a JOIN t b USING (detector_id) GROUP BY 1, 2),
