@@ -71,11 +71,15 @@ def net_flow_ranking(
     # the formula give alike.
     points = pct.select("detector_id", "score", F.lit(0).alias("_kind"), F.lit("").alias("ask"), F.col("pct").alias("at"), "n", (F.col("n") * F.col("pct")).alias("s"))
     asked = pct.select("detector_id", "score", F.explode(F.array(*[F.struct(F.lit(k).alias("ask"), (F.col("pct") + d).alias("at")) for k, d in (("lp", -p), ("lq", -q), ("hq", q), ("hp", p))])).alias("x"))
-    queries = asked.select("detector_id", "score", F.lit(1).alias("_kind"), F.col("x.ask").alias("ask"), F.least(F.greatest(F.col("x.at"), F.lit(0.0)), F.lit(1.0)).alias("at"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+    queries = asked.select("detector_id", "score", F.lit(1).alias("_kind"), F.col("x.ask").alias("ask"), F.col("x.at").alias("at"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+    # with a wide preference gap half of the positions lie outside of (0, 1): below it there is nothing, above it all
+    queries = queries.where("at > 0 and at < 1")
     sums = _prefix(points.unionByName(queries), ["detector_id"], "at", {"cum_n": F.col("n"), "cum_s": F.col("s")}, buckets).where("_kind = 1")
     wide = sums.groupBy("detector_id", "score").agg(*[F.max(F.when(F.col("ask") == k, F.col(c))).alias(f"{k}_{c}") for k in ("lp", "lq", "hq", "hp") for c in ("cum_n", "cum_s")])
-    all_s = pct.groupBy("detector_id").agg(F.sum("n").alias("n_all"))
-    wide = wide.join(pct.select("detector_id", "score", "pct"), ["detector_id", "score"]).join(all_s, "detector_id")
+    all_s = pct.groupBy("detector_id").agg(F.sum("n").alias("n_all"), F.sum(F.col("n") * F.col("pct")).alias("s_all"))
+    wide = pct.select("detector_id", "score", "pct").join(wide, ["detector_id", "score"], "left").join(all_s, "detector_id")
+    shift = {"lp": -p, "lq": -q, "hq": q, "hp": p}
+    wide = wide.withColumns({f"{k}_cum_{c}": F.when(F.col("pct") + d <= 0, 0.0).when(F.col("pct") + d >= 1, F.col(f"{c}_all")).otherwise(F.col(f"{k}_cum_{c}")) for k, d in shift.items() for c in "ns"})
     x = F.col("pct")
     plus = F.col("lp_cum_n") + ((x - q) * (F.col("lq_cum_n") - F.col("lp_cum_n")) - (F.col("lq_cum_s") - F.col("lp_cum_s"))) / (p - q)
     minus = (F.col("n_all") - F.col("hp_cum_n")) + ((F.col("hp_cum_s") - F.col("hq_cum_s")) - (x + q) * (F.col("hp_cum_n") - F.col("hq_cum_n"))) / (p - q)
