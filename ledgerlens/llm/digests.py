@@ -47,11 +47,15 @@ def quantile(means: np.ndarray, weights: np.ndarray, lo: float, hi: float, qs: n
     return np.interp(qs * n, np.r_[0, mid, n], np.r_[lo, means, hi])
 
 
-def digests(df: DataFrame, keys: list[str], value: str, delta: float = 200.0, fan: int = 32) -> DataFrame:
+#: Digests of one group that are merged at a time, about.
+FAN = 32
+
+
+def digests(df: DataFrame, keys: list[str], value: str, delta: float = 200.0, fan: int = FAN) -> DataFrame:
     """One digest (means, weights, lo, hi, n) for each group; such tables of separate rows or days can be merged.
 
     Every batch of rows is reduced to digests before anything is shuffled, so a group with most of the rows costs
-    at most delta centroids a batch; digests are merged first within fan salted parts of a group, then overall.
+    at most delta centroids a batch; digests are merged by a tree, about fan of a group at a time.
     Null and NaN values are left out; a group without any value has no digest. Null keys are groups of their own.
     """
     ids = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
@@ -87,14 +91,21 @@ def digests(df: DataFrame, keys: list[str], value: str, delta: float = 200.0, fa
 
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     parts = rows.mapInPandas(reduce_rows, f"{ids}, {DIGEST}")
-    return merge(merge(parts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(fan))), [*keys, "_salt"], d).drop("_salt"), keys, d)
+    parts = stored(parts, "digests")
+    most = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    while most > fan:
+        # as many salted parts of a group as leave about fan digests in each
+        salts = -(-most // fan)
+        parts = stored(merge(parts.withColumn("_salt", F.pmod(F.xxhash64("lo", "hi", "n", "means"), F.lit(salts))), [*keys, "_salt"], d).drop("_salt"), "digests")
+        most = salts
+    return merge(parts, keys, d)
 
 
 def merge(parts: DataFrame, keys: list[str], delta: float = 200.0) -> DataFrame:
     """Digests of the same group merged by re-clustering their centroids.
 
-    Centroid lists of a group are gathered (fixed in size and, after digests(), in number); groups are then
-    clustered many at a time, in Arrow batches.
+    All centroid lists of a group are gathered, each fixed in size; digests() sees to it that they are few. Groups are
+    then clustered many at a time, in Arrow batches.
     """
     d = delta
 
