@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import math
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -15,7 +17,7 @@ from ..functions.ordered import with_ranks
 from ..functions.store import stored
 from ..sources.readers import one_per_loan
 from .features import rich_features, thin_features
-from .ranking import composite, fuse, metrics_at, ranked, temporal_split
+from .ranking import bootstrap_intervals, composite, fuse, metrics_at, ranked, temporal_split
 
 DEPTHS = ({"maxDepth": 4, "maxIter": 40}, {"maxDepth": 5, "maxIter": 60}, {"maxDepth": 3, "maxIter": 80})
 
@@ -41,22 +43,33 @@ def _positive(model, df: DataFrame) -> DataFrame:
 def pu_bagging(features: DataFrame, train: DataFrame, bags: int = 50, depth: int = 8, least: int = 5, seed: int = 42) -> DataFrame:
     """(loan_number, score): mean out-of-bag score of trees that each see all positives and as many unlabelled loans.
 
-    The bag of an unlabelled loan comes from a hash, so bags are reproducible. A loan that was in every bag gets the
-    mean of all its trees.
+    Unlabelled loans are drawn with replacement, a Poisson number of times by a hash, so bags are reproducible; both
+    kinds weigh the same in a bag. A loan that was in every bag gets the mean of all its trees.
     """
     y = train.select("loan_number").distinct().withColumn("label", F.lit(1.0))
     df = stored(features.join(y, "loan_number", "left").fillna(0.0, ["label"]), "bagging")
     n_pos, n = df.agg(F.sum("label"), F.count(F.lit(1))).first()
     if not n_pos or n_pos == n:
         raise ValueError("needs loans of either kind")
-    share = min(1.0, n_pos / (n - n_pos))
+    rate = min(1.0, n_pos / (n - n_pos))
+    borders = [math.exp(-rate) * sum(rate**i / math.factorial(i) for i in range(j + 1)) for j in range(6)]
+
+    def times(b: int) -> Column:
+        u = _uniform(F.col("loan_number"), F.lit(b), F.lit(seed))
+        return F.when(F.col("label") == 1, 1.0).otherwise(sum((F.when(u >= x, 1.0).otherwise(0.0) for x in borders), F.lit(0.0)))
+
+    others = df.where("label = 0").agg(*[F.sum(times(b)) for b in range(bags)]).first()
     scores = None
     for b in range(bags):
-        picked = _uniform(F.col("loan_number"), F.lit(b), F.lit(seed)) < share
-        bag = df.where((F.col("label") == 1) | picked)
-        model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, maxBins=64, seed=seed).fit(bag)
-        one = model.transform(df).select("loan_number", vector_to_array("probability")[1].alias("p"), (picked | (F.col("label") == 1)).alias("used"))
+        if not others[b]:
+            continue
+        drawn = df.withColumn("times", times(b))
+        bag = drawn.where("times > 0").withColumn("w", F.when(F.col("label") == 1, others[b] / n_pos).otherwise(F.col("times")))
+        model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, maxBins=64, seed=seed, weightCol="w").fit(bag)
+        one = model.transform(drawn).select("loan_number", vector_to_array("probability")[1].alias("p"), (F.col("times") > 0).alias("used"))
         scores = one if scores is None else scores.unionByName(one)
+    if scores is None:
+        raise ValueError("no bag holds loans of either kind")
     per = scores.groupBy("loan_number").agg(F.avg(F.when(~F.col("used"), F.col("p"))).alias("out"), F.avg("p").alias("all"))
     return per.select("loan_number", F.coalesce("out", "all").alias("score"))
 
@@ -97,28 +110,67 @@ def tune(features: DataFrame, train: DataFrame, groups: DataFrame, folds: int =
     return best[1]
 
 
-def holdout_comparison(loans: DataFrame, signals: DataFrame, cases: DataFrame, year: int = 2023, model: str = "pu-bagging", ks: tuple[int, ...] = (100, 1000, 5000), min_amount: float = 150_000.0, graph: DataFrame | None = None) -> DataFrame:
-    """(ranking, k, hits, precision, lift, recall): a model trained on earlier charges against the composite, on later ones.
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted pipeline written to a folder, in place of what is there."""
+    model.write().overwrite().save(path)
 
-    Training positives are taken out of both rankings and of the population.
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def nested_validation(loans: DataFrame, signals: DataFrame, cases: DataFrame, year: int = 2023, ks: tuple[int, ...] = (100, 1000, 2000, 5000), min_amount: float = 150_000.0, graph: DataFrame | None = None, n_boot: int = 2000) -> tuple[DataFrame, dict]:
+    """(rows, summary): the boosted scorer, tuned on earlier charges only, against the composite on later ones.
+
+    Options are chosen by folds inside the training part that keep entities together; the test part is looked at once.
+    rows are those of holdout_comparison with the bootstrap interval of the hits (hits_low, hits_high) and the verdict:
+    improved, regressed or neutral by the sum of hits of the learned ranking over all k. summary: counts and options.
     """
     split = stored(temporal_split(cases, year), "split")
-    train, test = split.where("part = 'train'"), split.where("part = 'test'")
-    f = thin_features(loans, signals, min_amount) if model == "pu-bagging" else rich_features(loans, signals, graph, min_amount)
-    feats = stored(assemble(f), "features")
-    known = train.join(feats, "loan_number", "left_semi")
-    score = pu_bagging(feats, known) if model == "pu-bagging" else boosted(feats, known)
-    rest = feats.select("loan_number").join(train, "loan_number", "left_anti")
-    population = rest.count()
-    test = test.join(rest, "loan_number", "left_semi")
+    train = split.where("part = 'train'")
+    feats = stored(assemble(rich_features(loans, signals, graph, min_amount)), "features")
+    known = stored(train.join(feats, "loan_number", "left_semi"), "known")
+    options = tune(feats, known, entity_groups(loans))
+    rankings, test, population = _holdout(loans, signals, split, feats, boosted(feats, known, **options), "boosted")
+    at = tuple(k for k in ks if k <= population) or (population,)
+    out = None
+    for name, r in rankings.items():
+        m = metrics_at(r, test, population, at).join(bootstrap_intervals(r, test, population, at, n_boot).select("k", "hits_low", "hits_high"), "k").withColumn("ranking", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    out = stored(out, "nested")
+    hits = {r["ranking"]: r["h"] for r in out.groupBy("ranking").agg(F.sum("hits").alias("h")).collect()}  # three rows
+    change = hits["boosted"] - hits["composite"]
+    verdict = "improved" if change > 0 else "regressed" if change < 0 else "neutral"
+    counts = {"n_train": known.count(), "n_test": test.count(), "population": population, "options": options, "verdict": verdict}
+    return out.withColumn("verdict", F.lit(verdict)).select("ranking", "k", "hits", "hits_low", "hits_high", "precision", "lift", "recall", "verdict"), counts
+
+
+def _holdout(loans: DataFrame, signals: DataFrame, split: DataFrame, feats: DataFrame, score: DataFrame, model: str) -> tuple[dict[str, DataFrame], DataFrame, int]:
+    """(rankings, test positives, population) without the training positives: the model, the composite, both fused."""
+    rest = stored(feats.select("loan_number").join(split.where("part = 'train'"), "loan_number", "left_anti"), "rest")
+    test = stored(split.where("part = 'test'").join(rest, "loan_number", "left_semi"), "test")
     learned = with_ranks(score.join(rest, "loan_number", "left_semi"), [F.col("score").desc(), F.col("loan_number")])
     comp = ranked(composite(signals, loans).join(rest, "loan_number", "left_semi"))
     # loans without a signal follow in the order of their numbers
     full = with_ranks(rest.join(comp.select("loan_number", "rank"), "loan_number", "left").withColumn("_r", F.coalesce("rank", F.lit(1 << 30))).drop("rank"), [F.col("_r"), F.col("loan_number")])
     learned, full = stored(learned.select("loan_number", "rank"), "ranking"), stored(full.select("loan_number", "rank"), "ranking")
     fused = stored(fuse([learned, full]).select("loan_number", "rank"), "ranking")
+    return {model: learned, "composite": full, "fused": fused}, test, rest.count()
+
+
+def holdout_comparison(loans: DataFrame, signals: DataFrame, cases: DataFrame, year: int = 2023, model: str = "pu-bagging", ks: tuple[int, ...] = (100, 1000, 5000), min_amount: float = 150_000.0, graph: DataFrame | None = None) -> DataFrame:
+    """(ranking, k, hits, precision, lift, recall): a model trained on earlier charges against the composite, on later ones.
+
+    Training positives are taken out of both rankings and of the population.
+    """
+    split = stored(temporal_split(cases, year), "split")
+    f = thin_features(loans, signals, min_amount) if model == "pu-bagging" else rich_features(loans, signals, graph, min_amount)
+    feats = stored(assemble(f), "features")
+    known = split.where("part = 'train'").join(feats, "loan_number", "left_semi")
+    score = pu_bagging(feats, known) if model == "pu-bagging" else boosted(feats, known)
+    rankings, test, population = _holdout(loans, signals, split, feats, score, model)
     out = None
-    for name, r in ((model, learned), ("composite", full), ("fused", fused)):
+    for name, r in rankings.items():
         m = metrics_at(r, test, population, tuple(k for k in ks if k <= population) or (population,)).withColumn("ranking", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.select("ranking", "k", "hits", "precision", "lift", "recall")

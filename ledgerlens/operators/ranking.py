@@ -65,8 +65,10 @@ def restrict(ranking: DataFrame, universe: DataFrame) -> DataFrame:
     return with_ranks(kept, [F.col("_old"), F.col("loan_number")]).drop("_old")
 
 
-def slice_universe(loans: DataFrame, min_amount: float = 150_000.0) -> DataFrame:
-    return one_per_loan(loans, "current_approval_amount").where(F.col("current_approval_amount") >= min_amount).select("loan_number")
+def slice_universe(loans: DataFrame, min_amount: float | None = 150_000.0) -> DataFrame:
+    """(loan_number) of the loans from an amount on; of all loans if it is None."""
+    l = one_per_loan(loans, "current_approval_amount")
+    return (l if min_amount is None else l.where(F.col("current_approval_amount") >= min_amount)).select("loan_number")
 
 
 def metrics_at(ranking: DataFrame, known: DataFrame, population: int | None = None, ks: tuple[int, ...] = KS, head_only: bool = True) -> DataFrame:

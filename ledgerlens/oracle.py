@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions.stats import upper_tail_sql
+from .functions.text import NAME_STOP_WORDS as STOP
 
 CAP = "(CASE WHEN naics_code LIKE '72%' THEN 29166.67 ELSE 20833.33 END)"
 TOKENS = "list_filter(string_split(regexp_replace(upper(coalesce({c}, '')), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('INC','INCORPORATED','LLC','LLP','LP','LTD','CO','COMPANY','CORP','CORPORATION','PLLC','PLC','PC','PA','DBA','THE','AND','OF'))"
@@ -176,9 +177,9 @@ def score_top(k: int = 25) -> str:
     return f"""SELECT *, CAST(row_number() OVER (ORDER BY raw DESC, loan_number) AS INTEGER) AS rank FROM (SELECT loan_number, borrower_name, naics_code, state, amount, jobs_reported, composite_score AS raw, round_even(composite_score, 6) AS composite_score, n_signals, detectors FROM {composite(f"(SELECT DISTINCT * FROM {default_signals()})")}) QUALIFY rank <= {k}"""
 
 
-def benchmark() -> str:
-    """Every ranking of the slice, held against its known positives."""
-    universe = f"(SELECT loan_number FROM {distinct('current_approval_amount')} WHERE {SLICE})"
+def benchmark(where: str = SLICE) -> str:
+    """Every ranking of a part of the loans, held against its known positives."""
+    universe = f"(SELECT loan_number FROM {distinct('current_approval_amount')} WHERE {where})"
     known = f"(SELECT loan_number FROM {POSITIVES} WHERE loan_number IN (SELECT loan_number FROM u))"
     score = f"SELECT 'composite' AS ranking, loan_number, composite_score AS s FROM {composite()} UNION ALL SELECT detector_id, loan_number, max(score) FROM {SIGNALS} GROUP BY 1, 2 UNION ALL SELECT 'amount_per_job', loan_number, current_approval_amount / jobs_reported FROM {distinct('current_approval_amount', 'jobs_reported')} WHERE {USABLE} UNION ALL SELECT 'raw_amount', loan_number, current_approval_amount FROM {distinct('current_approval_amount', 'jobs_reported')} WHERE {USABLE}"
     return f"""WITH u AS {universe}, r AS (SELECT ranking, loan_number, row_number() OVER (PARTITION BY ranking ORDER BY s DESC, loan_number) AS rank FROM ({score}) WHERE loan_number IN (SELECT loan_number FROM u)),
@@ -230,6 +231,49 @@ def whole_loans() -> str:
     return "SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY loan_number ORDER BY coalesce(CAST(loan_status_date AS VARCHAR), ''), coalesce(loan_status, '')) AS _n FROM loans WHERE loan_number IS NOT NULL) WHERE _n = 1"
 
 
+def curve() -> str:
+    n = f"(SELECT count(*) FROM {distinct('current_approval_amount')})"
+    at = f"(SELECT DISTINCT k FROM (SELECT greatest(1, CAST(round_even(pow({n}, CAST(i AS DOUBLE) / 39), 0) AS BIGINT)) AS k FROM range(40) t(i) UNION SELECT k FROM {KS}) WHERE k <= {n})"
+    return metrics(ranking(), POSITIVES, distinct("current_approval_amount")).replace(KS, f"{at} ks")
+
+
+def detector_alone() -> str:
+    """A detector and the composite on the charges after 2022, without the earlier ones."""
+    first = "(SELECT loan_number, min(charge_date) AS d FROM fraud_cases WHERE loan_number IS NOT NULL AND charge_date IS NOT NULL GROUP BY 1)"
+    score = f"SELECT 'tested' AS ranking, loan_number, max(score) AS s FROM {SIGNALS} WHERE detector_id = 'payroll_cap_exceedance' GROUP BY 1, 2 UNION ALL SELECT 'composite', loan_number, composite_score FROM {composite()}"
+    return f"""WITH f AS {first}, u AS (SELECT loan_number FROM {distinct('current_approval_amount')} WHERE loan_number NOT IN (SELECT loan_number FROM f WHERE year(d) <= 2022)), y AS (SELECT loan_number FROM f WHERE year(d) > 2022 AND loan_number IN (SELECT loan_number FROM u)),
+    r AS (SELECT ranking, loan_number, row_number() OVER (PARTITION BY ranking ORDER BY s DESC, loan_number) AS rank FROM ({score}) WHERE loan_number IN (SELECT loan_number FROM u)),
+    h AS (SELECT g.ranking, CAST(k AS INTEGER) AS k, count(y.loan_number) AS h FROM (VALUES ('tested'), ('composite')) g(ranking) CROSS JOIN {KS} LEFT JOIN r ON r.ranking = g.ranking AND r.rank <= ks.k LEFT JOIN y ON y.loan_number = r.loan_number GROUP BY 1, 2), n AS (SELECT (SELECT count(*) FROM y) AS n, (SELECT count(*) FROM u) AS pop)
+    SELECT ranking, k, h AS hits, round_even(h / k, 5) AS precision, round_even(CASE WHEN n > 0 THEN (h / k) / (n / CAST(pop AS DOUBLE)) END, 2) AS lift, round_even(CASE WHEN n > 0 THEN h / n END, 4) AS recall FROM h, n"""
+
+
+def gate() -> str:
+    ks = "(VALUES (25), (50), (100), (250)) ks(k)"
+    new = f"(SELECT r.loan_number, row_number() OVER (ORDER BY CASE WHEN r.rank <= 250 THEN 0 ELSE 1 END, CASE WHEN r.rank <= 250 THEN -n END, r.rank) AS rank FROM {ranking()} r JOIN (SELECT loan_number, count(*) AS n FROM {SIGNALS} GROUP BY 1) s USING (loan_number))"
+    one = lambda r: metrics(r, POSITIVES, distinct("current_approval_amount")).replace(KS, ks)
+    return f"""WITH g AS (SELECT k, a.hits AS hits_before, coalesce(a.lift, 0.0) AS lift_before, b.hits AS hits_after, coalesce(b.lift, 0.0) AS lift_after FROM ({one(ranking())}) a JOIN ({one(new)}) b USING (k)), d AS (SELECT sum(lift_after - lift_before) AS d FROM g)
+    SELECT g.*, CASE WHEN d > 1e-9 THEN 'improved' WHEN d < -1e-9 THEN 'regressed' ELSE 'neutral' END AS verdict FROM g, d"""
+
+
+def profiles() -> str:
+    from .operators.investigate import PROFILE
+
+    return f"SELECT y.loan_number, l.loan_number IS NOT NULL AS found, {', '.join(PROFILE)}, CASE WHEN jobs_reported >= 1 THEN round_even(current_approval_amount / jobs_reported, 2) END AS amount_per_job FROM {POSITIVES} y LEFT JOIN (SELECT {', '.join(('loan_number', *PROFILE))} FROM ({whole_loans()})) l USING (loan_number)"
+
+
+def patterns() -> str:
+    return f"""WITH b AS (SELECT l.*, y.loan_number IS NOT NULL AS y, CASE WHEN {USABLE} THEN current_approval_amount / jobs_reported END AS d FROM {distinct('naics_code', 'borrower_state', 'current_approval_amount', 'jobs_reported')} l LEFT JOIN {POSITIVES} y USING (loan_number)), i AS (SELECT * FROM b WHERE {SLICE}),
+    o AS (SELECT (SELECT count(*) FILTER (WHERE y) / nullif(CAST(count(*) AS DOUBLE), 0) FROM i) AS base, (SELECT median(d) FROM i) AS m, (SELECT median(d) FILTER (WHERE y) FROM i) AS ml, (SELECT s FROM (SELECT substr(naics_code, 1, 2) AS s, count(*) AS c FROM i WHERE y AND length(substr(naics_code, 1, 2)) = 2 GROUP BY 1) ORDER BY c DESC, s LIMIT 1) AS top),
+    c AS (SELECT naics_code, borrower_state, count(*) FILTER (WHERE y) / CAST(count(*) AS DOUBLE) AS rate FROM i GROUP BY 1, 2)
+    SELECT loan_number, round_even(d, 4) AS amount_per_job, round_even(base, 6) AS base_rate, round_even((d - m) / m, 6) AS off_median, round_even((d - ml) / ml, 6) AS off_labelled_median, round_even(rate, 6) AS cell_rate, substr(naics_code, 1, 2) = top AS top_sector FROM b CROSS JOIN o LEFT JOIN c USING (naics_code, borrower_state) WHERE y"""
+
+
+def snippets() -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    return f"""WITH c AS (SELECT DISTINCT case_id, business_name AS n, source_url AS url FROM fraud_cases WHERE business_name IS NOT NULL), r AS (SELECT url, min(body) AS body FROM press_releases WHERE url IS NOT NULL AND body IS NOT NULL GROUP BY 1), j AS (SELECT *, greatest(instr(body, n), 1) AS a, greatest(greatest(instr(body, n), 1) - 180, 1) AS s FROM c JOIN r USING (url))
+    SELECT case_id, substr(body, s, a + length(n) + 180 - s) AS snippet, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(upper(n), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND w NOT IN ({stop})))), ' ') AS tokens FROM j"""
+
+
 def rich() -> str:
     """The structured part of the rich features joined with the parts that have SQL of their own; no graph."""
     from .operators.features import DETECTORS, SHARES
@@ -263,6 +307,10 @@ def sql() -> dict[str, str]:
     return sql_of_detectors() | sql_of_parts() | {
         "signals_by_detector": f"SELECT detector_id, count(*) AS n, round_even(max(score), 4) AS top FROM {default_signals()} GROUP BY 1", "score_top25": score_top().replace("SELECT *,", "SELECT * EXCLUDE (raw),", 1), "benchmark_slice": benchmark(), "detect_naics_name_mismatch": mismatch(),
         "similar_top": f"SELECT * FROM {similar()}", "similar_homophily": homophily(), "warehouse_loans": whole_loans(), "features_rich_plain": rich(), "rank_bootstrap": bootstrap(),
+        "benchmark_population": benchmark("true"), "benchmark_detector": detector_alone(), "lift_curve": curve(), "triage_gate": gate(), "loan_profiles": profiles(), "loan_patterns": patterns(), "label_snippets": snippets(),
+        "flag_rates": f"SELECT detector_id, count(DISTINCT loan_number) AS n, round_even(count(DISTINCT loan_number) / CAST((SELECT count(*) FROM {distinct('current_approval_amount')}) AS DOUBLE), 6) AS share FROM signals WHERE loan_number IS NOT NULL GROUP BY 1",
+        "label_exact_tier": "SELECT DISTINCT case_id, loan_number, match_method, match_confidence FROM fraud_cases WHERE match_method NOT ILIKE '%llm%'",
+        "sample_loans": f"SELECT loan_number, current_approval_amount FROM {distinct('current_approval_amount')} WHERE {SLICE} ORDER BY md5(loan_number || '|0'), loan_number LIMIT 500",
     }
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
+from .functions.ordered import with_ranks
 from .functions.stats import rounded
 from .functions.store import stored
-from .operators import detectors, features, graph, labels, learn, profile, ranking, similar
-from .plans.benchmark import benchmark
+from .operators import detectors, features, graph, investigate, labels, learn, profile, ranking, similar, triage
+from .plans.benchmark import benchmark, validate_ranking
 from .sources.readers import Warehouse, one_per_loan
 from .streaming.landing import rolling_counts
 
@@ -350,3 +351,86 @@ def stream_rolling_counts(s, d):
 @query
 def warehouse_loans(s, d):
     return _wh(s, d).loans()
+
+
+def _placed(s: SparkSession, d: str) -> DataFrame:
+    """(loan_number, rank) of the composite ranking, equal scores to nine places by loan number."""
+    wh = _wh(s, d)
+    scores = ranking.composite(wh.read("signals"), wh.read("loans")).select("loan_number", rounded("composite_score", 9).alias("composite_score"))
+    return stored(ranking.ranked(scores).select("loan_number", "rank"), "ranking")
+
+
+@query
+def benchmark_population(s, d):
+    wh = _wh(s, d)
+    return benchmark(wh.read("signals"), wh.read("loans"), wh.read("fraud_cases"), min_amount=None)
+
+
+@query
+def benchmark_detector(s, d):
+    """A detector alone against the composite, on charges after a year."""
+    wh = _wh(s, d)
+    r = ranking.ranked(ranking.clean_signals(wh.read("signals")).where("detector_id = 'payroll_cap_exceedance'").groupBy("loan_number").agg(F.max("score").alias("score")), "score")
+    return validate_ranking(r, wh.read("signals"), wh.read("loans"), wh.read("fraud_cases"))
+
+
+@query
+def lift_curve(s, d):
+    wh = _wh(s, d)
+    return triage.lift_curve(_placed(s, d), ranking.positives(wh.read("fraud_cases")), wh.loans("current_approval_amount").count())
+
+
+@query
+def flag_rates(s, d):
+    wh = _wh(s, d)
+    return triage.flag_rate(wh.read("signals"), wh.read("loans"))
+
+
+@query
+def triage_gate(s, d):
+    """The head of the ranking by the number of signals instead of by score, held against the ranking."""
+    wh = _wh(s, d)
+    full = _placed(s, d)
+    several = ranking.clean_signals(wh.read("signals")).groupBy("loan_number").agg(F.count(F.lit(1)).alias("n"))
+    head = full.where("rank <= 250").join(several, "loan_number")
+    head = with_ranks(head, [F.col("n").desc(), F.col("rank")], "triage_rank")
+    return triage.gate(full, triage.ranks_after(full, head), ranking.positives(wh.read("fraud_cases")), wh.loans("current_approval_amount").count())
+
+
+@query
+def loan_profiles(s, d):
+    wh = _wh(s, d)
+    return investigate.loan_profile(wh.read("loans"), ranking.positives(wh.read("fraud_cases")))
+
+
+@query
+def loan_patterns(s, d):
+    wh = _wh(s, d)
+    return investigate.pattern_comparison(wh.read("loans"), wh.read("fraud_cases"), ranking.positives(wh.read("fraud_cases")))
+
+
+@query
+def loan_investigations(s, d):
+    wh = _wh(s, d)
+    return investigate.investigate(wh.read("loans"), wh.read("signals"), wh.read("fraud_cases"), ranking.positives(wh.read("fraud_cases")))
+
+
+@query
+def label_exact_tier(s, d):
+    return investigate.exact_tier(_wh(s, d).read("fraud_cases")).select("case_id", "loan_number", "match_method", "match_confidence").distinct()
+
+
+@query
+def label_snippets(s, d):
+    """Surroundings of each firm's name in the release of its case, and what is distinctive of the name."""
+    wh = _wh(s, d)
+    c = wh.read("fraud_cases").select("case_id", "business_name", F.col("source_url").alias("url")).where("business_name is not null").distinct()
+    r = wh.read("press_releases").where("url is not null and body is not null").groupBy("url").agg(F.min("body").alias("body"))
+    return c.join(r, "url").select("case_id", investigate.snippet(F.col("body"), F.col("business_name")).alias("snippet"), F.array_join(investigate.distinctive_tokens(F.col("business_name"), text.NAME_STOP_WORDS), " ").alias("tokens"))
+
+
+@query
+def sample_loans(s, d):
+    """A sampling operator: 500 loans of the slice, drawn after the filter."""
+    l = _wh(s, d).loans("current_approval_amount").where("current_approval_amount >= 150000")
+    return investigate.sampled(l, 500)

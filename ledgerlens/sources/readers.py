@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,10 +79,13 @@ def sha256_of(path: str) -> str:
 
 
 class Warehouse:
-    """A folder of Parquet tables with fixed schemas."""
+    """A folder of Parquet tables with fixed schemas.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    A table that doesn't exist yet reads as an empty one; a warning tells, unless missing_ok says that it may be missing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, missing_ok: bool = False):
+        self.spark, self.folder, self.missing_ok = spark, folder, missing_ok
 
     def path(self, table: str) -> str:
         return os.path.join(self.folder, f"{table}.parquet")
@@ -92,6 +96,8 @@ class Warehouse:
             return self.spark.read.parquet(self.path(table))
         except Exception as e:  # noqa: BLE001
             if table in TABLES and "PATH_NOT_FOUND" in str(e):
+                if not self.missing_ok:
+                    warnings.warn(f"{self.path(table)} doesn't exist and reads as empty", stacklevel=2)
                 return self.spark.createDataFrame([], TABLES[table])
             raise
 

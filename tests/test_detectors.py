@@ -99,3 +99,18 @@ def test_signals_contract(loans):
     assert s.columns == ["loan_number", "detector_id", "score", "evidence_json"]
     assert s.select(F.get_json_object("evidence_json", "$.x_cap")).first()[0] is not None
     assert set(D.REGISTRY) == {"naics_cohort_outlier", "payroll_cap_exceedance", "multiple_funded_loans", "duplicate_address_ring", "amount_anomaly", "establishment_overcount", "lender_concentration", "naics_name_mismatch", "fraud_ring_graph", "business_recency"}
+
+
+def test_titles_in_blocks_of_one(spark, loans):
+    titles = spark.createDataFrame([("23", " Construction "), ("72", "Food"), ("11", "Farms"), ("72", "Eating")], "naics_code string, title string")
+    ls = loans([{"loan_number": str(i), "borrower_name": n, "naics_code": c} for i, (n, c) in enumerate([("Build Constructions", "722511"), ("Food and Foods", "722511"), ("Farmsteads", "236"), ("x", "1"), (None, "72"), ("Food", None)])])
+    a, b = (sorted(map(tuple, D.name_mismatch(ls, titles, 0.0, block=n).collect())) for n in (1, 4096))
+    assert a == b and len(a) == 3
+
+
+def test_evidence_lists_are_bounded(loans):
+    rows = [{"loan_number": f"{i:03d}", "borrower_name": f"Name {i}", "borrower_address": "1 Main St", "borrower_city": "X", "borrower_state": "TX", "borrower_zip": "1", "current_approval_amount": 1.0, "processing_method": "PPP"} for i in range(40)]
+    got = D.address_ring(loans(rows)).first()
+    assert got["borrower_names_sample"] == sorted(f"Name {i}" for i in range(40))[:10] and got["ring_size"] == 40
+    same = [r | {"borrower_name": "One"} for r in rows]
+    assert D.multiple_funded(loans(same)).first()["loan_numbers"] == [f"{i:03d}" for i in range(25)]

@@ -83,3 +83,27 @@ def test_embedder():
     v = embed(["Acme Bakery", "acme bakery ", "Zyx Mining", "", None])
     assert np.allclose(v[0], v[1]) and v[0] @ v[2] < 0.5 and not v[3].any() and not v[4].any()
     assert np.allclose(np.linalg.norm(v[:3], axis=1), 1)
+
+
+def test_hot_values_join_as_the_others_do(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions.ordered import with_cume_dist, with_q_values
+
+    rows = [("a", 0.5)] * 900 + [("a", i / 2000) for i in range(60)] + [("b", 0.5)] * 3 + [("b", 0.25)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("i", F.monotonically_increasing_id())
+    got = {r["i"]: r["cume_dist"] for r in with_cume_dist(df, ["g"], "v").collect()}
+    want = {r["i"]: r["c"] for r in df.withColumn("c", F.cume_dist().over(Window.partitionBy("g").orderBy("v"))).collect()}
+    assert got == want
+    q = with_q_values(df.withColumnRenamed("v", "p_value")).collect()
+    assert len(q) == len(rows) and all(0 < r["q_value"] <= 1 or r["p_value"] == 0 for r in q)
+
+
+def test_vectors_in_blocks_of_one(spark):
+    from ledgerlens.operators.similar import vector_top_k
+
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(30)] + [(99, None)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 10 = 0")
+    a, b = (sorted(map(tuple, vector_top_k(v, q, 4, block=n).collect())) for n in (1, 4096))
+    assert a == b and len(a) == 12 and vector_top_k(v, q.limit(0), 4).isEmpty()
