@@ -246,7 +246,7 @@ def owner_links(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     spelling within one edit of either is the same. links(form_a, form_b) holds each spelling with itself too.
     """
     people = people.withColumn("form", F.xxhash64(*OWNER_PARTS))
-    spelt = people.groupBy("form").agg(*[F.first(c).alias(c) for c in OWNER_PARTS], F.count(F.lit(1)).alias("n"))
+    spelt = people.groupBy("form", *OWNER_PARTS).agg(F.count(F.lit(1)).alias("n"))
     letters = F.when(F.col("kind") == "P", F.transform(alternatives(), lambda x: F.substring(x, 1, 1))).otherwise(F.array("shard"))
     keyed = spelt.select("form", "kind", "shard", "turned", "initial", "n", F.explode(F.array_distinct(letters)).alias("l"), F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
     keyed = stored(keyed.withColumn("s", F.xxhash64(F.lit("owner"), "l")).withColumn("id", F.xxhash64("s", "word")).drop("l"), "owner_words")
@@ -254,7 +254,7 @@ def owner_links(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(keyed.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")).distinct())
     both = near.join(keyed.alias("a"), F.col("a") == F.col("a.id")).join(keyed.alias("b"), F.col("b") == F.col("b.id")).where(same_shard() & _agree("initial"))
     both = both.select(F.col("a.form").alias("form_a"), F.col("b.form").alias("form_b"), F.col("b.turned").alias("turned"), F.col("b.n").alias("n"), "distance")
-    both = stored(both.groupBy("form_a", "form_b").agg(F.min("distance").alias("distance"), F.first("turned").alias("turned"), F.first("n").alias("n")), "owner_pairs")
+    both = stored(both.groupBy("form_a", "form_b", "turned", "n").agg(F.min("distance").alias("distance")), "owner_pairs")
     common = both.where("distance <= 1").groupBy("form_a", "turned").agg(F.sum("n").alias("n")).groupBy("form_a").agg(F.max(F.struct("n", "turned"))["turned"].alias("common"))
     common = stored(common, "owner_spellings")
     weak = both.where("distance > 1 and form_a < form_b").select("form_a", "form_b").join(common, "form_a")
@@ -278,12 +278,12 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keyed = rec.where("place is not null").select("form", *ATTRIBUTES, "core", F.explode(shard_keys("place")).alias("s"))
     keyed = keyed.select("form", *ATTRIBUTES, F.length("core").alias("n"), "s", F.explode(F.array_distinct(F.array("core", "turned"))).alias("word"))
     words = keyed.withColumn("id", F.xxhash64("s", "word"))
-    distinct = stored(words.groupBy("id").agg(F.first("s").alias("s"), F.first("word").alias("word"), F.min("form").alias("f0"), F.max("form").alias("f1")), "name_words")
+    distinct = stored(words.groupBy("id", "s", "word").agg(F.min("form").alias("f0"), F.max("form").alias("f1")), "name_words")
     near = stored(near_words(distinct.select("id", "s", "word")), "near_words")
     # words of several forms, and words near another: only their forms are needed from here on
     several = distinct.where("f0 <> f1").select("id")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(several).distinct()
-    some = stored(words.join(few(wanted), "id", "left_semi").dropDuplicates(["id", "form"]), "name_forms")
+    some = stored(words.join(few(wanted), "id", "left_semi").select("id", "form", "kind", "shard", "fillers", "legal", "initial", "n").distinct(), "name_forms")
     near = near.unionByName(several.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
     a, b = some.alias("a"), some.alias("b")
     both = near.join(a, F.col("a") == F.col("a.id")).join(b, F.col("b") == F.col("b.id")).where("a.form <> b.form")
