@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +24,11 @@ FUNCTION_WORDS = {
 #: Words that also join the parts of list entries; they count for half.
 WEAK = set("of de du di da do a y o e no in la le des los las et and or the for d l".split())
 FUNCTION = set(" ".join(FUNCTION_WORDS.values()).split()) | {"of", "de"}
-#: Share of English prose words, commonest first, for the plain share of common words.
-COMMON = FUNCTION
+# Language profiles: prose of a language uses the function words of its list, each about as often as another.
+LANGUAGES = list(FUNCTION_WORDS)
+VOCABULARY = {w: i for i, w in enumerate(sorted(FUNCTION))}
+SPOKEN = np.array([[float(w in set(FUNCTION_WORDS[k].split())) for w in VOCABULARY] for k in LANGUAGES])
+SPOKEN = (SPOKEN + 1e-3) / (SPOKEN + 1e-3).sum(1, keepdims=True)
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*(?=$|[\s.,;:!?)\]\"”’'…/-])|[$€£]?\(?\d[\d.,:/%$)-]*(?=$|\s|[.,;:!?|)\t])|[.?!]+(?=\s|$)|,(?=\s|$)|[^\s]+?(?=$|\s|[,;|>\t](?=\s|$))|[^\s]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -140,7 +144,7 @@ def sign_counts(parts: list[str]) -> np.ndarray:
     return np.bincount(part * 6 + _kinds()[np.minimum(code, 0xFFFF)], minlength=6 * len(parts)).reshape(-1, 6)[: len(parts), 1:].astype(float)
 
 
-LOG_Q = {id(q): np.where(q > 0, q * np.log2(np.where(q > 0, q, 1)), 0).sum(1) for q in (TOKENS, CHARS)}
+LOG_Q = {id(q): np.where(q > 0, q * np.log2(np.where(q > 0, q, 1)), 0).sum(1) for q in (TOKENS, CHARS, SPOKEN)}
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -170,11 +174,25 @@ def nearest(tokens: np.ndarray, signs: np.ndarray, sizes: np.ndarray) -> np.ndar
     return (divergence(p, TOKENS) + 0.5 * divergence(q, CHARS)).argmin(1)
 
 
+def language(words: list[str]) -> tuple[str | None, float | None]:
+    """(language, divergence in bits) of the prose profile nearest to the function words among words; nulls if there are none."""
+    count = np.full(len(VOCABULARY), 1e-6)
+    found = False
+    for w, n in Counter(words).items():
+        if (i := VOCABULARY.get(w)) is not None:
+            count[i] += n
+            found = True
+    if not found:
+        return None, None
+    d = divergence((count / count.sum())[None, :], SPOKEN)[0]
+    return LANGUAGES[int(d.argmin())], float(d.min())
+
+
 def statistics(text: str) -> tuple:
-    """(n_words, mean_word_length, symbol_ratio, punctuated_lines, common_words, prose, list, table, junk, profile)."""
+    """The columns of STATISTICS for one text."""
     lines = [x for x in text.splitlines() if x.strip()]
     if not lines:
-        return 0, None, None, None, None, 0.0, 0.0, 0.0, 0.0, None
+        return 0, None, None, None, None, 0.0, 0.0, 0.0, 0.0, None, None, None
     # very long lines are cut at sentence ends, so that a page in one line isn't one vote
     parts = [p for x in lines for p in (ENDS.split(x) if len(x) > 600 else [x]) if p.strip()]
     seen: list[str] = []
@@ -195,11 +213,11 @@ def statistics(text: str) -> tuple:
     ended = sum(x.rstrip()[-1] in ".!?:;\"”’)" for x in lines) / len(lines)
     return (
         len(words), sum(map(len, words)) / len(words) if words else None, float((sizes.sum() - signs[:, :3].sum()) / sizes.sum()), float(ended),
-        float(total[:2].sum() / alpha) if alpha else None, share["prose"], share["list"], share["table"], share["junk"], NAMES[int((divergence(whole, TOKENS)).argmin())],
+        float(total[:2].sum() / alpha) if alpha else None, share["prose"], share["list"], share["table"], share["junk"], NAMES[int((divergence(whole, TOKENS)).argmin())], *language([w.lower() for w in words]),
     )
 
 
-STATISTICS = "n_words long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, prose double, list double, table double, junk double, profile string"
+STATISTICS = "n_words long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, prose double, list double, table double, junk double, profile string, language string, language_divergence double"
 
 
 def text_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,7 +226,8 @@ def text_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     Every line's token classes (function words, other words, capitals, numbers, garbled words, signs, repeats, list
     marks, field separators ...) and character classes are compared with profiles of prose, lists, tables and junk by
     Jensen-Shannon divergence; the nearest profile takes the line. prose, list, table and junk are the shares of
-    non-blank characters of the lines so assigned; profile is the one nearest to the whole text.
+    non-blank characters of the lines so assigned; profile is the one nearest to the whole text. language is the prose
+    profile nearest to the function words of the text, and language_divergence how far it is from it (0 to 1 bit).
 
     Null texts give null statistics, blank ones 0 words and shares 0; repeated rows are kept. Texts are read whole.
     """

@@ -74,3 +74,17 @@ def test_statistics_of_awkward_texts(spark):
     assert len(got) == 6 and got[0]["n_words"] is None and got[1]["n_words"] == 0 and got[2]["prose"] == 0
     assert got[3]["n_words"] == 3 and abs(got[3]["mean_word_length"] - 11 / 3) < 1e-9 and got[3]["punctuated_lines"] == 1.0 and got[5]["n_words"] == 100_000
     assert quality.text_statistics(df.limit(0)).isEmpty()
+
+
+def test_languages_of_prose():
+    from ledgerlens.llm.quality import language
+
+    said = {
+        "en": "the loan was made to a firm that had no staff and it was not repaid when they asked for it", "es": "el préstamo fue para una empresa que no tenía personal y no se ha pagado cuando lo pidieron por carta",
+        "fr": "le prêt était pour une société qui ne payait pas ses employés et il est dans les mains de la banque", "de": "der kredit war für eine firma die nicht mehr da ist und wir haben ihn noch nicht zurück",
+    }
+    for k, text in said.items():
+        got, d = language(text.split())
+        assert got == k and 0 < d < 0.95
+    assert language(["xq", "zzkl"]) == (None, None) and language([]) == (None, None)
+    assert language("the".split())[1] > language(said["en"].split())[1]
