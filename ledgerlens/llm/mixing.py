@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,9 @@ def mixing_rates(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text:
     sums; documents replay the few gradients of earlier rounds, so no state is written.
 
     The total is the largest that max_repeats allows, or total_tokens if smaller. Targets are one row a source.
-    Documents of other or null sources, with null ids, or without tokens have no rate.
+    Documents of other or null sources, with null ids, or without tokens have no rate. A target source without
+    documents can't be met: a warning names it, and the others share the whole in their proportions. ValueError if none
+    has documents.
     """
     t = [r for r in targets.where(f"{source} is not null and target_share > 0 and max_repeats > 0").orderBy(source).collect()]  # a row for each source to mix
     names = [r[source] for r in t]
@@ -91,13 +94,16 @@ def mixing_rates(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text:
     base = stored(labelled.mapInPandas(means, f"id {kind}, k int, held boolean, tokens long, mean array<double>").where("tokens > 0"), "mix")
     have = {r["k"]: (r["n"], r["tokens"]) for r in base.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()}
     tokens = np.array([float(have.get(i, (0, 0))[1]) for i in range(k)])
-    if not tokens.all():
-        raise ValueError(f"no documents of {[n for n, x in zip(names, tokens) if not x]}: their target shares can't be met")
-    prior = np.log([have[i][0] for i in range(k)])
-    share = np.array([r["target_share"] for r in t], float)
+    there = tokens > 0
+    if not there.any():
+        raise ValueError("no documents of any target source: nothing can be mixed")
+    if not there.all():
+        warnings.warn(f"no documents of {[n for n, x in zip(names, there) if not x]}: the other sources share the whole", stacklevel=2)
+    prior = np.log([have[i][0] if i in have else 1e-9 for i in range(k)])
+    share = np.array([r["target_share"] for r in t], float) * there
     share /= share.sum()
     caps = np.array([r["max_repeats"] for r in t], float)
-    total = float((caps * tokens / share).min())
+    total = float(((caps * tokens)[there] / share[there]).min())
     total = min(total, total_tokens) if total_tokens else total
     want = total * share
 
@@ -111,7 +117,8 @@ def mixing_rates(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text:
 
     best = {r["i"]: r["ll"] for r in base.where("held").mapInPandas(held_out, "i int, ll double").groupBy("i").agg(F.sum("ll").alias("ll")).collect()}
     sharp = SHARPNESS[max(best, key=best.get)] if best else 0.0
-    start, step = want / tokens, 0.9 * total / (2 * tokens * (1 + soft_weight))
+    some = np.maximum(tokens, 1.0)  # sources without documents have no rates either
+    start, step = want / some, 0.9 * total / (2 * some * (1 + soft_weight))
 
     def replay(kk: np.ndarray, q: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
         r = start[kk].copy()
@@ -158,6 +165,10 @@ def mix(docs: DataFrame, targets: DataFrame, id: str = "doc_id", **options) -> D
     and every time the sum passes a whole number the document is used once more. So the tokens of a source differ
     from its target by about one document.
     """
+    return _mixed(docs, targets, id, **options).select(id, "source", "tokens", F.round("rate", 6).alias("rate"), "repeats")
+
+
+def _mixed(docs: DataFrame, targets: DataFrame, id: str, **options) -> DataFrame:
     r = stored(mixing_rates(docs, targets, id=id, **options), "rates")
     most = r.agg(F.max("tokens")).first()[0] or 1
     spread = F.pmod(F.xxhash64(id), F.lit(1 << 20)) / float(1 << 20)
@@ -166,14 +177,20 @@ def mix(docs: DataFrame, targets: DataFrame, id: str = "doc_id", **options) -> D
     cum = _prefix(part, ["source"], "at", {"before": F.col("part")}, 512)
     once = F.floor(F.col("before") + F.col("part") + 0.5 + 1e-9) - F.floor(F.col("before") + 0.5 + 1e-9)
     got = cum.withColumn("repeats", F.least((F.floor("rate") + once).cast("int"), F.col("max_repeats")))
-    return got.where("repeats > 0").select(id, "source", "tokens", F.round("rate", 6).alias("rate"), "repeats")
+    return got.where("repeats > 0").select(id, "source", "tokens", "rate", "repeats", "posterior")
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """(source, target_share, max_repeats, documents, tokens, share, most_repeats) of the mix of mix()."""
-    used = mix(docs, targets, id=id, **options).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
-    used = stored(used, "used")
-    total = used.agg(F.sum("tokens").alias("total"))
+    """(source, target_share, max_repeats, documents, tokens, share, expected_share, most_repeats) of the mix of mix().
+
+    share counts tokens by the documents' own source, expected_share by the posteriors of their texts: where the two
+    differ, texts under one label read like those of another. Sources without documents have shares of 0 and null.
+    """
+    names = [r[0] for r in targets.where(f"{source} is not null and target_share > 0 and max_repeats > 0").select(source).orderBy(source).collect()]  # a row for each source to mix
+    mixed = stored(_mixed(docs, targets, id, **options).withColumn("used", F.col("tokens") * F.col("repeats")), "mixed")
+    used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("used").alias("tokens"), F.max("repeats").alias("most_repeats"))
+    soft = mixed.select("used", F.posexplode("posterior").alias("i", "q")).groupBy(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("source")).agg(F.sum(F.col("used") * F.col("q")).alias("soft")) if names else mixed.select("source", F.lit(0.0).alias("soft")).limit(0)
+    total = mixed.agg(F.sum("used").alias("total"))
     t = targets.select(F.col(source).alias("source"), "target_share", "max_repeats").where("source is not null")
-    got = t.join(used, "source", "left").join(F.broadcast(total))  # one row
-    return got.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    got = t.join(used, "source", "left").join(soft, "source", "left").join(F.broadcast(total))  # one row
+    return got.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("share"), F.round(F.col("soft") / F.col("total"), 6).alias("expected_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))

@@ -88,3 +88,12 @@ def test_languages_of_prose():
         assert got == k and 0 < d < 0.95
     assert language(["xq", "zzkl"]) == (None, None) and language([]) == (None, None)
     assert language("the".split())[1] > language(said["en"].split())[1]
+
+
+def test_a_source_without_documents_leaves_the_others_to_mix(spark):
+    docs = spark.createDataFrame([(i, f"words of {'loans' if i % 2 else 'grants'} number {i} " * (3 + i % 4), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.3, 2), ("gone", 0.4, 3)], "source string, target_share double, max_repeats int")
+    with pytest.warns(UserWarning):
+        got = {r["source"]: r for r in mixing.mix_report(docs, targets).collect()}
+    assert got["gone"]["documents"] == 0 and got["gone"]["share"] == 0 and abs(got["a"]["share"] - 0.5) < 0.05
+    assert abs(got["a"]["expected_share"] + got["b"]["expected_share"] + got["gone"]["expected_share"] - 1) < 1e-3
