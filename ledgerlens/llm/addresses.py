@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import stored
+from .components import boruvka_groups
 from .places import towns_of, with_place
 
 # Street types and directions with the forms people type.
@@ -261,3 +262,20 @@ def same_address_pairs(loans: DataFrame, least: float = 0.5) -> DataFrame:
     a, b = (members.select(F.col("spot").alias(f"spot_{s}"), F.col("loan_number").alias(f"n_{s}")) for s in "ab")
     got = both.join(a, "spot_a").join(b, "spot_b").where("n_a <> n_b").select(F.least("n_a", "n_b").alias("loan_a"), F.greatest("n_a", "n_b").alias("loan_b"))
     return got.distinct()
+
+
+def place_members(loans: DataFrame, least: float = 0.5) -> DataFrame:
+    """(loan_number, place_id, links): one row a loan with a usable address, not one a pair.
+
+    place_id is the same for all loans linked directly or indirectly; links counts the loans that a loan is linked to
+    directly. So a building with a third of all loans takes a row for each loan.
+    """
+    members, links = same_places(loans, least)
+    ends = stored(links.select("spot_a", "spot_b"), "spot_links")
+    groups = boruvka_groups(ends, "spot_a", "spot_b").select(F.col("node").alias("spot"), F.col("group_id").alias("place_id"))
+    size = members.groupBy("spot").agg(F.count(F.lit(1)).alias("n"))
+    there = ends.select(F.col("spot_a").alias("spot"), F.col("spot_b").alias("other")).unionByName(ends.select(F.col("spot_b").alias("spot"), F.col("spot_a").alias("other")))
+    near = there.join(size.select(F.col("spot").alias("other"), "n"), "other").groupBy("spot").agg(F.sum("n").alias("near"))
+    spots = size.join(near, "spot", "left").join(groups, "spot", "left").select("spot", F.coalesce("place_id", "spot").alias("place_id"), (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    # a loan typed with two addresses counts once, in the place with the smaller id
+    return members.join(spots, "spot").groupBy("loan_number").agg(F.min("place_id").alias("place_id"), F.sum("links").alias("links"))

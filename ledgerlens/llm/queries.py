@@ -18,6 +18,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_address_pairs(table(spark, d, "loans"))
 
 
+def p1_places(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.place_members(table(spark, d, "loans"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "press_releases"), letters=False).select(F.col("id").alias("release_id"), "line_no").distinct()
 
@@ -59,6 +63,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).where("exact_windows > 0").select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Nearly equal passages too, with their similarity."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
