@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 DIMENSIONS, GRAMS = 256, (3, 4, 5)
 
 
-@lru_cache(500_000)
+@lru_cache(100_000)
 def cell(gram: str) -> int:
     """Three hex digits of the gram's MD5: two say which dimension, an odd third one that it counts down.
 

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stored(), and the number of rows, counted while they are written. Parts written anew after a loss may count twice."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this session has stored; for the end of a query whose result has been written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))

@@ -139,9 +139,12 @@ def _communities(edges: DataFrame, comp: DataFrame, sizes: DataFrame, least: int
     return inside.groupBy("component").applyInPandas(greedy, "loan_number string, community_size long")
 
 
-def graph_features(loans: DataFrame, min_amount: float = 150_000.0, least: int = 5, **options) -> DataFrame:
-    """One row per loan from min_amount on: component and its size, degree, edges by relation, borrowers, community size."""
-    edges = stored(loan_edges(loans, min_amount, **options), "graph")
+def graph_features(loans: DataFrame, min_amount: float = 150_000.0, least: int = 5, edges: DataFrame | None = None, **options) -> DataFrame:
+    """One row per loan from min_amount on: component and its size, degree, edges by relation, borrowers, community size.
+
+    edges are those of loan_edges() where they are at hand.
+    """
+    edges = stored(loan_edges(loans, min_amount, **options), "graph") if edges is None else edges
     comp = stored(components(edges), "components")
     nodes = _nodes(loans, min_amount).select("loan_number", text.norm_name("borrower_name").alias("_name"))
     of = nodes.join(comp, "loan_number", "left").withColumn("component", F.coalesce("component", "loan_number"))
@@ -156,8 +159,8 @@ def graph_features(loans: DataFrame, min_amount: float = 150_000.0, least: int =
 
 def ring_signals(loans: DataFrame, min_edge_types: int = 2, min_borrowers: int = 2, **options) -> DataFrame:
     """Loans of components with several relations and several borrowers."""
-    edges = stored(loan_edges(loans, **options), "graph")
-    feats = stored(graph_features(loans, **options), "graph_features")
+    edges = stored(loan_edges(loans, **{k: v for k, v in options.items() if k != "least"}), "graph")
+    feats = stored(graph_features(loans, edges=edges, **{k: v for k, v in options.items() if k in ("min_amount", "least")}), "graph_features")
     kinds = edges.join(feats.select(F.col("loan_number").alias("src"), "component"), "src").select("component", F.explode("types").alias("t")).groupBy("component").agg(F.array_sort(F.collect_set("t")).alias("edge_types"))
     best = feats.groupBy("component").agg(F.max("community_size").alias("_most"))
     hit = feats.join(kinds.where(F.size("edge_types") >= min_edge_types), "component").join(best, "component").where(F.col("distinct_borrowers") >= min_borrowers)

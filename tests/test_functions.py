@@ -107,3 +107,16 @@ def test_vectors_in_blocks_of_one(spark):
     q = v.where("vec_id % 10 = 0")
     a, b = (sorted(map(tuple, vector_top_k(v, q, 4, block=n).collect())) for n in (1, 4096))
     assert a == b and len(a) == 12 and vector_top_k(v, q.limit(0), 4).isEmpty()
+
+
+def test_stored_tables_are_counted_and_forgotten(spark):
+    from ledgerlens.functions import store
+
+    df, n = store.stored_counted(spark.range(7), "seven")
+    none, zero = store.stored_counted(spark.range(7).where("id < 0").distinct(), "none")
+    assert (n, zero, df.count(), none.count()) == (7, 0, 7, 0)
+    files = df.inputFiles()
+    store.forget(spark)
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
