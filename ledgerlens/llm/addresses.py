@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import STATES
 from ._runtime import stored
 from .components import boruvka_groups
 from .places import towns_of, with_place
@@ -39,9 +40,8 @@ HIGHWAY = re.compile(r"\b(?:(?:U\.?\s?S\.?|STATE|ST|COUNTY|CO|INTERSTATE)\.?\s+)
 ORDINAL = re.compile(r"\b(\d*?)(1?\d)(\s?)(ST|ND|RD|TH)\b")
 TWO_LETTERS = re.compile(r"\b([NS])\.\s?([EW])\b\.?")
 PLAIN_FRONT = re.compile(r"\W*\d+\b(?!\s?(?:ST|ND|RD|TH)\b)")
-# States, as they end an address that repeats the town.
-STATES = "ALABAMA AL|ALASKA AK|ARIZONA AZ|ARKANSAS AR|CALIFORNIA CA|COLORADO CO|CONNECTICUT CT|DELAWARE DE|FLORIDA FL|GEORGIA GA|HAWAII HI|IDAHO ID|ILLINOIS IL|INDIANA IN|IOWA IA|KANSAS KS|KENTUCKY KY|LOUISIANA LA|MAINE ME|MARYLAND MD|MASSACHUSETTS MA|MICHIGAN MI|MINNESOTA MN|MISSISSIPPI MS|MISSOURI MO|MONTANA MT|NEBRASKA NE|NEVADA NV|NEW HAMPSHIRE NH|NEW JERSEY NJ|NEW MEXICO NM|NEW YORK NY|NORTH CAROLINA NC|NORTH DAKOTA ND|OHIO OH|OKLAHOMA OK|OREGON OR|PENNSYLVANIA PA|RHODE ISLAND RI|SOUTH CAROLINA SC|SOUTH DAKOTA SD|TENNESSEE TN|TEXAS TX|UTAH UT|VERMONT VT|VIRGINIA VA|WASHINGTON WA|WEST VIRGINIA WV|WISCONSIN WI|WYOMING WY|DISTRICT OF COLUMBIA DC|PUERTO RICO PR"
-STATE_CODE = {x.rpartition(" ")[0]: x.rpartition(" ")[2] for x in STATES.split("|")}
+#: States, as they end an address that repeats the town.
+STATE_CODE = {name.upper(): code for code, name in STATES.items()} | {"PUERTO RICO": "PR"}
 TAIL = re.compile(rf",\s*[A-Z][A-Z .']*?,?\s+(?:{'|'.join([*STATE_CODE, *STATE_CODE.values()])})\W*(?:\d{{5}}(?:-\d{{4}})?)?\W*$")
 TENS = re.compile(r"\b(TWENTY|THIRTY|FORTY|FIFTY|SIXTY|SEVENTY|EIGHTY|NINETY)[\s-]+(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH)\b")
 TOKEN = re.compile(r"[^\W_]+")

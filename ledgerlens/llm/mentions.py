@@ -32,7 +32,7 @@ def states_in(text: str) -> list[str]:
     return sorted(full | {m for m in STATE_SHORT.findall(text) if m in CODES})
 
 
-@lru_cache(100_000)
+@lru_cache(50_000)
 def _letters(word: str) -> str:
     w = "".join(c for c in word.upper() if "A" <= c <= "Z")
     return TOWN_WORDS.get(w, w)
@@ -43,7 +43,7 @@ def capitals(text: str) -> set[str]:
     return set().union(*map(_capitals, text.split("\n")))
 
 
-@lru_cache(50_000)
+@lru_cache(4000)
 def _capitals(line: str) -> frozenset[str]:
     out = set()
     for run in RUN.findall(line):

@@ -60,7 +60,7 @@ _NEAR = {"trade": _deletes(TRADE_OF, 6), "filler": _deletes(FILLER_OF, 6), "firs
 _EXACT = {"trade": TRADE_OF, "filler": FILLER_OF, "first": FIRST_OF, "legal": LEGAL_OF}
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def word(w: str) -> tuple[str, str]:
     """(class, standard form) of a word; a long known word may hold one typing error."""
     for k, table in _EXACT.items():
@@ -108,7 +108,7 @@ def _one_error(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _split(w: str) -> tuple[str, str]:
     """A word written together with its trade: (rest, trade)."""
     for n in range(min(len(w) - 5, 15), 3, -1):

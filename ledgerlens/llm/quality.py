@@ -72,7 +72,7 @@ TOKENS = TOKENS / TOKENS.sum(1, keepdims=True)
 CHARS = CHARS / CHARS.sum(1, keepdims=True)
 
 
-@lru_cache(400_000)
+@lru_cache(100_000)
 def token_class(t: str) -> int:
     """Index in CLASSES by the form of one token, seen alone."""
     if t in ".?!" or set(t) <= set(".?!…"):
@@ -100,7 +100,7 @@ def token_class(t: str) -> int:
     return 3 if w[0].isupper() else 2
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def chunk_tokens(chunk: str) -> tuple[tuple[str, int], ...]:
     """Tokens with their classes of a stretch without blanks."""
     return tuple((t, token_class(t)) for t in ([chunk] if chunk.isalpha() else TOKEN.findall(chunk)))
