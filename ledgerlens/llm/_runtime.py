@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.store import shared_dir, stored
+from ..functions.store import shared_dir, stored, stored_counted
 
-__all__ = ["few", "shared_dir", "stored", "table", "total_bytes"]
+__all__ = ["few", "shared_dir", "stored", "stored_counted", "table", "total_bytes"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,5 +26,5 @@ def few(df: DataFrame, most: int = 500_000) -> DataFrame:
 
     They are written and counted first, so the size of what is sent is known.
     """
-    df = stored(df, "keys")
-    return F.broadcast(df) if df.count() <= most else df
+    df, n = stored_counted(df, "keys")
+    return F.broadcast(df) if n <= most else df

@@ -291,10 +291,10 @@ def name_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = both.where(fine).select(F.least("a.form", "b.form").alias("form_a"), F.greatest("a.form", "b.form").alias("form_b"))
     links = stored(links.unionByName(_whole_links(rec)).distinct(), "name_links")
     # cases not linked to any loan in their towns: an equal name that stands in one town alone
-    of_loans = rec.where(loan).select(F.col("form").alias("other")).distinct()
     cases = stored(rec.where(~loan).select("record", "form", "place", *same), "case_names")
     ends = links.select(F.explode(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other")))).alias("x")).select("x.*").unionByName(cases.select("form", F.col("form").alias("other")).distinct())
-    reached = ends.join(of_loans, "other", "left_semi").select("form").distinct()
+    of_loans = rec.where(loan).select(F.col("form").alias("other")).join(few(ends.select("other").distinct()), "other", "left_semi").distinct()
+    reached = stored(ends.join(of_loans, "other", "left_semi").select("form").distinct(), "reached")
     lost = stored(cases.join(cases.join(reached, "form", "left_semi").select("record").distinct(), "record", "left_anti"), "case_names")
     key = F.xxhash64(*same).alias("key")
     named = stored(rec.where(F.col("place").isNotNull()).select(key, *same, "form", "place", loan.alias("of_loan")).join(few(lost.select(key).distinct()), "key", "left_semi").drop("key").distinct(), "lost_names")

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import stored
+from ._runtime import stored, stored_counted
 
 #: Abbreviations in town names.
 TOWN_WORDS = {"FT": "FORT", "MT": "MOUNT", "ST": "SAINT", "STE": "SAINT", "HTS": "HEIGHTS", "HGTS": "HEIGHTS", "HEIGTS": "HEIGHTS", "SPGS": "SPRINGS", "SPG": "SPRINGS", "JCT": "JUNCTION", "PT": "PORT", "LK": "LAKE", "N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST", "BCH": "BEACH", "PK": "PARK"}
@@ -47,8 +47,8 @@ MOST_SENT = 500_000
 
 
 def _sent(df: DataFrame, name: str) -> DataFrame:
-    df = stored(df, name)
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
+    df, n = stored_counted(df, name)
+    return F.broadcast(df) if n <= MOST_SENT else df
 
 
 def towns_of(df: DataFrame, city: str = "borrower_city", state: str = "borrower_state", zip_: str = "borrower_zip") -> Towns:
