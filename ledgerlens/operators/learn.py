@@ -119,7 +119,7 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def nested_validation(loans: DataFrame, signals: DataFrame, cases: DataFrame, year: int = 2023, ks: tuple[int, ...] = (100, 1000, 2000, 5000), min_amount: float = 150_000.0, graph: DataFrame | None = None, n_boot: int = 2000) -> tuple[DataFrame, dict]:
+def nested_validation(loans: DataFrame, signals: DataFrame, cases: DataFrame, year: int = 2023, ks: tuple[int, ...] = (100, 1000, 2000, 5000), min_amount: float = 150_000.0, graph: DataFrame | None = None, n_boot: int = 2000, folds: int = 3, options: tuple[dict, ...] = DEPTHS) -> tuple[DataFrame, dict]:
     """(rows, summary): the boosted scorer, tuned on earlier charges only, against the composite on later ones.
 
     Options are chosen by folds inside the training part that keep entities together; the test part is looked at once.
@@ -130,8 +130,8 @@ def nested_validation(loans: DataFrame, signals: DataFrame, cases: DataFrame, ye
     train = split.where("part = 'train'")
     feats = stored(assemble(rich_features(loans, signals, graph, min_amount)), "features")
     known = stored(train.join(feats, "loan_number", "left_semi"), "known")
-    options = tune(feats, known, entity_groups(loans))
-    rankings, test, population = _holdout(loans, signals, split, feats, boosted(feats, known, **options), "boosted")
+    best = tune(feats, known, entity_groups(loans), folds, options)
+    rankings, test, population = _holdout(loans, signals, split, feats, boosted(feats, known, **best), "boosted")
     at = tuple(k for k in ks if k <= population) or (population,)
     out = None
     for name, r in rankings.items():
@@ -141,7 +141,7 @@ def nested_validation(loans: DataFrame, signals: DataFrame, cases: DataFrame, ye
     hits = {r["ranking"]: r["h"] for r in out.groupBy("ranking").agg(F.sum("hits").alias("h")).collect()}  # three rows
     change = hits["boosted"] - hits["composite"]
     verdict = "improved" if change > 0 else "regressed" if change < 0 else "neutral"
-    counts = {"n_train": known.count(), "n_test": test.count(), "population": population, "options": options, "verdict": verdict}
+    counts = {"n_train": known.count(), "n_test": test.count(), "population": population, "options": best, "verdict": verdict}
     return out.withColumn("verdict", F.lit(verdict)).select("ranking", "k", "hits", "hits_low", "hits_high", "precision", "lift", "recall", "verdict"), counts
 
 

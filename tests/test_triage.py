@@ -120,3 +120,33 @@ def test_enrichment_is_bounded_and_kept(tables, tmp_path):
     assert "status: active" in enrich.dossier(next(x.asDict() for x in rows if x["facts"]))
     table = enrich.from_table([{"name": "Acme, LLC", "state": "TX", "x": 1}, {"name": "Other"}])
     assert table("acme llc", "TX")["x"] == 1 and table("ACME LLC", "NY") is None and table("other", "NY") == {"name": "Other"}
+
+
+def test_summary_of_look_alikes(spark, tables):
+    from ledgerlens.operators import similar
+
+    loans, cases, _ = tables
+    t = spark.createDataFrame([("DEMO00003",), ("nothing",)], "loan_number string")
+    near = similar.similar_loans(loans, t, cases, 5, min_amount=0.0)
+    got = investigate.neighbour_summary(near).collect()
+    assert len(got) == 1 and got[0]["loan_number"] == "DEMO00003" and got[0]["summary"].startswith("5 look-alikes; closest: ")
+    assert investigate.neighbour_summary(near.limit(0)).isEmpty()
+
+
+def test_learned_scorers_keep_to_their_parts(tables, tmp_path):
+    from ledgerlens.operators import learn
+
+    loans, cases, signals = tables
+    rows, counts = learn.nested_validation(loans, signals, cases, 2022, (10, 50), 0.0, n_boot=20, folds=2, options=({"maxDepth": 2, "maxIter": 2}, {"maxDepth": 1, "maxIter": 2}))
+    got = rows.collect()
+    assert {r["ranking"] for r in got} == {"boosted", "composite", "fused"} and len(got) == 6
+    assert counts["verdict"] in ("improved", "neutral", "regressed") and all(r["verdict"] == counts["verdict"] for r in got)
+    assert counts["n_train"] + counts["n_test"] == 15 and counts["population"] == 268 - counts["n_train"]
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    data = loans.select("loan_number", "current_approval_amount", "jobs_reported")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["current_approval_amount", "jobs_reported"], outputCol="features")]).fit(data)
+    learn.save_model(model, str(tmp_path / "m"))
+    learn.save_model(model, str(tmp_path / "m"))
+    assert learn.load_model(str(tmp_path / "m")).transform(data).count() == 268
