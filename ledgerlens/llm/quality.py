@@ -176,14 +176,11 @@ def nearest(tokens: np.ndarray, signs: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 def language(words: list[str]) -> tuple[str | None, float | None]:
     """(language, divergence in bits) of the prose profile nearest to the function words among words; nulls if there are none."""
-    count = np.full(len(VOCABULARY), 1e-6)
-    found = False
-    for w, n in Counter(words).items():
-        if (i := VOCABULARY.get(w)) is not None:
-            count[i] += n
-            found = True
+    found = Counter(filter(VOCABULARY.__contains__, words))
     if not found:
         return None, None
+    count = np.full(len(VOCABULARY), 1e-6)
+    count[[VOCABULARY[w] for w in found]] += list(found.values())
     d = divergence((count / count.sum())[None, :], SPOKEN)[0]
     return LANGUAGES[int(d.argmin())], float(d.min())
 
@@ -213,7 +210,7 @@ def statistics(text: str) -> tuple:
     ended = sum(x.rstrip()[-1] in ".!?:;\"”’)" for x in lines) / len(lines)
     return (
         len(words), sum(map(len, words)) / len(words) if words else None, float((sizes.sum() - signs[:, :3].sum()) / sizes.sum()), float(ended),
-        float(total[:2].sum() / alpha) if alpha else None, share["prose"], share["list"], share["table"], share["junk"], NAMES[int((divergence(whole, TOKENS)).argmin())], *language([w.lower() for w in words]),
+        float(total[:2].sum() / alpha) if alpha else None, share["prose"], share["list"], share["table"], share["junk"], NAMES[int((divergence(whole, TOKENS)).argmin())], *language("\n".join(words).lower().split("\n")),
     )
 
 
