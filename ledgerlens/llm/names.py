@@ -153,7 +153,10 @@ def name_records(loans: DataFrame, cases: DataFrame, releases: DataFrame) -> Dat
     lrec = l.select(F.concat(F.lit("L"), F.col("loan_number").cast("string")).alias("record"), F.col("borrower_name").alias("name"), "place")
     lrec = stored(_with_form(with_name_parts(lrec, "name")), "loan_names")
     c = cases.where(F.col("case_id").isNotNull()).select("case_id", "loan_number", "defendant_name", "business_name", "source_url").distinct()
-    told = release_places(releases.select("url", "body"), known_places(towns), "url", "body")
+    # only releases that a case cites are read
+    cited = few(c.where(F.col("source_url").isNotNull()).select(F.xxhash64("source_url").alias("key")).distinct())
+    texts = releases.select("url", "body", F.xxhash64("url").alias("key")).join(cited, "key", "left_semi")
+    told = release_places(texts, known_places(towns), "url", "body")
     own = c.where(F.col("loan_number").isNotNull()).select("case_id", F.concat(F.lit("L"), F.col("loan_number").cast("string")).alias("record"))
     of_cases = lrec.select("record", "place", F.xxhash64("record").alias("key")).join(few(own.select(F.xxhash64("record").alias("key")).distinct()), "key", "left_semi")
     own = own.join(of_cases.drop("key"), "record").select("case_id", "place")
