@@ -2,7 +2,9 @@ import datetime as dt
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlens.functions import text
 from ledgerlens.operators import graph, labels, profile, ranking, similar
 from ledgerlens.plans.benchmark import benchmark
 
@@ -73,6 +75,20 @@ def test_resolve_exact(spark, loans):
     assert [x["loan_number"] for x in got] == ["L1"] and got[0]["match_confidence"] == 1.0 and got[0]["match_method"] == "name+state+amount"
 
 
+def test_exact_names_meet_by_their_first_two_words_without_broadcasts(spark, loans):
+    names = ["Blue Sky Cafe", "Blue Sky", "Blue Sky Cafe And Grill House North", "Sky Cafe", "United States", "Blue Grass Farm", "One Two Three Four Five Six Seven", "Last Words"]
+    ls = loans([{"loan_number": str(i), "borrower_name": n, "borrower_state": "TX", "current_approval_amount": 50_000.0} for i, n in enumerate(names)])
+    body = "United States of Texas: Blue Sky Cafe Grill House North got $50,000, Blue Sky Cafe too, one two three four five six seven, blue and last words"
+    r = spark.createDataFrame([("1", "doj", "u1", None, None, "ppp", None, body), ("2", "doj", "u2", None, None, "ppp", None, "Sky"), ("3", "doj", "u3", None, None, "ppp", None, "$50,000 for Last Words")], RELEASE)
+    got = labels.resolve_exact(r, ls)
+    # the planner takes exploded runs for small, whatever their number
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["source_url"], x["loan_number"], x["match_confidence"]) for x in got.collect()) == [("u1", "0", 1.0), ("u1", "1", 0.95), ("u1", "2", 1.0), ("u1", "3", 0.95), ("u1", "7", 0.95), ("u3", "7", 0.7)]
+    words = spark.createDataFrame([(["a", "b", "a", "b", "c"],), (["a"],), ([],)], "w array<string>").withColumn("all", text.run_hashes(F.col("w")))
+    one = words.withColumn("p", F.array(F.xxhash64(F.lit("a b")))).select(F.array_sort(text.runs_after_pairs(F.col("w"), F.col("p"))).alias("some"), "all").collect()
+    assert len(one[0]["some"]) == 5 and set(one[0]["some"]) < set(one[0]["all"]) and not one[1]["some"] and not one[2]["some"]
+
+
 def test_amount_blocks_and_judge(spark, loans):
     ls = loans([{"loan_number": "A", "borrower_name": "Solo Bakery", "current_approval_amount": 99_123.0}, {"loan_number": "B", "borrower_name": "B1", "current_approval_amount": 1_452_000.0}, {"loan_number": "C", "borrower_name": "C1", "current_approval_amount": 1_452_000.0}])
     r = spark.createDataFrame([("1", "doj", "u", "t", None, "ppp", None, "sums of $99,123 and $1,452,000")], RELEASE)
