@@ -135,6 +135,41 @@ def test_similar_and_reasons(spark, loans):
     assert dict(similar.reasons(loans(rows), t).collect()) == {"5": "missing_name", "77": "loan_not_found"}
 
 
+@pytest.mark.parametrize("same_state, model", [(True, False), (False, True)])
+def test_similar_loans_hold_no_pairs_and_cut_pools_as_asked(spark, loans, same_state, model):
+    from ledgerlens.functions.embed import embed_text, embed_words, embedding, word_embedding
+
+    words = ["Blue", "Sky", "Cafe", "Mining", "North", "Farm"]
+    amounts = [200_000.0, 200_000.0, 200_000.0, 210_000.0, 190_000.0, 251_000.0, 149_000.0, 150_000.0, 160_000.5, 260_000.0]
+    rows = [{"loan_number": f"{i * 37 % 101:03d}", "borrower_name": " ".join(words[j] for j in {i % 6, i // 2 % 6, i // 5 % 6}) + " é" * (i % 4 == 0), "borrower_state": ["TX", "NY", None][i % 3 if i % 11 else 2], "naics_code": [None, "72", "11"][i // 3 % 3], "borrower_zip": ["1", "2", None][i % 3], "current_approval_amount": amounts[i * 7 % 10] if i % 9 else None} for i in range(90)]
+    t = spark.createDataFrame([(r["loan_number"],) for r in rows[::2]] + [("none",), (None,)], "loan_number string")
+    options = {"same_state": same_state, "max_pool": 9}
+    pool = similar.candidate_pool(loans(rows), t, **options).collect()
+    meaning = embed_text if model else embed_words
+    want = []
+    for target in {r["target"] for r in pool}:
+        p = [r for r in pool if r["target"] == target]
+        info = {}
+        for r in p:
+            sims = [round(float(f(r["borrower_name"]) @ f(r["t_name"])), 6) for f in (embed_text, meaning)]
+            same = [r["naics_code"] is not None and r["naics_code"] == r["t_naics"], r["borrower_zip"] is not None and r["borrower_zip"] == r["t_zip"]]
+            info[r["loan_number"]] = (*sims, *same, abs(r["current_approval_amount"] - r["t_amount"]) / r["t_amount"])
+        place = lambda by: {x: i + 1 for i, x in enumerate(sorted(info, key=by))}
+        lex, sem, form = place(lambda x: (-info[x][0], x)), place(lambda x: (-info[x][1], x)), place(lambda x: (not info[x][2], info[x][4], not info[x][3], x))
+        score = {x: 1.0 / (60 + sem[x]) + 0.6 / (60 + lex[x]) + 0.8 / (60 + form[x]) for x in info}
+        want += [(target, i + 1, x, round(score[x], 6)) for i, x in enumerate(sorted(score, key=lambda x: (-score[x], x))[:4])]
+    assert len(want) > 60
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = similar.similar_loans(loans(rows), t, None, 4, embedding if model else word_embedding, **options)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and (model or "ArrowEvalPython" not in plan)
+        assert sorted((r["target"], r["rank"], r["loan_number"], r["fused_score"]) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_benchmark_end_to_end(spark, loans):
     rows = [{"loan_number": f"N{i}", "current_approval_amount": 150_000.0 + i, "jobs_reported": 10.0} for i in range(40)] + [{"loan_number": "F", "current_approval_amount": 900_000.0, "jobs_reported": 1.0}]
     s = signals(spark, [("F", "a", 9.0), ("F", "b", 9.0), ("N1", "a", 1.0)])
